@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,24 +31,28 @@ def node(kind: str, key: Column, namespace: str = "forum") -> Column:
     return F.concat(F.lit(f"{namespace}:{kind}-"), key.cast("string"))
 
 
-def to_triples(tables: Mapping[str, DataFrame], namespace: str = "forum") -> DataFrame:
-    """Triples of each entity table; null values give no triple. One scan per table, no shuffle."""
+def to_triples(tables: Mapping[str, DataFrame], namespace: str = "forum", one_scan: bool = False) -> DataFrame:
+    """Triples of each entity table; null values give no triple. No shuffle.
 
-    def predicate(name: str) -> str:
-        return name if ":" in name else f"{namespace}:{name}"
-
-    out = None
+    By default each predicate is a branch of its own with a constant ``p``: a filter on ``p`` then removes
+    the other branches while planning, and a pattern reads only the columns it names. ``one_scan`` emits
+    all triples of a row together, for writing the whole graph out.
+    """
+    branches = []
     for kind, df in tables.items():
         cls, key, fields = VOCABULARY[kind]
-        cells = [F.struct(F.lit(TYPE).alias("p"), F.lit(f"{namespace}:{cls}").alias("o"))]
+        cells = [(TYPE, F.lit(f"{namespace}:{cls}"))]
         for column, name, target in fields:
             if column in df.columns:
                 value = node(target, F.col(column), namespace) if target else F.col(column).cast("string")
-                cells.append(F.struct(F.lit(predicate(name)).alias("p"), value.alias("o")))
-        rows = df.select(node(kind, F.col(key), namespace).alias("s"), F.explode(F.array(*cells)).alias("x"))
-        rows = rows.select("s", "x.p", "x.o").where("o is not null")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+                cells.append((name if ":" in name else f"{namespace}:{name}", value))
+        subject = node(kind, F.col(key), namespace).alias("s")
+        if one_scan:
+            pairs = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in cells])
+            branches.append(df.select(subject, F.explode(pairs).alias("x")).select("s", "x.p", "x.o"))
+        else:
+            branches += [df.select(subject, F.lit(p).alias("p"), o.alias("o")) for p, o in cells]
+    return reduce(DataFrame.unionByName, branches).where("o is not null")
 
 
 def match_pattern(triples: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> DataFrame:

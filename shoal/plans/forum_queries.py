@@ -60,10 +60,10 @@ def votes(spark, sf):
         F.col("l_shipdate").alias("created_at"), F.col("l_shipdate").alias("updated_at"))
 
 
-def triples(spark, sf):
+def triples(spark, sf, one_scan=False):
     return graph.to_triples({
         "theme": themes(spark, sf), "question": questions(spark, sf), "answer": answers(spark, sf),
-        "vote": votes(spark, sf), "expert": experts(spark, sf)})
+        "vote": votes(spark, sf), "expert": experts(spark, sf)}, one_scan=one_scan)
 
 
 def _part(kind, cls, key, source, fields):
@@ -238,7 +238,7 @@ def answer_threads(spark, sf):
 
 @query("to_triples", f"SELECT s, p, o FROM {TRIPLES_SQL} WHERE o IS NOT NULL")
 def to_triples(spark, sf):
-    return triples(spark, sf)
+    return triples(spark, sf, one_scan=True)
 
 
 @query("match_pattern", f"""SELECT concat('forum:vote-', vote_id) AS vote, concat('forum:question-', question_id)
@@ -293,7 +293,7 @@ SELECT (SELECT count(*) FROM t) AS triples, (SELECT count(DISTINCT s) FROM t) AS
  (SELECT count(DISTINCT p) FROM t) AS predicates, (SELECT count(*) FROM t WHERE p <> 'rdf:type' AND o LIKE 'forum:%')
  AS entity_links, (SELECT count(*) FROM k) AS entities, (SELECT count(*) FROM k WHERE types > 1) AS multi_typed""")
 def graph_stats(spark, sf):
-    return graph.graph_stats(triples(spark, sf))
+    return graph.graph_stats(triples(spark, sf, one_scan=True))
 
 
 @query("entities_per_type", f"""SELECT o AS type, count(DISTINCT s) AS entities FROM {TRIPLES_SQL} WHERE p = 'rdf:type'
