@@ -40,7 +40,7 @@ def _chunks(items: Sequence, size: int):
         yield items[i : i + size]
 
 
-def _aggregate(df: DataFrame, measures: dict[str, Column]) -> dict[str, object]:
+def aggregate_once(df: DataFrame, measures: dict[str, Column]) -> dict[str, object]:
     """Many aggregates over the whole table in as few passes as code generation allows."""
     result: dict[str, object] = {}
     for names in _chunks(list(measures), AGGREGATES_PER_JOB):
@@ -58,7 +58,7 @@ def column_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str,
             f"n_{i}": F.count(v), f"mean_{i}": F.avg(v), f"std_{i}": F.stddev_samp(v), f"pop_{i}": F.stddev_pop(v),
             f"min_{i}": F.min(v), f"max_{i}": F.max(v), f"g1_{i}": F.skewness(v), f"g2_{i}": F.kurtosis(v),
         }
-    got = _aggregate(df, measures)
+    got = aggregate_once(df, measures)
     out = {}
     for i, c in enumerate(columns):
         n, g1, g2 = got[f"n_{i}"], got[f"g1_{i}"], got[f"g2_{i}"]
@@ -81,7 +81,7 @@ def _quartiles(df: DataFrame, columns: Sequence[str], approx: bool) -> dict[str,
     points = [0.25, 0.5, 0.75]
     if not approx:
         return exact_quantiles(df, columns, points)
-    got = _aggregate(
+    got = aggregate_once(
         df, {f"q{i}": F.percentile_approx(col(c).cast("double"), points, 10_000) for i, c in enumerate(columns)}
     )
     return {c: got[f"q{i}"] or [None] * 3 for i, c in enumerate(columns)}
@@ -159,7 +159,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, digi
     df = nan_to_null(df)
     columns = list(columns or numeric_columns(df))
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    got = _aggregate(df, {
+    got = aggregate_once(df, {
         f"r{i}_{j}": F.round(F.corr(col(columns[i]).cast("double"), col(columns[j]).cast("double")), digits)
         for i, j in pairs
     })
@@ -202,7 +202,7 @@ def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
             continue
         margin = 1.5 * (q3 - q1)
         measures[f"o{i}"] = F.count_if((col(c) < q1 - margin) | (col(c) > q3 + margin))
-    got = _aggregate(df, measures)
+    got = aggregate_once(df, measures)
     n = got["rows"]
     rows = [(c, got[f"o{i}"], 100.0 * got[f"o{i}"] / n if n else None) for i, c in enumerate(columns)]
     return _per_column(df, rows, "column_name string, outlier_count long, outlier_percent double")
