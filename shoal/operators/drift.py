@@ -20,7 +20,7 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def _scan_series(
+def scan_series(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[str], values: Sequence[str], out: T.StructType,
     make: Callable[[], object], step: Callable[[object, tuple], tuple | None],
 ) -> DataFrame:
@@ -81,7 +81,7 @@ def adwin(
             return state[1] - 1, state[0].total / state[0].n, state[0].n
         return None
 
-    return _scan_series(present, keys, order_by, values, out, make, step)
+    return scan_series(present, keys, order_by, values, out, make, step)
 
 
 def column_drift_scan(
@@ -100,7 +100,7 @@ def monitor_drift(
     out = T.StructType(_key_fields(df, keys) + [
         T.StructField("row_index", T.LongType()), T.StructField("window_size", T.LongType()),
         T.StructField("mean_error_so_far", T.DoubleType())])
-    return _scan_series(
+    return scan_series(
         df, keys, order_by, [error], out, lambda: DriftMonitor(window, delta, min_samples, cooldown),
         lambda monitor, row: monitor.add(float(row[0])))
 
