@@ -7,7 +7,7 @@ and in stream state.
 
 from __future__ import annotations
 
-from math import log, sqrt
+from math import log
 
 # Our constants: buckets per level, elements before the first test, and the least size of either half.
 MAX_BUCKETS = 5
@@ -54,21 +54,23 @@ class Adwin:
         return changed
 
     def _has_cut(self) -> bool:
+        """Whether the means left and right of some bucket border differ by more than the bound allows."""
         n, total = self.n, self.total
         bound = log(2.0 * log(n) / self.delta)
         by_variance = 2.0 * (self.spread / n) * bound
+        by_range = 2.0 / 3.0 * bound
+        most = n - MIN_HALF
         n0, t0 = 0, 0.0
         for level in reversed(self.levels):
             for count, value, _ in level:
                 n0 += count
                 t0 += value
-                n1 = n - n0
-                if n1 < MIN_HALF:
+                if n0 > most:
                     return False
                 if n0 >= MIN_HALF:
-                    gap = t0 / n0 - (total - t0) / n1
-                    harmonic = 1.0 / n0 + 1.0 / n1
-                    if abs(gap) > sqrt(by_variance * harmonic) + 2.0 / 3.0 * harmonic * bound:
+                    harmonic = n / (n0 * (n - n0))
+                    over = abs(t0 / n0 - (total - t0) / (n - n0)) - by_range * harmonic
+                    if over > 0.0 and over * over > by_variance * harmonic:
                         return True
         return False
 

@@ -63,9 +63,9 @@ def adwin(
         T.StructField("row_index", T.LongType()), T.StructField("window_mean", T.DoubleType()),
         T.StructField("window_rows", T.LongType())])
     if block > 1:
-        place = F.floor(F.col("row_index") / block)
+        place = F.floor(F.col("__i") / block)
         v = F.col("__v")
-        present = row_index(present, order_by, "row_index", keys).groupBy(*keys, place.alias("__block")).agg(
+        present = row_index(present, order_by, "__i", keys).groupBy(*keys, place.alias("__block")).agg(
             F.count(v).alias("__n"), F.sum(v).alias("__t"), (F.var_pop(v) * F.count(v)).alias("__s"))
         order_by, values = ["__block"], ["__t", "__n", "__s"]
     else:

@@ -86,7 +86,7 @@ def match_pattern(triples: DataFrame, patterns: Sequence[tuple[str, str, str]])
         shared = [v for v in dict.fromkeys(names(pattern)) if v in out.columns]
         part = bindings(pattern)
         how = "left_semi" if set(part.columns) <= set(shared) else "inner"
-        out = out.join(part.distinct() if how == "left_semi" else part, shared, how)
+        out = out.join(part, shared, how)
     return out
 
 

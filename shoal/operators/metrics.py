@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoal.functions.columns import NUMERIC, col
-from shoal.operators.ordering import row_index, running_totals, sliding_totals
+from shoal.operators.ordering import block_totals, row_index
+
+# Beyond this rank Spark's window group limit no longer applies (spark.sql.optimizer.windowGroupLimitThreshold).
+RANK_LIMIT = 1_000
 
 
 def normalize_label(df: DataFrame, column: str) -> Column:
@@ -107,14 +110,14 @@ def window_accuracy(
 ) -> DataFrame:
     """Adds the accuracy over the last ``width`` rows and over all rows so far, per key."""
     marked = df.withColumn("__right", _is_right(df, y_true, y_pred))
-    indexed = row_index(marked, order_by, "row_index", keys)
-    hits = {"__recent": F.col("__right")}
-    recent = sliding_totals(indexed, keys, "row_index", width, hits, block)
-    both = running_totals(recent, keys, "row_index", {"__all": F.col("__right")}, block)
+    # positions over all keys: blocks then hold a part of a large key or many small ones
+    indexed = row_index(marked, [*keys, *order_by], "__i")
+    right = F.col("__right")
+    both = block_totals(indexed, keys, "__i", {"__all": right, "__n": F.lit(1)}, {"__recent": right}, width, block)
     return both.select(
-        *df.columns, "row_index",
-        (F.col("__recent") / F.least(F.col("row_index") + 1, F.lit(width))).alias("window_accuracy"),
-        (F.col("__all") / (F.col("row_index") + 1)).alias("cumulative_accuracy"),
+        *df.columns, (F.col("__n") - 1).alias("row_index"),
+        (F.col("__recent") / F.least("__n", F.lit(width))).alias("window_accuracy"),
+        (F.col("__all") / F.col("__n")).alias("cumulative_accuracy"),
     )
 
 
@@ -123,10 +126,12 @@ def final_window_score(
     task: str = "classification",
 ) -> DataFrame:
     """Accuracy (or mean absolute error) over the last ``width`` rows of each key."""
-    from pyspark.sql import Window
-
-    last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order_by])
-    tail = df.withColumn("__r", F.row_number().over(last)).where(F.col("__r") <= width)
+    newest = [F.desc(c) for c in order_by]
+    if width <= RANK_LIMIT:  # a small rank limit is applied in each task before the rows of a key meet
+        last = Window.partitionBy(*keys).orderBy(*newest)
+        tail = df.withColumn("__r", F.row_number().over(last)).where(F.col("__r") <= width)
+    else:
+        tail = row_index(df, newest, "__r", keys).where(F.col("__r") < width)
     if task == "regression":
         score = F.avg(F.abs(col(y_true).try_cast("double") - col(y_pred).try_cast("double")))
         return tail.groupBy(*keys).agg(score.alias("final_window_mae"))

@@ -231,47 +231,60 @@ def infer_task(df: DataFrame, target: str | None) -> DataFrame:
 # -- skew ----------------------------------------------------------------------------------------
 
 
-def yeo_johnson(x: Column, power: float) -> Column:
-    """The Yeo-Johnson transform with one exponent."""
-    low = F.log1p(-x) * -1.0 if abs(power - 2.0) < 1e-12 else -(F.pow(1.0 - x, F.lit(2.0 - power)) - 1.0) / (2.0 - power)
-    high = F.log1p(x) if abs(power) < 1e-12 else (F.pow(x + 1.0, F.lit(power)) - 1.0) / power
-    return F.when(x >= 0, high).otherwise(low)
+def yeo_johnson(x: Column, power: float | Column) -> Column:
+    """The Yeo-Johnson transform of a column with an exponent (a number or a column)."""
+    lam = power if isinstance(power, Column) else F.lit(float(power))
+    return _yeo_johnson(x >= 0, F.log1p(F.abs(x)), lam)
+
+
+def _yeo_johnson(positive: Column, size: Column, lam: Column) -> Column:
+    """The transform from the sign and ``size`` = log(1 + |x|): one exponential per exponent."""
+    rate = F.when(positive, lam).otherwise(2.0 - lam)
+    grown = F.when(F.abs(rate) < 1e-12, size).otherwise(F.expm1(rate * size) / rate)
+    return F.when(positive, grown).otherwise(-grown)
 
 
 def yeo_johnson_fit(df: DataFrame, columns: Sequence[str], passes: int = 4, points: int = 17) -> dict[str, float]:
     """Exponent of greatest likelihood per column.
 
-    The likelihood needs only the variance of the transformed values and one sum, so each pass is one
-    aggregate over all columns and a grid of exponents; the grid closes in around the best one.
+    The likelihood needs only the variance of the transformed values and one sum. Each pass meets every value
+    with a grid of exponents and aggregates per column and exponent in one partial aggregate; the grid closes
+    in around the best exponent.
     """
     if not columns:
         return {}
-    sums = aggregate_once(df, {
-        key: e for i, c in enumerate(columns) for key, e in (
-            (f"n{i}", F.count(col(c))),
-            (f"s{i}", F.sum(F.signum(col(c).cast("double")) * F.log1p(F.abs(col(c).cast("double"))))))})
-    grids = {c: [-4.0 + 8.0 * j / (points - 1) for j in range(points)] for c in columns}
-    best = {}
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))
+    x = F.col("x")
+    values = df.select(cells.alias("v")).select("v.*").where("x is not null").select(
+        "c", (x >= 0).alias("positive"), F.log1p(F.abs(x)).alias("size"))
+    grids = {i: [-4.0 + 8.0 * j / (points - 1) for j in range(points)] for i in range(len(columns))}
+    best: dict[int, float] = {}
     for _ in range(passes):
-        got = aggregate_once(df, {
-            f"v{i}_{j}": F.var_pop(yeo_johnson(col(c).cast("double"), p))
-            for i, c in enumerate(columns) for j, p in enumerate(grids[c])})
-        for i, c in enumerate(columns):
-            n, s, grid = sums[f"n{i}"], sums[f"s{i}"], grids[c]
-            fits = []
-            for j, p in enumerate(grid):
-                v = got[f"v{i}_{j}"]
-                ok = v is not None and math.isfinite(v) and v > 0
-                fits.append(-0.5 * n * math.log(v) + (p - 1.0) * s if ok else -math.inf)
-            top = max(range(points), key=lambda j: fits[j])
+        table = F.create_map(*[
+            x for i, grid in grids.items()
+            for x in (F.lit(i), F.array(*[F.struct(F.lit(j).alias("j"), F.lit(p).alias("p")) for j, p in enumerate(grid)]))])
+        tried = values.withColumn("g", F.explode(F.element_at(table, F.col("c")))).select("*", "g.*")
+        rows = tried.groupBy("c", "j").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.var_pop(_yeo_johnson(F.col("positive"), F.col("size"), F.col("p"))).alias("v"),
+            F.sum(F.when(F.col("positive"), F.col("size")).otherwise(-F.col("size"))).alias("s")).collect()
+        fits = {i: [-math.inf] * points for i in grids}
+        for r in rows:
+            if r["v"] is not None and math.isfinite(r["v"]) and r["v"] > 0:
+                p = grids[r["c"]][r["j"]]
+                fits[r["c"]][r["j"]] = -0.5 * r["n"] * math.log(r["v"]) + (p - 1.0) * r["s"]
+        for i, grid in grids.items():
+            f = fits[i]
+            top = max(range(points), key=lambda j: f[j])
             step = grid[1] - grid[0]
-            best[c] = grid[top]
-            if 0 < top < points - 1 and math.isfinite(fits[top - 1]) and math.isfinite(fits[top + 1]):
-                bend = fits[top - 1] - 2.0 * fits[top] + fits[top + 1]
+            best[i] = grid[top]
+            if 0 < top < points - 1 and math.isfinite(f[top - 1]) and math.isfinite(f[top + 1]):
+                bend = f[top - 1] - 2.0 * f[top] + f[top + 1]
                 if bend < 0:
-                    best[c] += 0.5 * step * (fits[top - 1] - fits[top + 1]) / bend
-            grids[c] = [grid[top] - step + 2.0 * step * j / (points - 1) for j in range(points)]
-    return best
+                    best[i] += 0.5 * step * (f[top - 1] - f[top + 1]) / bend
+            grids[i] = [grid[top] - step + 2.0 * step * j / (points - 1) for j in range(points)]
+    return {c: best[i] for i, c in enumerate(columns)}
 
 
 def scale_params(df: DataFrame, values: Mapping[str, Column]) -> dict[str, tuple[float, float]]:

@@ -140,7 +140,7 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    direct_rows: int = 5_000_000,
+    direct_rows: int = 1_000_000,
     keep: int = 10_000,
     accuracy: int = 10_000,
 ) -> dict[str, list[float | None]]:
@@ -245,41 +245,42 @@ def _inside(c: Column, low, high) -> Column:
     return test
 
 
-def running_totals(
-    df: DataFrame, keys: Sequence[str], index: str, sums: dict[str, Column], block: int = 100_000
-) -> DataFrame:
-    """Inclusive running sums per key along ``index`` (0-based), split into blocks of rows.
-
-    Each task sums one block; block totals, smaller by the factor ``block``, are summed along the key and
-    joined back. No key is held by one task, however many rows it has.
-    """
-    blocked = df.withColumn("__block", F.floor(F.col(index) / block))
+def _block_offsets(df: DataFrame, keys: Sequence[str], index: str, sums: dict[str, Column], block: int) -> DataFrame:
+    """Sums over all earlier blocks of ``block`` rows of the same key."""
     by = [*keys, "__block"]
-    totals = blocked.groupBy(*by).agg(*[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
+    totals = df.groupBy(*keys, F.floor(F.col(index) / block).alias("__block")).agg(
+        *[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
     earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        *by, *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in sums]
-    )
-    inside = Window.partitionBy(*by).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    local = blocked.select("*", *[F.sum(e).over(inside).alias(f"__l_{n}") for n, e in sums.items()])
-    joined = local.join(totals, by) if keys else local.join(totals, "__block")
-    return joined.select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__b_{n}")).alias(n) for n in sums])
+    return totals.select(
+        *by, *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in sums])
 
 
-def sliding_totals(
-    df: DataFrame, keys: Sequence[str], index: str, width: int, sums: dict[str, Column], block: int = 100_000
+def block_totals(
+    df: DataFrame, keys: Sequence[str], index: str, running: dict[str, Column],
+    sliding: dict[str, Column] | None = None, width: int = 1, block: int = 100_000,
 ) -> DataFrame:
-    """Sums over the last ``width`` rows per key along ``index``, split into blocks of rows.
+    """Inclusive running sums and sums over the last ``width`` rows, per key along ``index`` (0-based).
 
-    A block carries the ``width - 1`` rows before it as context, so every frame is inside one task.
+    The rows of a key are cut into blocks, so no task holds a key however many rows it has. A block carries
+    the ``width - 1`` rows before it as context for the sliding sums; the running sums get the total of the
+    earlier blocks, which are fewer than the rows by the factor ``block``.
     """
     block = max(block, width)
-    own = F.floor(F.col(index) / block)
-    place = F.when(
-        F.col(index) % block > block - width, F.array(F.struct(own.alias("b"), F.lit(True).alias("own")),
-                                                      F.struct((own + 1).alias("b"), F.lit(False).alias("own")))
-    ).otherwise(F.array(F.struct(own.alias("b"), F.lit(True).alias("own"))))
-    copied = df.withColumn("__place", F.explode(place)).select("*", "__place.b", "__place.own").drop("__place")
-    frame = Window.partitionBy(*keys, "b").orderBy(index).rowsBetween(-(width - 1), 0)
-    out = copied.select("*", *[F.sum(e).over(frame).alias(n) for n, e in sums.items()])
-    return out.where("own").select(*df.columns, *sums)
+    sliding = sliding or {}
+    at = F.col(index)
+    mine = F.floor(at / block)
+    here = F.struct(mine.alias("b"), F.lit(True).alias("own"))
+    ahead = F.struct((mine + 1).alias("b"), F.lit(False).alias("own"))
+    places = F.when((at % block > block - width) & F.lit(bool(sliding)), F.array(here, ahead)).otherwise(F.array(here))
+    copied = df.withColumn("__place", F.explode(places)).select(
+        *df.columns, F.col("__place.b").alias("__block"), F.col("__place.own").alias("__own"))
+    inside = Window.partitionBy(*keys, "__block").orderBy(index)
+    last, upto = inside.rowsBetween(-(width - 1), 0), inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = copied.select(
+        "*", *[F.sum(F.when(F.col("__own"), e)).over(upto).alias(f"__l_{n}") for n, e in running.items()],
+        *[F.sum(e).over(last).alias(n) for n, e in sliding.items()]).where("__own")
+    if not running:
+        return local.select(*df.columns, *sliding)
+    offsets = _block_offsets(df, keys, index, running, block)
+    joined = local.join(offsets, [*keys, "__block"])
+    return joined.select(*df.columns, *sliding, *[(F.col(f"__l_{n}") + F.col(f"__b_{n}")).alias(n) for n in running])

@@ -130,16 +130,22 @@ def drift_params(spark, sf):
     return metrics.drift_params(sizes)
 
 
+def changing_prices(spark, sf):
+    """Orders in time order whose prices jump four times."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return drift.induce_drift(orders, ["o_orderdate", "o_orderkey"], n_drifts=4,
+                              strength=0.3, ignore=["o_orderkey", "o_orderpriority"])
+
+
 @query("adwin")
 def adwin(spark, sf):
-    rows = metrics.error_signal(stream(spark, sf), "y_true", "y_pred", "classification", "proba")
-    return drift.adwin(rows, "error", ["ts", "event_id"], ["event_type"], delta=0.2)
+    return drift.adwin(changing_prices(spark, sf), "o_totalprice", ["row_index"], ["o_orderpriority"], delta=0.01)
 
 
 @query("adwin_blocks")
 def adwin_blocks(spark, sf):
-    rows = metrics.error_signal(stream(spark, sf), "y_true", "y_pred", "classification", "proba")
-    return drift.adwin(rows, "error", ["ts", "event_id"], ["event_type"], delta=0.2, block=16)
+    return drift.adwin(changing_prices(spark, sf), "o_totalprice", ["row_index"], ["o_orderpriority"], delta=0.01,
+                       block=16)
 
 
 @query("column_drift_scan")

@@ -6,6 +6,8 @@ from shoal.operators import mitigate
 from shoal.operators.split import random_split_exact
 from shoal.plans.profile_queries import SPARSE_SQL, sparse_lines
 from shoal.plans.registry import query, table
+from shoal.session import fresh_path
+from shoal.sources import versions
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -179,11 +181,14 @@ def align_schema(spark, sf):
 
 
 def mitigated(spark, sf):
+    """Line items split 70/15/15 and written as a version, then cleaned split by split."""
     lines = table(spark, sf, "lineitem").select(
         *KEY, F.expr("nullif(l_quantity, 7.0)").alias("qty"), "l_extendedprice", "l_discount",
         F.expr("nullif(l_linestatus, 'O')").alias("status"), "l_returnflag")
     placed = random_split_exact(lines.withColumn("copy", F.hash(*lines.columns)), [*KEY, "copy"])
-    train, test, drift = [placed.where(F.col("split") == s).drop("split", "copy", *KEY)
+    root = fresh_path(spark, "versions")
+    versions.write_version(placed.drop("copy", *KEY), root, "u1", "lines", "v2")
+    train, test, drift = [versions.read_split(spark, root, "u1", "lines", "v2", s).drop("split")
                           for s in ("train", "test", "drift")]
     return mitigate.mitigate(train, test, drift, target="l_returnflag")
 

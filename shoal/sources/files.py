@@ -14,55 +14,71 @@ from shoal.functions.columns import base_name, col, extension
 EXTRA = "__extra"
 
 
+KINDS = ("long", "double", "boolean")
+# What each type looks like: a pattern is tested rather than a cast, as failing casts are slow.
+PATTERNS = {
+    "long": r"^\s*[+-]?\d{1,18}\s*$",
+    "double": r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$",
+    "boolean": r"^\s*([Tt]rue|[Ff]alse|TRUE|FALSE)\s*$",
+}
+
+
+def _narrowest(row, prefix: str = "") -> str | None:
+    """The first type that fits every value of a column, from its test results."""
+    return next((k for k in KINDS if row[f"{prefix}filled"] and row[f"{prefix}{k}"]), None)
+
+
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns as the narrowest of long, double, boolean and text that fits every value; one pass."""
     columns = [c for c in (columns or df.columns) if isinstance(df.schema[c].dataType, T.StringType)]
     if not columns:
         return df
-    kinds = ("long", "double", "boolean")
-    tests = [
-        F.coalesce(F.bool_and(F.trim(col(c)).try_cast(k).isNotNull() | col(c).isNull()), F.lit(False)).alias(f"{k}_{i}")
-        for i, c in enumerate(columns) for k in kinds
-    ]
-    filled = [F.count(col(c)).alias(f"n_{i}") for i, c in enumerate(columns)]
-    got = df.agg(*tests, *filled).first()
-
-    def typed(i: int, c: str) -> Column:
-        fitting = next((k for k in kinds if got[f"n_{i}"] and got[f"{k}_{i}"]), None)
-        return (F.trim(col(c)).try_cast(fitting) if fitting else col(c)).alias(c)
-
-    place = {c: i for i, c in enumerate(columns)}
-    return df.select(*[typed(place[c], c) if c in place else col(c) for c in df.columns])
+    tests = []
+    for i, c in enumerate(columns):
+        tests.append(F.count(col(c)).alias(f"{i}_filled"))
+        tests += [F.coalesce(F.bool_and(col(c).isNull() | col(c).rlike(PATTERNS[k])), F.lit(False))
+                  .alias(f"{i}_{k}") for k in KINDS]
+    got = df.agg(*tests).first()
+    kinds = {c: _narrowest(got, f"{i}_") for i, c in enumerate(columns)}
+    return df.select(*[
+        F.trim(col(c)).try_cast(kinds[c]).alias(c) if kinds.get(c) else col(c) for c in df.columns])
 
 
-def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, encoding) per file, judged on every line of it.
+def file_traits(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, encoding, multi_line) per file, judged on every line of it by a split scan.
 
     A file that is UTF-8 throughout is read as such, any other as Latin-1, which accepts all bytes; the
     further encodings of the order utf-8, latin-1, cp1252, iso-8859-1, utf-16 are then never reached, save
-    that a byte order mark still announces UTF-16.
+    that a byte order mark still announces UTF-16. Only a file with a line of unbalanced quotes can hold a
+    field with a line break; all others stay splittable.
     """
     lines = spark.read.text(path, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
     mark = F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FFFE", "FEFF")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     judged = lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(mark).alias("marked"))
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(mark).alias("marked"),
+        F.bool_or(quotes % 2 == 1).alias("open_quote"))
     name = F.when(F.col("valid"), "UTF-8").when(F.col("marked"), "UTF-16").otherwise("ISO-8859-1")
-    return judged.select("path", name.alias("encoding"))
+    out = judged.select("path", name.alias("encoding"), "open_quote")
+    return out.select("path", "encoding", (F.col("open_quote") | (F.col("encoding") == "UTF-16")).alias("multi_line"))
+
+
+def _grouped(traits: DataFrame) -> list[tuple[str, bool, list[str]]]:
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for r in traits.collect():  # one row per file
+        groups.setdefault((r["encoding"], r["multi_line"]), []).append(r["path"])
+    return [(*key, sorted(paths)) for key, paths in sorted(groups.items())]
 
 
 def read_csv_robust(spark: SparkSession, path: str | list[str], sep: str = ",", infer: bool = True) -> DataFrame:
     """CSV with a header in whatever encoding; lines with too many fields are skipped, short ones filled."""
-    groups: dict[str, list[str]] = {}
-    for r in file_encodings(spark, path).collect():  # one row per file
-        groups.setdefault(r["encoding"], []).append(r["path"])
     out = None
-    for encoding, paths in sorted(groups.items()):
-        options = dict(header=True, sep=sep, encoding=encoding, multiLine=True, escape='"', nullValue="")
+    for encoding, multi_line, paths in _grouped(file_traits(spark, path)):
+        options = dict(header=True, sep=sep, encoding=encoding, multiLine=multi_line, escape='"')
         names = spark.read.csv(paths, **options).columns
         schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, EXTRA]])
         # one column more than the header: only a line that is too long puts something there
-        rows = spark.read.csv(paths, schema=schema, mode="PERMISSIVE", enforceSchema=True,
-                              **{**options, "nullValue": "\u0000"})
+        rows = spark.read.csv(paths, schema=schema, mode="PERMISSIVE", enforceSchema=True, nullValue="\u0000", **options)
         rows = rows.where(col(EXTRA).isNull()).drop(EXTRA)
         rows = rows.select(*[F.nullif(col(c), F.lit("")).alias(c) for c in names])
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
@@ -71,8 +87,12 @@ def read_csv_robust(spark: SparkSession, path: str | list[str], sep: str = ",",
 
 def read_tsv(spark: SparkSession, path: str | list[str], infer: bool = True) -> DataFrame:
     """Tab-separated text; bytes that are not UTF-8 become replacement characters."""
-    rows = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True)
-    return infer_types(rows) if infer else rows
+    out = None
+    traits = file_traits(spark, path).withColumn("encoding", F.lit("UTF-8"))
+    for _, multi_line, paths in _grouped(traits):
+        rows = spark.read.csv(paths, sep="\t", header=True, quote='"', escape='"', multiLine=multi_line)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return infer_types(out) if infer else out
 
 
 def read_zipped_csv(spark: SparkSession, path: str | list[str], infer: bool = True) -> DataFrame:
@@ -135,13 +155,21 @@ def read_headerless(
     text = spark.read.text(path).where(F.trim("value") != "")
     parts = F.split(F.trim("value"), r"\s+") if sep is None else F.split("value", "\\" + sep)
     rows = text.select(parts.alias("x"))
+    # one row per field, so that each line is split once for all tests
+    field = F.nullif(F.trim("v"), F.lit(missing))
+    fields = rows.select(F.posexplode("x").alias("i", "v")).select("i", field.alias("v"))
+    tests = fields.groupBy("i").agg(F.count("v").alias("filled"), *[
+        F.bool_and(F.col("v").isNull() | F.col("v").rlike(PATTERNS[k])).alias(k) for k in KINDS]).collect()
+    kinds = {r["i"]: _narrowest(r) for r in tests}
     if names is None:
-        width = rows.agg(F.max(F.size("x")).alias("n")).first()["n"]
-        if width < 2:
+        if len(kinds) < 2:
             raise ValueError("expected at least two columns")
-        names = [f"f{i}" for i in range(1, width)] + [target]
-    cells = [F.nullif(F.trim(F.get("x", F.lit(i))), F.lit(missing)).alias(n) for i, n in enumerate(names)]
-    return infer_types(rows.select(*cells))
+        names = [f"f{i}" for i in range(1, len(kinds))] + [target]
+    cells = []
+    for i, n in enumerate(names):
+        value = F.nullif(F.trim(F.get("x", F.lit(i))), F.lit(missing))
+        cells.append((value.try_cast(kinds[i]) if kinds.get(i) else value).alias(n))
+    return rows.select(*cells)
 
 
 def read_attribute_names(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
