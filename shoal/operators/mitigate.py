@@ -244,7 +244,7 @@ def _yeo_johnson(positive: Column, size: Column, lam: Column) -> Column:
     return F.when(positive, grown).otherwise(-grown)
 
 
-def yeo_johnson_fit(df: DataFrame, columns: Sequence[str], passes: int = 4, points: int = 17) -> dict[str, float]:
+def yeo_johnson_fit(df: DataFrame, columns: Sequence[str], passes: int = 4, points: int = 9) -> dict[str, float]:
     """Exponent of greatest likelihood per column.
 
     The likelihood needs only the variance of the transformed values and one sum. Each pass meets every value

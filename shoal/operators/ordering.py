@@ -140,7 +140,7 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    direct_rows: int = 1_000_000,
+    direct_rows: int = 100_000,
     keep: int = 10_000,
     accuracy: int = 10_000,
 ) -> dict[str, list[float | None]]:
@@ -191,36 +191,46 @@ def _order_statistics(values, targets, sizes, keep, accuracy):
     open_brackets = {t: (None, None, 0, sizes[t[0]]) for t in targets}
     while open_brackets:
         small = {t: b for t, b in open_brackets.items() if b[3] <= keep}
-        if small:
-            for t, (low, high, before, _) in small.items():
-                inside = _inside(F.col(f"`{t[0]}`"), low, high)
-                rows = values.where(inside).groupBy(F.col(f"`{t[0]}`").alias("v")).count().collect()
-                seen = before
-                for r in sorted(rows, key=lambda r: r["v"]):
-                    seen += r["count"]
+        if small:  # one fetch for all of them
+            tags = F.explode(F.array_compact(F.array(*[
+                F.when(_inside(F.col(f"`{t[0]}`"), low, high), F.struct(F.lit(i).alias("i"), F.col(f"`{t[0]}`").alias("v")))
+                for i, (t, (low, high, *_)) in enumerate(small.items())])))
+            fetched: dict[int, list] = {}
+            for r in values.select(tags.alias("x")).groupBy("x.i", "x.v").count().collect():
+                fetched.setdefault(r["i"], []).append((r["v"], r["count"]))
+            for i, (t, (_, _, seen, _)) in enumerate(small.items()):
+                for v, n in sorted(fetched[i]):
+                    seen += n
                     if seen > t[1]:
-                        found[t] = r["v"]
+                        found[t] = v
                         break
         large = {t: b for t, b in open_brackets.items() if t not in small}
         if not large:
             return found
+        # targets that still share a bracket share its sketch
+        shared: dict[tuple, list] = {}
+        for t, (low, high, before, inside) in large.items():
+            share, slack = (t[1] - before + 0.5) / inside, 2.0 / accuracy
+            shared.setdefault((t[0], low, high), []).append((t, max(0.0, share - slack), min(1.0, share + slack)))
         sketches = []
-        for i, (t, (low, high, before, inside)) in enumerate(large.items()):
-            c = F.col(f"`{t[0]}`")
-            share = (t[1] - before + 0.5) / inside
-            slack = 2.0 / accuracy
-            ends = F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack)))
-            sketches.append(F.percentile_approx(F.when(_inside(c, low, high), c), ends, accuracy).alias(f"s{i}"))
-        guess = values.agg(*sketches).first()
+        for i, ((c, low, high), group) in enumerate(shared.items()):
+            points = [F.lit(p) for _, *ends in group for p in ends]
+            inside = F.when(_inside(F.col(f"`{c}`"), low, high), F.col(f"`{c}`"))
+            sketches.append(F.percentile_approx(inside, F.array(*points), accuracy).alias(f"s{i}"))
+        row = values.agg(*sketches).first()
+        guess = {}
+        for i, group in enumerate(shared.values()):
+            for j, (t, *_) in enumerate(group):
+                guess[t] = (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
         counts = []
         for i, t in enumerate(large):
-            c, (a, b) = F.col(f"`{t[0]}`"), guess[f"s{i}"]
+            c, (a, b) = F.col(f"`{t[0]}`"), guess[t]
             for j, test in enumerate((c < a, c <= a, c < b, c <= b)):
                 counts.append(F.count_if(test).alias(f"c{i}_{j}"))
         got = values.agg(*counts).first()
         open_brackets = {}
         for i, (t, (low, high, before, inside)) in enumerate(large.items()):
-            a, b = guess[f"s{i}"]
+            a, b = guess[t]
             lt_a, le_a, lt_b, le_b = (got[f"c{i}_{j}"] for j in range(4))
             rank = t[1]
             if rank < lt_a:
