@@ -234,6 +234,9 @@ def training_windows(indexed: DataFrame, log: DataFrame, width: int, keys: Seque
     return near.where((F.col("row_index") <= t) & (F.col("row_index") > t - width)).drop("__block")
 
 
+# Batches per block when intervals of batches are joined to rows.
+INTERVAL_BLOCK = 64
+
 MODEL_FIELDS = [
     T.StructField("event_index", T.LongType()), T.StructField("classes", T.ArrayType(T.StringType())),
     T.StructField("weights", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("trained_rows", T.LongType()),
@@ -284,18 +287,22 @@ def rescore(
 ) -> DataFrame:
     """Predictions of the model in force: a new model counts from the batch after its alarm.
 
-    Batches with a new model are few; each batch of rows finds the last one at or before it, then one
-    equi-join brings the weights.
+    Each model is in force for an interval of batches. Intervals are cut at blocks of ``INTERVAL_BLOCK``
+    batches, so that rows find theirs with an equi-join on the block; no pass over the rows in order.
     """
     spot = F.floor(F.col("event_index") / batch) + 1
-    newest = models.groupBy(*keys, spot.alias("__batch")).agg(
-        F.max_by(F.struct("event_index", "classes", "weights"), "event_index").alias("__model"))
+    newest = models.groupBy(*keys, spot.alias("__from")).agg(
+        F.max_by(F.struct("classes", "weights"), "event_index").alias("__model"))
+    following = F.lead("__from").over(Window.partitionBy(*keys).orderBy("__from"))  # over the models only
+    last = indexed.agg(F.floor(F.max("row_index") / batch).alias("m")).first()["m"]
+    spans = newest.withColumn("__to", F.coalesce(following - 1, F.lit(last))).where(F.col("__from") <= F.col("__to"))
+    spans = spans.withColumn("__block", F.explode(F.sequence(
+        F.floor(F.col("__from") / INTERVAL_BLOCK), F.floor(F.col("__to") / INTERVAL_BLOCK))))
     rows = indexed.withColumn("__batch", F.floor(F.col("row_index") / batch))
-    places = rows.select(*keys, "__batch").distinct()
-    order = Window.partitionBy(*keys).orderBy("__batch").rowsBetween(Window.unboundedPreceding, 0)
-    in_force = places.join(newest, [*keys, "__batch"], "left").withColumn(
-        "__model", F.last("__model", ignorenulls=True).over(order)).where("__model is not null")
-    joined = rows.join(in_force, [*keys, "__batch"], "left").select("*", "__model.classes", "__model.weights")
+    rows = rows.withColumn("__block", F.floor(F.col("__batch") / INTERVAL_BLOCK))
+    on = [rows[c].eqNullSafe(spans[c]) for c in (*keys, "__block")] + [
+        rows["__batch"] >= spans["__from"], rows["__batch"] <= spans["__to"]]
+    joined = rows.join(spans, on, "left").select(*[rows[c] for c in indexed.columns], "__model.classes", "__model.weights")
     scores = _scores(features)
     has = F.col("weights").isNotNull()
     if task == "classification":

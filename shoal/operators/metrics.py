@@ -13,6 +13,8 @@ from shoal.operators.ordering import block_totals, row_index
 
 # Beyond this rank Spark's window group limit no longer applies (spark.sql.optimizer.windowGroupLimitThreshold).
 RANK_LIMIT = 1_000
+# A column with more values than this is no class label.
+MAX_CLASSES = 10_000
 
 
 def normalize_label(df: DataFrame, column: str) -> Column:
@@ -45,17 +47,20 @@ def error_signal(
 
 def nearest_class_label(df: DataFrame, y_true: str, y_pred: str, into: str = "y_pred_label") -> DataFrame:
     """Fractional predictions as the nearest numeric class (ties to the smaller), rounded if classes are text."""
-    counts = df.where(col(y_true).isNotNull()).groupBy(col(y_true).cast("string").alias("c")).count()
-    classes = counts.agg(
-        F.sort_array(F.collect_list(F.col("c").try_cast("double"))).alias("classes"),
-        F.count_if(F.col("c").try_cast("double").isNull()).alias("texts"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    found = df.where(col(y_true).isNotNull()).select(col(y_true).cast("string").alias("c")).distinct()
+    names = [r["c"] for r in found.limit(MAX_CLASSES + 1).collect()]
+    if len(names) > MAX_CLASSES:
+        raise ValueError(f"{y_true} has more than {MAX_CLASSES} values: not a class column")
     guess = col(y_pred).cast("double")
-    near = F.array_min(F.transform("classes", lambda c: F.struct(F.abs(c - guess).alias("d"), c.alias("c"))))["c"]
-    label = F.when(guess.isNull(), F.lit(None)).when(F.col("texts") == 0, near.cast("long")).otherwise(
-        F.bround(guess).cast("long"))
-    return df.join(F.broadcast(classes)).withColumn(into, label.cast("string")).drop("classes", "texts", "n")
+    try:
+        numbers = sorted(float(n) for n in names)
+    except ValueError:
+        return df.withColumn(into, F.bround(guess).cast("long").cast("string"))
+    if not numbers:
+        return df.withColumn(into, F.lit(None).cast("string"))
+    options = F.transform(F.lit(numbers), lambda c: F.struct(F.abs(c - guess).alias("d"), c.alias("c")))
+    label = F.when(guess.isNotNull(), F.array_min(options)["c"].cast("long"))
+    return df.withColumn(into, label.cast("string"))
 
 
 def class_counts(df: DataFrame, y_true: Column, y_pred: Column, keys: Sequence[str] = ()) -> DataFrame:

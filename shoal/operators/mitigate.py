@@ -11,14 +11,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.stat import KolmogorovSmirnovTest
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoal.functions.columns import NUMERIC, categorical_columns, col, lookup, nan_to_null, numeric_columns
 from shoal.operators.neighbors import exact_neighbors
 from shoal.operators.ordering import exact_quantiles, row_index, uniform
-from shoal.operators.profile import aggregate_once, column_moments, value_counts
+from shoal.operators.profile import aggregate_once, column_moments, digested, duplicate_rows, value_counts
 from shoal.session import materialize
 
 # Spellings of true and false, and the limits of the rules.
@@ -114,13 +114,20 @@ def boolean_token(value: Column) -> Column:
 
 
 def text_column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column over all rows: distinct values, average length, share and majority of boolean tokens."""
+    """Per column over all rows: distinct values, average length, share and majority of boolean tokens.
+
+    Equal values are merged before the shuffle, and long texts travel as digests.
+    """
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), digested(c, df.schema[c].dataType).cast("string").alias("value"),
+                 F.length(col(c).cast("string")).alias("size")) for c in columns]))
+    counts = df.select(cells.alias("x")).groupBy("x.column_name", "x.value", "x.size").agg(F.count(F.lit(1)).alias("n"))
     value, n = F.col("value"), F.col("n")
     token = boolean_token(value)
     filled = F.sum(F.when(value.isNotNull(), n).otherwise(0))
-    stats = value_counts(df, columns).groupBy("column_name").agg(
+    stats = counts.groupBy("column_name").agg(
         filled.alias("filled"), F.count("value").alias("distinct_values"),
-        (F.sum(F.length(value) * n) / filled).alias("average_length"),
+        (F.sum(F.col("size") * n) / filled).alias("average_length"),
         F.sum(F.when(token.isNotNull(), n).otherwise(0)).alias("token_rows"),
         F.sum(F.when(token, n).otherwise(0)).alias("true_rows"),
         F.sum(F.when(token.isNull(), n).otherwise(0)).alias("invalid_rows"),
@@ -404,8 +411,6 @@ def smote(df: DataFrame, target: str, k: int = SMOTE_NEIGHBORS, seed: int = 42,
     far = distinct.select("g", F.col("id").alias("neighbor"), F.col("copies").alias("n_copies"),
                           *[F.col(c).alias(f"n_{c}") for c in names])
     near = near.join(far, ["g", "neighbor"])
-    from pyspark.sql import Window
-
     upto = Window.partitionBy("g", "id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("upto", F.sum("n_copies").over(upto)).drop("distance", "rank", "neighbor")
     picked = outside.join(near, ["g", "id"]).where(
@@ -475,8 +480,6 @@ def align_schema(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fit(train: DataFrame, target: str | None = None, had_duplicates: bool | None = None, seed: int = 42,
         oversample: bool = True) -> tuple[DataFrame, MitigationState]:
     """All steps on the training split; the state serves the other splits."""
-    from shoal.operators.profile import duplicate_rows
-
     state = MitigationState(target=target)
     df = fit_fill(nan_to_null(train), state)
     copies = duplicate_rows(df).first()["duplicate_rows"] if had_duplicates is None else int(had_duplicates)
@@ -517,8 +520,6 @@ def mitigate(
     train: DataFrame, test: DataFrame, drift: DataFrame, target: str | None = None, seed: int = 42
 ) -> tuple[DataFrame, DataFrame, MitigationState]:
     """All three splits cleaned with rules from ``train``: (rows with ``split``, log, state)."""
-    from shoal.operators.profile import duplicate_rows
-
     whole = train.unionByName(test).unionByName(drift)
     copies = duplicate_rows(nan_to_null(whole)).first()["duplicate_rows"] > 0
     fitted, state = fit(train, target, copies, seed)

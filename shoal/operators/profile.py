@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoal.functions.columns import categorical_columns, col, nan_to_null, numeric_columns, string_columns
+from shoal.functions.columns import col, json_clean, nan_to_null, numeric_columns, string_columns
 from shoal.operators.ordering import exact_quantiles
 
 # Aggregates per job: wider ones leave whole-stage code generation.
@@ -127,6 +127,13 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return df.select(cells.alias("x")).groupBy("x.column_name", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def digested(c: str, kind: T.DataType) -> Column:
+    """The column as a grouping key: long texts as their SHA-256, so that they are not shuffled whole."""
+    if not isinstance(kind, T.StringType):
+        return col(c)
+    return F.when(F.length(col(c)) > 64, F.concat(F.lit("sha256:"), F.sha2(col(c), 256))).otherwise(col(c))
+
+
 def unique_values(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Distinct non-null values per column."""
     df = nan_to_null(df)
@@ -136,7 +143,8 @@ def unique_values(df: DataFrame, columns: Sequence[str] | None = None, approx: b
         return one.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column_name"), col(c).alias("distinct_count")) for c in columns
         ])).alias("x")).select("x.*")
-    return value_counts(df, columns).groupBy("column_name").agg(F.count("value").alias("distinct_count"))
+    keys = df.select(*[digested(c, df.schema[c].dataType).alias(c) for c in columns])
+    return value_counts(keys, columns).groupBy("column_name").agg(F.count("value").alias("distinct_count"))
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
@@ -146,7 +154,8 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Number of rows beyond the first of each identical row; nulls are equal."""
-    return duplicate_groups(df).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
+    keys = df.select(*[digested(f.name, f.dataType).alias(f.name) for f in df.schema.fields])
+    return duplicate_groups(keys).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def duplicate_sample(df: DataFrame, size: int = 5) -> DataFrame:
@@ -257,7 +266,5 @@ def profile_report(df: DataFrame, target: str | None = None) -> DataFrame:
     ):
         parts = parts.join(F.broadcast(packed(table, name)))
     parts = parts.join(F.broadcast(duplicate_rows(df).withColumnRenamed("duplicate_rows", "duplicate_rows_count")))
-    from shoal.functions.columns import json_clean
-
     clean = json_clean(parts)
     return clean.select(F.to_json(F.struct(*[col(c) for c in clean.columns])).alias("report"))

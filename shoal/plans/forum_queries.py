@@ -16,7 +16,8 @@ QUESTIONS_SQL = """(SELECT c_custkey AS question_id, c_name AS title, c_mktsegme
 ANSWERS_SQL = """(SELECT o_orderkey AS answer_id, o_orderpriority AS description, o_custkey AS question_id,
  o_custkey // 10 AS expert_id, CASE WHEN o_orderstatus = 'P' THEN o_orderkey // 2 WHEN o_orderstatus = 'O'
  THEN o_orderkey - 1 END AS parent_id, o_orderdate AS created_at FROM orders)"""
-VOTES_SQL = """(SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS vote_id,
+VOTES_SQL = """(SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+ strftime(l_shipdate, '%Y%m%d')) AS vote_id,
  l_suppkey AS expert_id, l_orderkey AS answer_id, CASE l_returnflag WHEN 'R' THEN -1 ELSE 1 END AS vote_value,
  l_shipdate AS created_at FROM lineitem)"""
 
@@ -54,6 +55,7 @@ def answers(spark, sf):
 
 def votes(spark, sf):
     ids = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    ids.append(F.date_format("l_shipdate", "yyyyMMdd"))
     return table(spark, sf, "lineitem").select(
         F.concat_ws("-", *ids).alias("vote_id"), F.col("l_suppkey").alias("expert_id"),
         F.col("l_orderkey").alias("answer_id"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("vote_value"),

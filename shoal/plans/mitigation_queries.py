@@ -164,15 +164,15 @@ def ks_normality(spark, sf):
     return mitigate.ks_normality(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"])
 
 
-@query("drift_scale", """SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders
- WHERE o_orderstatus <> 'P')) / (SELECT stddev_pop(o_totalprice) FROM orders WHERE o_orderstatus <> 'P'), 6) + 0.0
- AS o_totalprice FROM orders""")
+@query("drift_scale", """SELECT event_id, round((value - (SELECT avg(value) FROM events
+ WHERE event_type <> 'view')) / (SELECT stddev_pop(value) FROM events WHERE event_type <> 'view'), 6) + 0.0
+ AS value FROM events""")
 def drift_scale(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    events = table(spark, sf, "events").select("event_id", "value", "event_type")
     state = mitigate.MitigationState()
-    mitigate.fit_drift_scale(orders.where("o_orderstatus <> 'P'"), state, ["o_totalprice"])
-    out = mitigate.standard_scale(orders, state.scale)
-    return out.select("o_orderkey", (F.round("o_totalprice", 6) + 0.0).alias("o_totalprice"))
+    mitigate.fit_drift_scale(events.where("event_type <> 'view'"), state, ["value"])
+    out = mitigate.standard_scale(events, state.scale)
+    return out.select("event_id", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("align_schema", "SELECT p_size, 0 AS absent, p_partkey FROM part")
