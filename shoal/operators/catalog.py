@@ -52,6 +52,11 @@ SCORE_COLUMNS = {
 }
 
 
+def duplicate_keys(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that occur more than once."""
+    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
 def page(df: DataFrame, order: Sequence[Column], skip: int = 0, limit: int | None = 100) -> DataFrame:
     """One page under a total order (planned as a top-n when it has a limit)."""
     df = df.orderBy(*order)

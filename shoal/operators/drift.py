@@ -85,11 +85,17 @@ def adwin(
 
 
 def column_drift_scan(
-    df: DataFrame, order_by: Sequence[str], column: str | None = None, delta: float = 0.01, block: int = 64
+    df: DataFrame, order_by: Sequence[str], column: str | None = None, delta: float = 0.01, max_blocks: int = 100_000
 ) -> DataFrame:
-    """Drift along one numeric column (the first by default) of a whole table."""
+    """Drift along one numeric column (the first by default) of a whole table.
+
+    The table is summed into at most ``max_blocks`` blocks of neighbouring rows, in parallel, so that the
+    sequential part is bounded whatever the size; every row counts.
+    """
     column = column or numeric_columns(df)[0]
-    return adwin(df, column, order_by, (), delta, block).withColumn("column_analyzed", F.lit(column))
+    block = max(1, -(-df.where(col(column).isNotNull()).count() // max_blocks))
+    found = adwin(df, column, order_by, (), delta, block)
+    return found.withColumns({"column_analyzed": F.lit(column), "block_rows": F.lit(block)})
 
 
 def monitor_drift(

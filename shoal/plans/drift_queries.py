@@ -150,7 +150,8 @@ def adwin_blocks(spark, sf):
 
 @query("column_drift_scan")
 def column_drift_scan(spark, sf):
-    return drift.column_drift_scan(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], "o_totalprice", delta=0.2)
+    return drift.column_drift_scan(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], "o_totalprice", delta=0.2,
+                                   max_blocks=1000)
 
 
 @query("monitor_drift")

@@ -98,35 +98,50 @@ def read_tsv(spark: SparkSession, path: str | list[str], infer: bool = True) ->
 def read_zipped_csv(spark: SparkSession, path: str | list[str], infer: bool = True) -> DataFrame:
     """CSV files that may be ZIP archives: of each archive the first ``.csv`` entry outside ``__`` folders.
 
-    A task holds one file at a time and passes it on as rows of fields.
+    A task holds one file at a time, unpacks it as a stream and passes it on as rows of fields.
     """
     blobs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return unzip_csv(blobs.select("path", "content"), infer)
 
 
+def _entry(name: str, content: bytes):
+    """The CSV bytes of a file as a stream, from inside an archive if it is one."""
+    import io
+    import zipfile
+
+    if content[:2] != b"PK":
+        return io.BytesIO(content)
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    for entry in archive.namelist():
+        if entry.lower().endswith(".csv") and not entry.startswith("__"):
+            return archive.open(entry)
+    raise ValueError(f"{name} holds no CSV file")
+
+
+def _is_utf8(stream) -> bool:
+    import codecs
+
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    try:
+        while chunk := stream.read(1 << 20):
+            decoder.decode(chunk)
+        decoder.decode(b"", final=True)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def unzip_csv(blobs: DataFrame, infer: bool = True) -> DataFrame:
     """The rows of all files in a table of (path, content); columns are the union of their headers."""
 
     def fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
         import io
-        import zipfile
 
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                stream = io.BytesIO(content)
-                if content[:2] == b"PK":
-                    archive = zipfile.ZipFile(stream)
-                    entry = next((n for n in archive.namelist()
-                                  if n.lower().endswith(".csv") and not n.startswith("__")), None)
-                    if entry is None:
-                        raise ValueError(f"{name} holds no CSV file")
-                    content = archive.read(entry)
-                try:
-                    text = content.decode("utf-8")
-                except UnicodeDecodeError:
-                    text = content.decode("latin-1")
-                reader = csv.reader(io.StringIO(text, newline=""))
+                encoding = "utf-8" if _is_utf8(_entry(name, content)) else "latin-1"
+                reader = csv.reader(io.TextIOWrapper(_entry(name, content), encoding=encoding, newline=""))
                 header = next(reader, [])
                 rows: list[list[str | None]] = []
                 for row in reader:

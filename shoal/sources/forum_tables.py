@@ -57,7 +57,7 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
                           "Enterprise", "Citizen", "Other"),
 }
 
-# Fields of each entity of the bulk JSON, besides ``id``.
+# Key and fields of each entity of the bulk JSON, besides ``id``.
 ENTITIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "Expert": ("expert_id", ("user_id", "is_deleted", "area_of_expertise", "bio", "date_joined", "profile_picture")),
     "Theme": ("theme_id", ("name", "description", "views", "expert_id", "problem_category", "model_category",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fields of a trigger, in its ``input`` or (old events) at the top.
 FIELDS = (
     "user_id string, dataset_id string, dataset_version string, model_id string, model_version string, "
     "task_category string, task_type string, target_column_name string, target_column string, "
@@ -15,19 +16,21 @@ FIELDS = (
 )
 TRIGGER = f"task_id string, event_id string, event_type string, timestamp string, input struct<{FIELDS}>, {FIELDS}"
 
-# Completion event and error type of each stage, and the trigger that follows a finished stage.
+# Completion event, error type and default message of each stage.
 STAGES = {
     "bias": ("bias-detection-complete", "BiasDetectionError", "Bias detection failed"),
     "automl": ("automl-complete", "AutoMLError", "AutoML training failed"),
     "xai": ("xai-complete", "XAIError", "XAI report generation failed"),
     "drift": ("concept-drift-complete", "ConceptDriftError", "Concept drift retraining failed"),
 }
+# Fields of the output of each stage.
 OUTPUTS = {
     "bias": ("bias_report_id", "dataset_id", "dataset_version", "user_id"),
     "automl": ("model_id", "model_version", "dataset_id", "dataset_version", "user_id"),
     "xai": ("xai_report_id", "dataset_id", "dataset_version", "user_id", "model_id", "model_version"),
     "drift": ("model_id", "model_version", "dataset_id", "dataset_version", "user_id"),
 }
+# The trigger that follows each finished stage, and the order of the stages.
 NEXT_TRIGGER = {
     "dataset.uploaded": "bias-trigger.reported",
     "bias-detection-complete": "automl-trigger.reported",
@@ -92,7 +95,7 @@ def rejected(checked: DataFrame, kind: str) -> DataFrame:
     return complete_events(bad.withColumns({"success": F.lit(False), "error_message": F.col("failure_reason")}), kind)
 
 
-def dedup_triggers(events: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def dedup_triggers(events: DataFrame, within: str = "1 hour") -> DataFrame:
     """The first delivery of each task. A stream forgets a task ``within`` after it (bounded state)."""
     if events.isStreaming:
         return events.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(["task_id"])
@@ -101,7 +104,12 @@ def dedup_triggers(events: DataFrame, within: str = "1 hour", late: str = "10 mi
 
 
 def dataset_events(cat: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """One upload event per dataset: its newest split version if there is one, else the newest original."""
+    """One upload event per dataset: its newest split version if there is one, else the newest original.
+
+    A version is split when ``custom_metadata.split`` is there, unless a column ``has_split`` says so.
+    """
+    if "has_split" not in cat.columns:
+        cat = cat.withColumn("has_split", F.col("custom_metadata.split").isNotNull())
     rank = F.struct(F.col("has_split"), F.col("created_at"), F.col("version"))
     pick = cat.groupBy("user_id", "dataset_id").agg(F.max_by(F.struct(*cat.columns), rank).alias("d"))
     when = as_of if as_of is not None else F.current_timestamp()

@@ -190,3 +190,22 @@ def test_patterns_must_be_connected(spark):
     assert [tuple(r) for r in graph.match_pattern(triples, [("?x", "p", "?x")]).collect()] == [("b",)]
     with pytest.raises(ValueError):
         graph.match_pattern(triples, [("?x", "p", "?y"), ("?z", "p", "b")])
+
+
+def test_upload_events_prefer_the_split(spark):
+    from shoal import schemas
+    from shoal.streaming import events as flow
+
+    split = {"split": {"train": 7, "test": 1, "drift": 2}, "is_mitigated": False, "file_count": 2}
+    when = datetime.fromisoformat("2024-01-01")
+    rows = [{"user_id": "u", "dataset_id": "d", "version": "v1", "created_at": when, "files": None},
+            {"user_id": "u", "dataset_id": "d", "version": "v2", "created_at": when, "custom_metadata": split,
+             "files": [{"filename": "a"}, {"filename": "b"}]},
+            {"user_id": "u", "dataset_id": "e", "version": "v1", "created_at": when}]
+    cat = spark.createDataFrame(rows, schemas.CATALOG_DATASET)
+    got = sorted(ids(flow.dataset_events(cat, F.lit("2024-05-01").cast("timestamp")), "key", "version", "file_count"))
+    assert got == [("d", "v2", 2), ("e", "v1", 1)]
+    assert catalog.duplicate_keys(cat, schemas.KEYS["catalog_dataset"]).isEmpty()
+    assert ids(catalog.duplicate_keys(cat, ["user_id", "dataset_id"]), "dataset_id", "copies") == [("d", 2)]
+    for ddl in (schemas.CATALOG_MODEL, schemas.REPORT_XAI, schemas.USER_FILE, *schemas.FORUM.values()):
+        assert spark.createDataFrame([], ddl).isEmpty()
