@@ -50,22 +50,30 @@ def scan_series(
 
 
 def adwin(
-    df: DataFrame, value: str, order_by: Sequence[str], keys: Sequence[str] = (), delta: float = 0.1, block: int = 1
+    df: DataFrame, value: str, order_by: Sequence[str], keys: Sequence[str] = (), delta: float = 0.1, block: int = 1,
+    max_blocks: int | None = None,
 ) -> DataFrame:
     """Detections per key: (index, mean of the shrunken window, its size).
 
     With ``block`` = 1 each value is one element. A larger block sums that many neighbouring rows with a
-    parallel aggregate first and tests once per block: the way for one very long series, as only one row
-    in ``block`` then goes through the sequential part. Every row counts; the index is the block's last row.
+    parallel aggregate first and tests once per block, so that only one row in ``block`` goes through the
+    sequential part. ``max_blocks`` chooses the block of each key: 1 while the key has no more rows than that,
+    else as large as needed, which bounds the sequential part of a dominant key. Every row counts; the index is
+    the block's last row.
     """
     present = df.where(col(value).isNotNull()).select(*keys, *order_by, col(value).cast("double").alias("__v"))
     out = T.StructType(_key_fields(df, keys) + [
         T.StructField("row_index", T.LongType()), T.StructField("window_mean", T.DoubleType()),
         T.StructField("window_rows", T.LongType())])
-    if block > 1:
-        place = F.floor(F.col("__i") / block)
+    if block > 1 or max_blocks is not None:
+        placed = row_index(present, order_by, "__i", keys)
+        size = F.lit(block)
+        if max_blocks is not None:
+            rows = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_blocks).alias("__size"))
+            placed = placed.join(rows, list(keys)) if keys else placed.join(F.broadcast(rows))
+            size = F.greatest(F.col("__size"), F.lit(block))
         v = F.col("__v")
-        present = row_index(present, order_by, "__i", keys).groupBy(*keys, place.alias("__block")).agg(
+        present = placed.groupBy(*keys, F.floor(F.col("__i") / size).alias("__block")).agg(
             F.count(v).alias("__n"), F.sum(v).alias("__t"), (F.var_pop(v) * F.count(v)).alias("__s"))
         order_by, values = ["__block"], ["__t", "__n", "__s"]
     else:
@@ -93,9 +101,7 @@ def column_drift_scan(
     sequential part is bounded whatever the size; every row counts.
     """
     column = column or numeric_columns(df)[0]
-    block = max(1, -(-df.where(col(column).isNotNull()).count() // max_blocks))
-    found = adwin(df, column, order_by, (), delta, block)
-    return found.withColumns({"column_analyzed": F.lit(column), "block_rows": F.lit(block)})
+    return adwin(df, column, order_by, (), delta, max_blocks=max_blocks).withColumn("column_analyzed", F.lit(column))
 
 
 def monitor_drift(

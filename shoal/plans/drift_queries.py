@@ -148,6 +148,12 @@ def adwin_blocks(spark, sf):
                        block=16)
 
 
+@query("adwin_bounded")
+def adwin_bounded(spark, sf):
+    return drift.adwin(changing_prices(spark, sf), "o_totalprice", ["row_index"], ["o_orderpriority"], delta=0.01,
+                       max_blocks=1000)
+
+
 @query("column_drift_scan")
 def column_drift_scan(spark, sf):
     return drift.column_drift_scan(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], "o_totalprice", delta=0.2,
@@ -172,7 +178,8 @@ DRIFT_SQL = """WITH r AS (SELECT o_orderkey, o_totalprice, o_custkey, row_number
 @query("induce_drift", DRIFT_SQL + """ SELECT o_orderkey, row_index, segment, round(CASE WHEN segment = 0 THEN
  o_totalprice ELSE o_totalprice * CASE WHEN segment % 3 = 0 THEN 1.8 ELSE 0.5 END + segment * 0.3 *
  CASE WHEN segment % 2 = 1 THEN 1 ELSE -1 END END, 4) AS o_totalprice, round(CASE WHEN segment = 0 THEN o_custkey
- ELSE o_custkey + 0.75 * segment * 0.3 * CASE WHEN segment % 2 = 1 THEN 1 ELSE -1 END END, 4) AS o_custkey FROM s""")
+ ELSE o_custkey + 0.75 * segment * 0.3 * CASE WHEN segment % 2 = 1 THEN 1 ELSE -1 END END::DOUBLE, 4)
+ AS o_custkey FROM s""")
 def induce_drift(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderdate")
     out = drift.induce_drift(orders, ["o_orderdate", "o_orderkey"], n_drifts=4, strength=0.3, noise=0.0,

@@ -74,6 +74,16 @@ def test_batch_equals_kernel(errors, parts):
     assert set(coarse["k"]) == set("abc") and ((coarse["row_index"] + 1) % 8 == 0).all()
 
 
+def test_only_long_series_are_summed_into_blocks(errors):
+    pdf, df = errors
+    uneven = df.where((F.col("k") != "b") | (F.col("seq") < 900))
+    got = drift.adwin(uneven, "e", ["seq"], ["k"], delta=0.05, max_blocks=900).toPandas()
+    exact = drift.adwin(uneven, "e", ["seq"], ["k"], delta=0.05).toPandas()
+    pairs = drift.adwin(uneven, "e", ["seq"], ["k"], delta=0.05, block=2).toPandas()
+    for k, want in (("a", pairs), ("b", exact), ("c", pairs)):
+        assert got[got["k"] == k]["row_index"].tolist() == want[want["k"] == k]["row_index"].tolist()
+
+
 @pytest.mark.parametrize("cuts", [[1800], [1, 2, 700, 1800], list(range(100, 1900, 300))])
 def test_stream_equals_batch(spark, errors, cuts):
     pdf, df = errors
