@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.functions.columns import base_name, extension, lookup, matches_any, version_number
+from shoal.functions.columns import extension, lookup, matches_any, version_number
 
 PUBLIC_OWNER = "public"
 

@@ -4,7 +4,7 @@ from files and run until all of it is processed."""
 from pyspark.sql import functions as F
 
 from shoal.operators import metrics
-from shoal.plans.catalog_queries import CATALOG_SQL, LATEST_ORDER, dataset_catalog
+from shoal.plans.catalog_queries import CATALOG_SQL, dataset_catalog
 from shoal.plans.drift_queries import stream as prediction_stream
 from shoal.plans.registry import query, table
 from shoal.streaming import events as flow
