@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,24 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_shoal_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "shoal.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for base, _, names in os.walk(top):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        file = os.path.join(base, name)
+                        archive.write(file, os.path.join("shoal", os.path.relpath(file, top)))
+        context.addPyFile(path)
+    context._shoal_shipped = True
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_folder(spark)}/shoal-{label}-{uuid.uuid4().hex}"
 
