@@ -228,7 +228,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["digest", "n_words", "runs", "items"])
 
 
-_N_HIT = F.expr("aggregate(transform(runs, (x, i) -> CASE WHEN i % 2 = 0 THEN -x ELSE x END), 0L, (n, x) -> n + x)")
+#: Words in the runs.
+_N_HIT = "aggregate(transform(runs, (x, i) -> CASE WHEN i % 2 = 0 THEN -x ELSE x END), 0L, (n, x) -> n + x)"
 
 
 def _digest(text: str):
@@ -286,7 +287,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     else:
         keyed = rows.withColumn("digest", _digest("text"))
         found = keyed.select("doc_id", "digest").join(_by_text(keyed, indexes), "digest").drop("digest")
-    return found.withColumn("n_hit", _N_HIT)
+    return found.withColumn("n_hit", F.expr(_N_HIT))
 
 
 def contaminated(n_hit, n_words):
@@ -302,7 +303,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     indexes = _indexes(rows, benchmark, item_col, item_text_col, size, pass_windows)
     if len(indexes) > 1:
         found = _by_text(rows.withColumn("digest", _digest("text")), indexes)
-        bad = found.where(contaminated(_N_HIT, F.col("n_words"))).select(F.col("digest").alias("__digest"))
+        bad = found.where(contaminated(F.expr(_N_HIT), F.col("n_words"))).select(F.col("digest").alias("__digest"))
         return docs.join(bad, _digest(text_col) == F.col("__digest"), "left_anti")
     shared = indexes[0]
 
