@@ -48,15 +48,16 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_shoal_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "shoal.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-            for base, _, names in os.walk(top):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        file = os.path.join(base, name)
-                        archive.write(file, os.path.join("shoal", os.path.relpath(file, top)))
-        context.addPyFile(path)
+    folder = tempfile.TemporaryDirectory(prefix="shoal-")  # Spark serves the file from the driver while it runs
+    path = os.path.join(folder.name, "shoal.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for base, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(base, name)
+                    archive.write(file, os.path.join("shoal", os.path.relpath(file, top)))
+    context.addPyFile(path)
+    context._shoal_folder = folder
     context._shoal_shipped = True
 
 
