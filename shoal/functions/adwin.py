@@ -113,12 +113,12 @@ class DriftMonitor:
         self.adwin = Adwin(delta)
         self.seen, self.total, self.quiet_until = 0, 0.0, -1
 
-    def add(self, error: float) -> tuple[int, int, float] | None:
-        """(index, window size, mean error so far) on an alarm."""
-        index = self.seen
-        self.seen += 1
+    def add(self, error: float, count: int = 1, spread: float = 0.0) -> tuple[int, int, float] | None:
+        """(index, window size, mean error so far) on an alarm; ``count`` neighbouring rows come as their sum."""
+        self.seen += count
+        index = self.seen - 1
         self.total += error
-        cut = self.adwin.add(error)
+        cut = self.adwin.add(error, count, spread)
         filled = min(self.seen, self.window)
         if not (cut and self.seen >= self.min_samples and index > self.quiet_until and filled >= self.min_samples):
             return None

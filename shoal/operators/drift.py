@@ -36,8 +36,8 @@ def scan_series(
         current, machine = None, make()
         for batch in batches:
             found = []
-            ids = list(zip(*[batch[k] for k in keys])) if keys else [()] * len(batch)
-            for key, row in zip(ids, zip(*[batch[v] for v in values])):
+            ids = zip(*[batch[k].tolist() for k in keys]) if keys else [()] * len(batch)
+            for key, row in zip(ids, zip(*[batch[v].tolist() for v in values])):
                 if key != current:
                     current, machine = key, make()
                 hit = step(machine, row)
@@ -49,72 +49,65 @@ def scan_series(
     return placed.mapInPandas(run, out)
 
 
-def adwin(
-    df: DataFrame, value: str, order_by: Sequence[str], keys: Sequence[str] = (), delta: float = 0.1, block: int = 1,
-    max_blocks: int | None = None,
-) -> DataFrame:
+def in_blocks(df: DataFrame, value: str, order_by: Sequence[str], keys: Sequence[str], block: int) -> tuple[DataFrame, list[str]]:
+    """Sum, rows and squared deviations of each ``block`` neighbouring rows of a key, by a parallel aggregate.
+
+    Returns the blocks (``__t``, ``__n``, ``__s``) and the columns that order them. ``block`` means the same at any size.
+    """
+    present = df.where(col(value).isNotNull()).select(*keys, *order_by, col(value).cast("double").alias("__t"))
+    if block <= 1:
+        return present.withColumns({"__n": F.lit(1), "__s": F.lit(0.0)}), list(order_by)
+    v = F.col("__t")
+    return row_index(present, order_by, "__i", keys).groupBy(*keys, F.floor(F.col("__i") / block).alias("__block")).agg(
+        F.sum(v).alias("__t"), F.count(v).alias("__n"), (F.var_pop(v) * F.count(v)).alias("__s")), ["__block"]
+
+
+def adwin(df: DataFrame, value: str, order_by: Sequence[str], keys: Sequence[str] = (), delta: float = 0.1,
+          block: int = 1) -> DataFrame:
     """Detections per key: (index, mean of the shrunken window, its size).
 
     With ``block`` = 1 each value is one element. A larger block sums that many neighbouring rows with a
     parallel aggregate first and tests once per block, so that only one row in ``block`` goes through the
-    sequential part. ``max_blocks`` chooses the block of each key: 1 while the key has no more rows than that,
-    else as large as needed, which bounds the sequential part of a dominant key. Every row counts; the index is
-    the block's last row.
+    sequential part. Every row counts; the index is the block's last row.
     """
-    present = df.where(col(value).isNotNull()).select(*keys, *order_by, col(value).cast("double").alias("__v"))
+    present, order = in_blocks(df, value, order_by, keys, block)
     out = T.StructType(_key_fields(df, keys) + [
         T.StructField("row_index", T.LongType()), T.StructField("window_mean", T.DoubleType()),
         T.StructField("window_rows", T.LongType())])
-    if block > 1 or max_blocks is not None:
-        placed = row_index(present, order_by, "__i", keys)
-        size = F.lit(block)
-        if max_blocks is not None:
-            rows = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_blocks).alias("__size"))
-            placed = placed.join(rows, list(keys)) if keys else placed.join(F.broadcast(rows))
-            size = F.greatest(F.col("__size"), F.lit(block))
-        v = F.col("__v")
-        present = placed.groupBy(*keys, F.floor(F.col("__i") / size).alias("__block")).agg(
-            F.count(v).alias("__n"), F.sum(v).alias("__t"), (F.var_pop(v) * F.count(v)).alias("__s"))
-        order_by, values = ["__block"], ["__t", "__n", "__s"]
-    else:
-        present = present.withColumns({"__n": F.lit(1), "__s": F.lit(0.0)})
-        values = ["__v", "__n", "__s"]
 
     def make():
         return [Adwin(delta), 0]
 
     def step(state, row):
-        state[1] += int(row[1])
-        if state[0].add(float(row[0]), int(row[1]), float(row[2])):
+        state[1] += row[1]
+        if state[0].add(*row):
             return state[1] - 1, state[0].total / state[0].n, state[0].n
         return None
 
-    return scan_series(present, keys, order_by, values, out, make, step)
-
+    return scan_series(present, keys, order, ["__t", "__n", "__s"], out, make, step)
 
-def column_drift_scan(
-    df: DataFrame, order_by: Sequence[str], column: str | None = None, delta: float = 0.01, max_blocks: int = 100_000
-) -> DataFrame:
-    """Drift along one numeric column (the first by default) of a whole table.
 
-    The table is summed into at most ``max_blocks`` blocks of neighbouring rows, in parallel, so that the
-    sequential part is bounded whatever the size; every row counts.
-    """
+def column_drift_scan(df: DataFrame, order_by: Sequence[str], column: str | None = None, delta: float = 0.01,
+                      block: int = 1) -> DataFrame:
+    """Drift along one numeric column (the first by default) of a whole table; see ``adwin`` for ``block``."""
     column = column or numeric_columns(df)[0]
-    return adwin(df, column, order_by, (), delta, max_blocks=max_blocks).withColumn("column_analyzed", F.lit(column))
+    return adwin(df, column, order_by, (), delta, block).withColumn("column_analyzed", F.lit(column))
 
 
 def monitor_drift(
     df: DataFrame, error: str, order_by: Sequence[str], keys: Sequence[str] = (), window: int = 150,
-    delta: float = 0.1, min_samples: int = 50, cooldown: int = 50,
+    delta: float = 0.1, min_samples: int = 50, cooldown: int = 50, block: int = 1,
 ) -> DataFrame:
-    """Alarms per key: row index, rows in the window, mean error so far."""
+    """Alarms per key: row index, rows in the window, mean error so far.
+
+    The gates count rows. A larger ``block`` sums neighbouring rows in parallel first, as in ``adwin``.
+    """
+    present, order = in_blocks(df, error, order_by, keys, block)
     out = T.StructType(_key_fields(df, keys) + [
         T.StructField("row_index", T.LongType()), T.StructField("window_size", T.LongType()),
         T.StructField("mean_error_so_far", T.DoubleType())])
-    return scan_series(
-        df, keys, order_by, [error], out, lambda: DriftMonitor(window, delta, min_samples, cooldown),
-        lambda monitor, row: monitor.add(float(row[0])))
+    return scan_series(present, keys, order, ["__t", "__n", "__s"], out,
+                       lambda: DriftMonitor(window, delta, min_samples, cooldown), lambda monitor, row: monitor.add(*row))
 
 
 # -- drift injection -----------------------------------------------------------------------------
@@ -270,23 +263,25 @@ def retrain_on_window(
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=[target]).sort_values("row_index")
-        x = rows[list(features)].to_numpy(dtype=float)
-        x = np.column_stack([np.nan_to_num(x), np.ones(len(rows))])
-        if task == "classification":
-            classes = sorted(rows[target].unique())
-            y = (rows[target].to_numpy()[:, None] == np.array(classes, dtype=object)[None, :]).astype(float)
-        else:
-            classes, y = [], rows[[target]].to_numpy(dtype=float)
-        scale = np.maximum(np.abs(x).max(axis=0), 1e-12) if len(x) else np.ones(x.shape[1])
-        z = x / scale
-        weights = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ y) / scale[:, None]
+        classes, weights = _least_squares(rows[list(features)].to_numpy(dtype=float), rows[target].to_numpy(), task, ridge)
         first = [rows[k].iloc[0] for k in keys]
-        return pd.DataFrame([(*first, int(rows["event_index"].iloc[0]), classes, weights.T.tolist(), len(rows))],
+        return pd.DataFrame([(*first, int(rows["event_index"].iloc[0]), classes, weights.tolist(), len(rows))],
                             columns=[f.name for f in out.fields])
 
     return windows.groupBy(*keys, "event_index").applyInPandas(fit, out)
 
 
+def _least_squares(x: np.ndarray, y: np.ndarray, task: str, ridge: float) -> tuple[list[str], np.ndarray]:
+    """Classes and weights (one set per class, the last weight is the intercept) of a window."""
+    x = np.column_stack([np.nan_to_num(x), np.ones(len(x))])
+    classes = sorted(set(y)) if task == "classification" else []
+    goal = (y[:, None] == np.array(classes, dtype=object)[None, :]) if classes else y[:, None]
+    scale = np.maximum(np.abs(x).max(axis=0), 1e-12) if len(x) else np.ones(x.shape[1])
+    z = x / scale
+    weights = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ goal.astype(float)) / scale[:, None]
+    return classes, weights.T
+
+
 def _scores(features: Sequence[str]) -> Column:
     x = F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in features], F.lit(1.0))
     return F.transform("weights", lambda w: F.aggregate(
@@ -331,34 +326,123 @@ def rescore(
     return joined.withColumns(new).select(*indexed.columns)
 
 
+class _Retrainer:
+    """State of one series: the monitor, the last rows, the model in force. Rows come in batches of fixed positions."""
+
+    def __init__(self, settings: dict, task: str, shares: bool, ridge: float):
+        self.monitor, self.task, self.shares, self.ridge = DriftMonitor(**settings), task, shares, ridge
+        self.window = settings["window"]
+        self.x, self.y, self.classes, self.weights = None, None, [], None
+        self.in_force: list[str] = []  # classes of the model that the next batch is judged with
+
+    def batch(self, x: np.ndarray, truth: np.ndarray, error: np.ndarray):
+        """(predictions, shares) or None while the original ones count, and alarms as (place, size, mean error)."""
+        guess = shares = None
+        if self.weights is not None:
+            scores = np.column_stack([np.nan_to_num(x), np.ones(len(x))]) @ self.weights.T
+            if self.task == "classification":
+                clipped = np.clip(scores, 1e-6, 1.0)
+                shares = clipped / clipped.sum(axis=1, keepdims=True)
+                guess = np.array(self.classes, dtype=object)[scores.argmax(axis=1)]
+                error = (guess != truth).astype(float)
+                if self.shares:
+                    place = {c: i for i, c in enumerate(self.classes)}
+                    at = np.array([place.get(t, -1) for t in truth])
+                    error = np.where(at >= 0, 1.0 - shares[np.arange(len(at)), at], error)
+            else:
+                guess = scores[:, 0]
+                error = np.nan_to_num(np.abs(guess - truth.astype(float)))
+        base = 0 if self.x is None else len(self.x)
+        self.x = x if self.x is None else np.vstack([self.x, x])
+        self.y = truth if self.y is None else np.concatenate([self.y, truth])
+        alarms = []
+        for i, e in enumerate(error.tolist()):
+            hit = self.monitor.add(e)
+            if hit is not None:
+                alarms.append((i, *hit[1:]))
+        if alarms:  # the newest model counts, from the next batch
+            last = base + alarms[-1][0] + 1
+            near = slice(max(0, last - self.window), last)
+            known = ~pd.isna(self.y[near])
+            if known.any():
+                self.classes, self.weights = _least_squares(self.x[near][known], self.y[near][known], self.task, self.ridge)
+        self.x, self.y = self.x[-self.window:], self.y[-self.window:]
+        return guess, shares, alarms
+
+
 def monitor_and_retrain(
     df: DataFrame, order_by: Sequence[str], features: Sequence[str], y_true: str, y_pred: str,
     proba: str | None = None, task: str = "classification", keys: Sequence[str] = (), window: int = 150,
-    delta: float = 0.1, min_samples: int = 50, cooldown: int = 50, batch: int = 512,
+    delta: float = 0.1, min_samples: int = 50, cooldown: int = 50, batch: int = 512, ridge: float = 1e-3,
 ) -> tuple[DataFrame, DataFrame]:
-    """Detection and retraining together: (final predictions, drift log).
+    """Detection and retraining together: (final predictions with ``row_index``, drift log).
 
-    Each round confirms the next alarm of every key, refits on its window and rescores what follows.
-    The number of rounds is the largest number of alarms of one key, which ``cooldown`` bounds.
+    One shuffle and one pass: the rows of a key stream through a sorted partition in batches of ``batch``. Between two
+    batches a task holds the window, the monitor's state and the model in force. An alarm refits a linear model
+    on the last ``window`` rows; its predictions count from the next batch and feed the monitor from there.
     """
-    from shoal.operators.metrics import error_signal
-
-    base = row_index(df, order_by, "row_index", keys)
-    current, confirmed, models = base, None, None
+    from shoal.operators.metrics import error_signal, normalize_label
+
+    names = list(df.columns)
+    truth = normalize_label(df, y_true) if task == "classification" else col(y_true).try_cast("double")
+    known = error_signal(df, y_true, y_pred, task, proba, "__error").withColumns(
+        {"__truth": F.when(col(y_true).isNotNull(), truth) if task == "classification" else truth,
+         y_pred: col(y_pred).cast("string" if task == "classification" else "double")}
+        | {f"__x{i}": col(f).cast("double") for i, f in enumerate(features)})
+    fields = [known.schema[c] for c in names]
+    out = T.StructType([*fields, T.StructField("row_index", T.LongType()), T.StructField("__size", T.LongType()),
+                        T.StructField("__mean", T.DoubleType())])
+    columns = [f"__x{i}" for i in range(len(features))]
+    placed = (known.repartition(*keys) if keys else known.repartition(1)).sortWithinPartitions(*keys, *order_by)
     settings = dict(window=window, delta=delta, min_samples=min_samples, cooldown=cooldown)
-    rounds = 0
-    while True:
-        errors = error_signal(current, y_true, y_pred, task, proba, "__error")
-        alarms = monitor_drift(errors, "__error", ["row_index"], keys, **settings)
-        order = Window.partitionBy(*keys).orderBy("row_index")
-        alarms = materialize(alarms.withColumn("round", F.row_number().over(order)), "alarms")
-        fresh = alarms.where(F.col("round") == rounds + 1)
-        if fresh.isEmpty():
-            return current, alarms.drop("round")
-        fitted = retrain_on_window(base, fresh, window, features, y_true, task, keys)
-        models = materialize(fitted if models is None else models.unionByName(fitted), "models")
-        current = materialize(rescore(base, models, features, y_pred, proba, task, keys, batch), "scores")
-        rounds += 1
+
+    def judged(state: _Retrainer, rows: pd.DataFrame, start: int) -> pd.DataFrame:
+        guess, shares, alarms = state.batch(rows[columns].to_numpy(dtype=float), rows["__truth"].to_numpy(),
+                                            rows["__error"].to_numpy(dtype=float))
+        done = rows[names].copy()
+        done["row_index"] = np.arange(start, start + len(rows))
+        done["__size"], done["__mean"] = pd.Series(pd.NA, rows.index, dtype="Int64"), np.nan
+        for place, size, mean in alarms:
+            done.iloc[place, -2:] = [size, mean]
+        if guess is not None:
+            done[y_pred] = guess
+            if proba is not None and shares is not None:
+                done[proba] = [dict(zip(state.in_force, row)) for row in shares.tolist()]
+        state.in_force = state.classes
+        return done
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, held, start = None, None, [], 0
+
+        def drain(force: bool) -> Iterator[pd.DataFrame]:
+            nonlocal held, start
+            rows = pd.concat(held) if len(held) > 1 else held[0] if held else None
+            at = 0
+            while rows is not None and (len(rows) - at >= batch or force and at < len(rows)):
+                part = rows.iloc[at:at + batch]
+                yield judged(state, part, start)
+                start, at = start + len(part), at + len(part)
+            held = [rows.iloc[at:]] if rows is not None and at < len(rows) else []
+
+        for frame in batches:
+            frame = frame.reset_index(drop=True)
+            ids = list(zip(*[frame[k].tolist() for k in keys])) if keys else [()] * len(frame)
+            borders = [0, *[i for i in range(1, len(ids)) if ids[i] != ids[i - 1]], len(ids)]
+            for a, b in zip(borders, borders[1:]):
+                if a == b:
+                    continue
+                if state is None or ids[a] != current:
+                    yield from drain(True)
+                    current, state, start = ids[a], _Retrainer(settings, task, proba is not None, ridge), 0
+                held.append(frame.iloc[a:b])
+                yield from drain(False)
+        yield from drain(True)
+
+    done = materialize(placed.select(*names, "__truth", "__error", *columns)
+                       .mapInPandas(run, out), "retrained")
+    log = done.where("__size IS NOT NULL").select(
+        *keys, "row_index", F.col("__size").alias("window_size"), F.col("__mean").alias("mean_error_so_far"))
+    return done.drop("__size", "__mean"), log
 
 
 def drift_report(log: DataFrame, metrics: DataFrame, keys: Sequence[str]) -> DataFrame:

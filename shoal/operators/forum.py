@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from shoal.operators.catalog import page
 from shoal.session import materialize
 
-# Longest page of children in one row; up to this rank the limit is applied before rows of a parent meet.
-MAX_PAGE = 1_000
-
-
 def list_entities(
     table: DataFrame, key: str, filters: Mapping[str, object] | None = None, skip: int = 0, limit: int | None = 100,
     with_deleted: bool = True,
@@ -45,8 +41,6 @@ def answer_vote_stats(answers: DataFrame, votes: DataFrame) -> DataFrame:
 
 def _first_children(children: DataFrame, parent: str, key: str, size: int) -> DataFrame:
     """Up to ``size`` newest children per parent as an array; the rank limit works before the shuffle."""
-    if size > MAX_PAGE:
-        raise ValueError(f"a page holds at most {MAX_PAGE} rows; larger answers come as rows, not as arrays")
     order = Window.partitionBy(parent).orderBy(F.desc("created_at"), F.asc(key))
     kept = children.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     fields = [c for c in children.columns if c != parent]
@@ -77,6 +71,13 @@ def theme_with_questions(themes: DataFrame, questions: DataFrame, size: int = 10
     return _with_children(themes, questions, "theme_id", "question_id", size, "questions")
 
 
+def theme_question_rows(themes: DataFrame, questions: DataFrame) -> DataFrame:
+    """Every question of every theme as a row of its own, for themes with more than a page of them."""
+    asked = questions.withColumnsRenamed({"expert_id": "question_expert_id", "created_at": "asked_at",
+                                          "description": "question_description"})
+    return themes.join(asked, "theme_id", "left")
+
+
 def expert_stats(
     experts: DataFrame, questions: DataFrame, answers: DataFrame, themes: DataFrame, votes: DataFrame
 ) -> DataFrame:

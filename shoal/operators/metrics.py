@@ -13,8 +13,8 @@ from shoal.operators.ordering import block_totals, row_index
 
 # Beyond this rank Spark's window group limit no longer applies (spark.sql.optimizer.windowGroupLimitThreshold).
 RANK_LIMIT = 1_000
-# A column with more values than this is no class label.
-MAX_CLASSES = 10_000
+# Ranges of class values that guesses are looked up in.
+RANGES = 1_000
 
 
 def normalize_label(df: DataFrame, column: str) -> Column:
@@ -46,21 +46,47 @@ def error_signal(
 
 
 def nearest_class_label(df: DataFrame, y_true: str, y_pred: str, into: str = "y_pred_label") -> DataFrame:
-    """Fractional predictions as the nearest numeric class (ties to the smaller), rounded if classes are text."""
+    """Fractional predictions as the nearest numeric class (ties to the smaller), rounded if classes are text.
+
+    Distinct classes and distinct guesses are cut into at most ``RANGES`` ranges by quantiles of the classes. Inside a
+    range the class before and after each guess is found by a window; where there is none, the next range's
+    border counts. Classes may be of any number, and no row is compared with more than two.
+    """
     found = df.where(col(y_true).isNotNull()).select(col(y_true).cast("string").alias("c")).distinct()
-    names = [r["c"] for r in found.limit(MAX_CLASSES + 1).collect()]
-    if len(names) > MAX_CLASSES:
-        raise ValueError(f"{y_true} has more than {MAX_CLASSES} values: not a class column")
+    value = F.col("c").try_cast("double")
+    kinds = found.agg(F.bool_or(value.isNull()).alias("text"), F.count(F.lit(1)).alias("n")).first()
     guess = col(y_pred).cast("double")
-    try:
-        numbers = sorted(float(n) for n in names)
-    except ValueError:
+    if kinds["text"]:
         return df.withColumn(into, F.bround(guess).cast("long").cast("string"))
-    if not numbers:
+    if not kinds["n"]:
         return df.withColumn(into, F.lit(None).cast("string"))
-    options = F.transform(F.lit(numbers), lambda c: F.struct(F.abs(c - guess).alias("d"), c.alias("c")))
-    label = F.when(guess.isNotNull(), F.array_min(options)["c"].cast("long"))
-    return df.withColumn(into, label.cast("string"))
+    classes = found.select(value.alias("v")).distinct()
+    cuts = sorted(set(classes.approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.1 / RANGES)))
+    cuts_ = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    cut = F.size(F.filter(cuts_, lambda c: c <= F.col("v")))
+    guesses = df.where(guess.isNotNull() & ~F.isnan(guess)).select(guess.alias("v")).distinct()
+    points = classes.withColumn("k", F.col("v")).unionByName(guesses.withColumn("k", F.lit(None).cast("double")))
+    points = points.withColumn("r", cut)
+    inside = Window.partitionBy("r").orderBy("v")
+    near = points.withColumns({
+        "low": F.last("k", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        "high": F.first("k", ignorenulls=True).over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
+    ranges = classes.groupBy(cut.alias("r")).agg(F.min("v").alias("first"), F.max("v").alias("last")).collect()  # RANGES rows
+    ends = {row["r"]: row for row in ranges}
+    borders, last = [], None
+    for r in range(len(cuts) + 1):
+        borders.append([r, last, None])
+        last = ends[r]["last"] if r in ends else last
+    following = None
+    for border in reversed(borders):
+        border[2] = following
+        following = ends[border[0]]["first"] if border[0] in ends else following
+    borders = df.sparkSession.createDataFrame(borders, "r int, before double, after double")
+    near = near.where("k is null").join(F.broadcast(borders), "r")
+    low, high, v = F.coalesce("low", "before"), F.coalesce("high", "after"), F.col("v")
+    chosen = F.when(high.isNull() | (low.isNotNull() & (v - low <= high - v)), low).otherwise(high)
+    labels = near.select(v.alias("__g"), chosen.cast("long").cast("string").alias(into))
+    return df.join(labels, guess == F.col("__g"), "left").drop("__g")
 
 
 def class_counts(df: DataFrame, y_true: Column, y_pred: Column, keys: Sequence[str] = ()) -> DataFrame:

@@ -59,8 +59,8 @@ def row_index(
 
 
 def hash_key(seed: int, *keys: str) -> Column:
-    """``md5(seed|key...)`` as hex text: a reproducible random order, equal in any engine."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    """``md5(seed|key...)`` as hex text: a reproducible random order, equal in any engine. A null part is a zero byte."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys]))
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:
@@ -82,13 +82,15 @@ def hash_cutoffs(
     ranks: dict[object, list[int]],
     group: Column | None = None,
     keep: int = 4096,
-) -> dict[object, list[str | None]]:
+    ties: bool = False,
+) -> dict[object, list]:
     """The hash values that stand at given ranks, so that ``hash < cutoff`` keeps exactly ``rank`` rows.
 
     Counts per three-digit prefix find the prefix that holds a rank; the same again inside it, until at
     most ``keep`` hashes are left to fetch. Reads only the key columns and shuffles only counts.
     ``ranks`` maps each group (``None`` without ``group``) to its ranks; a rank at or beyond the group's
-    size yields ``None`` (no cutoff).
+    size yields ``None`` (no cutoff). With ``ties`` a cutoff is (hash, rows of this very hash that still belong
+    below it); without, equal hashes at a cutoff raise.
     """
     base = df.select((group if group is not None else F.lit(None).cast("string")).alias("g"), hashed.alias("h"))
     found: dict[tuple, str | None] = {}
@@ -111,13 +113,16 @@ def hash_cutoffs(
         if small:
             hashes: dict[tuple, list] = {}
             plen = length + 3
-            for row in _restrict(base, small).select("g", "h").collect():
-                hashes.setdefault((row["g"], row["h"][:plen]), []).append(row["h"])
+            for row in _restrict(base, small).groupBy("g", "h").count().collect():  # equal keys are one row
+                hashes.setdefault((row["g"], row["h"][:plen]), []).append((row["h"], row["count"]))
             for target, (p, rank) in small.items():
-                values = sorted(hashes[(target[0], p)])
-                if rank and values[rank - 1] == values[rank]:
-                    raise ValueError("the key of an exact split must be unique")
-                found[target] = values[rank]
+                for value, n in sorted(hashes[(target[0], p)]):
+                    if rank < n:
+                        break
+                    rank -= n
+                if rank and not ties:
+                    raise ValueError("equal keys at a cutoff")
+                found[target] = (value, rank) if ties else value
         wanted = narrowed
     return {g: [found[(g, r)] for r in rs] for g, rs in ranks.items()}
 

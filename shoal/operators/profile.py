@@ -121,9 +121,13 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     Equal values are merged before the shuffle, so a dominant value costs one row per task.
     """
     columns = list(columns or df.columns)
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value")) for c in columns
-    ]))
+    def text(c: str) -> Column:
+        value = col(c)
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            value = F.when(value == 0, F.lit(0.0).cast(df.schema[c].dataType)).otherwise(value)  # -0.0 is 0.0
+        return value.cast("string")
+
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in columns]))
     return df.select(cells.alias("x")).groupBy("x.column_name", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 

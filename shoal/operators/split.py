@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.columns import base_name
@@ -37,14 +37,31 @@ def random_split_exact(
     """Adds ``split``: exactly 70 % train, 15 % test (rounded down) and the rest drift.
 
     Rows are ordered by a hash of their key. Only the two hash values at the borders are looked up, so
-    the assignment is a comparison and no row moves.
+    the assignment is a comparison and no row moves. Keys need not be unique: rows that share a border's
+    hash are divided by their position among themselves, equal rows by their number.
     """
     n = df.count()
     train, test = split_sizes(n, at_least_one)
     hashed = hash_key(seed, *key)
-    first, second = hash_cutoffs(df, hashed, {None: [train, train + test]}, keep=keep)[None]
+    cuts = hash_cutoffs(df, hashed, {None: [train, train + test]}, keep=keep, ties=True)[None]
+    first, second = [None if c is None else c[0] for c in cuts]
     name = F.when(below(hashed, first), TRAIN).when(below(hashed, second), TEST).otherwise(DRIFT)
-    return df.withColumn("split", name)
+    tied = {c[0] for c in cuts if c is not None and c[1]}
+    if not tied:
+        return df.withColumn("split", name)
+    out = df.where(~hashed.isin(*tied)).withColumn("split", name)
+    for value in sorted(tied):
+        border = df.where(hashed == value).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+        placed = row_index(border, df.columns, "__i")
+        before = F.sum("__n").over(Window.orderBy("__i").rowsBetween(Window.unboundedPreceding, -1))
+        place = F.coalesce(before, F.lit(0))  # one row for each distinct row that has this very hash
+        rows = placed.withColumn("__first", place).withColumn(
+            "__at", F.explode(F.sequence("__first", F.col("__first") + F.col("__n") - 1)))
+        below_first, below_second = [
+            F.lit(True) if c is None or c[0] > value else F.lit(False) if c[0] < value else F.col("__at") < c[1] for c in cuts]
+        name = F.when(below_first, TRAIN).when(below_second, TEST).otherwise(DRIFT)
+        out = out.unionByName(rows.withColumn("split", name).select(*df.columns, "split"))
+    return out
 
 
 def prefix_split(df: DataFrame, order_by: Sequence[str]) -> DataFrame:

@@ -215,8 +215,13 @@ REPORTS_SQL = """(SELECT o_custkey AS user_id, o_orderpriority AS dataset_id, ma
  FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY ALL)"""
 
 
-def _reports(spark, sf):
-    old = table(spark, sf, "orders").where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
+ALL_REPORTS_SQL = REPORTS_SQL.replace(" WHERE o_orderdate < TIMESTAMP '1998-01-01'", "")
+
+
+def _reports(spark, sf, before="1998-01-01"):
+    old = table(spark, sf, "orders")
+    if before is not None:
+        old = old.where(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
     return old.groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("dataset_id")).agg(
         F.max("o_orderkey").alias("payload"), F.min("o_orderdate").alias("created_at"),
         F.max("o_orderdate").alias("updated_at"), F.max("o_orderstatus").alias("extra_id"))
@@ -253,18 +258,18 @@ def incremental_sync(spark, sf):
     return catalog.incremental_sync(source, _reports(spark, sf), since, ["user_id", "dataset_id"])
 
 
-@query("get_reports", f"""(SELECT user_id, dataset_id, payload, created_at FROM {REPORTS_SQL} WHERE user_id = 7
+@query("get_reports", f"""(SELECT user_id, dataset_id, payload, created_at FROM {ALL_REPORTS_SQL} WHERE user_id = 7
  ORDER BY created_at DESC, user_id, dataset_id LIMIT 1) UNION ALL (SELECT user_id, dataset_id, payload, created_at
- FROM {REPORTS_SQL} WHERE dataset_id = '1-URGENT' ORDER BY created_at DESC, user_id, dataset_id LIMIT 100)""")
-def get_reports(spark, sf):
-    reports = _reports(spark, sf)
+ FROM {ALL_REPORTS_SQL} WHERE dataset_id = '1-URGENT' ORDER BY created_at DESC, user_id, dataset_id LIMIT 100)""")
+def get_reports(spark, sf, before=None):
+    reports = _reports(spark, sf, before=None)
     one = catalog.get_reports(reports, {"user_id": 7, "dataset_id": None})
     many = catalog.get_reports(reports, {"dataset_id": "1-URGENT"}, latest=False)
     return one.unionByName(many).select("user_id", "dataset_id", "payload", "created_at")
 
 
 FILES_SQL = """(SELECT conv_id, turn, role AS user_id, concat(conv_id, '-', turn) AS file_id,
- concat('../', replace(text[1:60], chr(10), ' '), CASE turn WHEN 0 THEN '.TXT' WHEN 1 THEN '.exe' ELSE '' END)
+ concat('../', replace(text, chr(10), ' '), CASE turn WHEN 0 THEN '.TXT' WHEN 1 THEN '.exe' ELSE '' END)
  AS original_filename, length(text) * 1000 AS size_bytes, TIMESTAMP '2024-01-01' + to_minutes(conv_id + turn)
  AS created_at FROM conversations)"""
 
@@ -275,7 +280,7 @@ def user_files(spark, sf):
     return talks.select(
         "conv_id", "turn", F.col("role").alias("user_id"),
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("file_id"),
-        F.concat(F.lit("../"), F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")), tail)
+        F.concat(F.lit("../"), F.replace("text", F.lit("\n"), F.lit(" ")), tail)
         .alias("original_filename"),
         (F.length("text") * 1000).cast("long").alias("size_bytes"),
         F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, conv_id + turn)").alias("created_at"),
@@ -296,7 +301,7 @@ def list_user_files(spark, sf):
 SELECT conv_id, turn, ext AS extension, CASE WHEN ext NOT IN ('txt', 'md', 'csv', 'json', 'xml', 'pdf', 'doc', 'docx',
  'odt', 'rtf') THEN 'file type not allowed' WHEN size_bytes > 20971520 THEN 'file too large' ELSE 'none' END AS reason,
  trim(regexp_replace(regexp_replace(replace(original_filename, chr(92), '/'), '^/+', ''),
-  '[^\\pL\\pN_\\s\\-.]', '', 'g'))
+  '[^\\pL\\pN_\\s\\-.]', '', 'g'))[1:200]
   AS safe_name FROM f""")
 def validate_user_files(spark, sf):
     out = catalog.validate_user_files(user_files(spark, sf))

@@ -148,26 +148,20 @@ def adwin_blocks(spark, sf):
                        block=16)
 
 
-@query("adwin_bounded")
-def adwin_bounded(spark, sf):
-    return drift.adwin(changing_prices(spark, sf), "o_totalprice", ["row_index"], ["o_orderpriority"], delta=0.01,
-                       max_blocks=1000)
-
-
 @query("column_drift_scan")
 def column_drift_scan(spark, sf):
     return drift.column_drift_scan(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], "o_totalprice", delta=0.2,
-                                   max_blocks=1000)
+                                   block=16)
 
 
 @query("monitor_drift")
 def monitor_drift(spark, sf):
     drifted = drift.induce_drift(
-        stream(spark, sf).select("event_id", "ts", "event_type", "value", "y_true"), ["ts", "event_id"],
-        n_drifts=4, strength=200.0, target="y_true", ignore=["event_id"])
+        stream(spark, sf).select("event_id", "ts", "user_id", "event_type", "value", "y_true"), ["ts", "event_id"],
+        n_drifts=4, strength=200.0, target="y_true", ignore=["event_id", "user_id"])
     guess = F.when(F.col("value") > 60, 1.0).otherwise(0.0)
     rows = metrics.error_signal(drifted.withColumn("y_pred", guess), "y_true", "y_pred", "classification")
-    return drift.monitor_drift(rows, "error", ["row_index"], window=150, delta=0.2, min_samples=30)
+    return drift.monitor_drift(rows, "error", ["row_index"], ["user_id"], window=150, delta=0.9, min_samples=30)
 
 
 DRIFT_SQL = """WITH r AS (SELECT o_orderkey, o_totalprice, o_custkey, row_number() OVER (ORDER BY o_orderdate,
@@ -218,13 +212,13 @@ def training_windows(spark, sf):
 
 
 def _retrained(spark, sf):
-    rows = stream(spark, sf).select("event_id", "ts", "event_type", "value", "y_true")
+    rows = stream(spark, sf).select("event_id", "ts", "user_id", "event_type", "value", "y_true")
     drifted = drift.induce_drift(rows, ["ts", "event_id"], n_drifts=2, strength=200.0, target="y_true",
-                                 ignore=["event_id"]).drop("row_index", "segment")
+                                 ignore=["event_id", "user_id"]).drop("row_index", "segment")
     guess = F.when(F.col("value") > 60, "1").otherwise("0")
     return drift.monitor_and_retrain(
         drifted.withColumn("y_pred", guess), ["ts", "event_id"], ["value"], "y_true", "y_pred",
-        window=150, delta=0.002, min_samples=30, cooldown=500)
+        keys=["user_id"], window=150, delta=0.9, min_samples=30, cooldown=50, batch=64)
 
 
 @query("retrain_on_window")

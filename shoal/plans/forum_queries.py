@@ -123,12 +123,12 @@ def answer_vote_stats(spark, sf):
 
 @query("question_with_answers", f"""WITH s AS {STATS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id
  ORDER BY created_at DESC, answer_id) AS rank FROM s), n AS (SELECT question_id, count(*) AS answers_count,
- string_agg(concat(answer_id, ':', total_votes), ',' ORDER BY rank) FILTER (rank <= 5) AS answers FROM r
+ string_agg(concat(answer_id, ':', total_votes), ',' ORDER BY rank) FILTER (rank <= 100) AS answers FROM r
  GROUP BY question_id)
 SELECT question_id, title, coalesce(answers_count, 0) AS answers_count, coalesce(answers, '') AS answers
  FROM {QUESTIONS_SQL} LEFT JOIN n USING (question_id)""")
 def question_with_answers(spark, sf):
-    out = forum.question_with_answers(questions(spark, sf), answers(spark, sf), votes(spark, sf), size=5)
+    out = forum.question_with_answers(questions(spark, sf), answers(spark, sf), votes(spark, sf))
     shown = F.transform("answers", lambda a: F.concat(a["answer_id"], F.lit(":"), a["total_votes"]))
     return out.select("question_id", "title", "answers_count",
                       F.coalesce(F.array_join(shown, ","), F.lit("")).alias("answers"))
@@ -152,6 +152,13 @@ def theme_with_questions(spark, sf):
     return out.select("theme_id", "name", "questions_count", F.coalesce(shown, F.lit("")).alias("questions"))
 
 
+@query("theme_question_rows", f"""SELECT t.theme_id, name, coalesce(question_id, -1) AS question_id FROM {THEMES_SQL} t
+ LEFT JOIN {QUESTIONS_SQL} q USING (theme_id)""")
+def theme_question_rows(spark, sf):
+    out = forum.theme_question_rows(themes(spark, sf).drop("expert_id"), questions(spark, sf))
+    return out.select("theme_id", "name", F.coalesce("question_id", F.lit(-1)).alias("question_id"))
+
+
 @query("expert_stats", f"""SELECT expert_id, (SELECT count(*) FROM {QUESTIONS_SQL} x WHERE x.expert_id = e.expert_id)
  AS questions_asked, (SELECT count(*) FROM {ANSWERS_SQL} x WHERE x.expert_id = e.expert_id) AS answers_provided,
  (SELECT count(*) FROM {THEMES_SQL} x WHERE x.expert_id = e.expert_id) AS themes_created,

@@ -175,9 +175,10 @@ def drift_scale(spark, sf):
     return out.select("event_id", (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query("align_schema", "SELECT p_size, 0 AS absent, p_partkey FROM part")
+@query("align_schema", "SELECT p_size, false AS absent, p_partkey FROM part UNION ALL SELECT p_size, true, p_partkey FROM part")
 def align_schema(spark, sf):
-    return mitigate.align_schema(table(spark, sf, "part"), ["p_size", "absent", "p_partkey"])
+    part = table(spark, sf, "part").withColumn("absent", F.lit(True)).select("p_size", "absent", "p_partkey")
+    return mitigate.align_schema(table(spark, sf, "part"), part.schema).unionByName(part)
 
 
 def mitigated(spark, sf):

@@ -17,7 +17,8 @@ def read_csv_robust(spark, sf):
     root = fresh_path(spark, "csv")
     options = dict(header=True, escape='"', quoteAll=True)
     docs.where("lang <> 'fr'").write.csv(root + "/new", **options)
-    docs.where("lang = 'fr'").write.csv(root + "/old", encoding="ISO-8859-1", **options)
+    docs.where("lang = 'fr'").select("text", "n_chars", "lang", "doc_id").write.csv(  # columns in another order
+        root + "/old", encoding="ISO-8859-1", **options)
     # a file of lines with one field too many
     broken = table(spark, sf, "nation").agg(F.concat_ws("\n", F.lit("doc_id,lang,n_chars,text"), F.collect_list(
         F.concat_ws(",", F.lit("1"), "n_name", F.lit("2"), F.lit("x"), F.lit("y")))))
@@ -45,12 +46,14 @@ def read_zipped_csv(spark, sf):
     return files.unzip_csv(archives)
 
 
-@query("read_tsv", "SELECT doc_id, text, n_chars FROM documents")
+@query("read_tsv", "SELECT doc_id, text, CASE WHEN lang <> 'fr' THEN n_chars ELSE -1 END AS n_chars FROM documents")
 def read_tsv(spark, sf):
-    path = fresh_path(spark, "tsv")
-    table(spark, sf, "documents").select("doc_id", "text", "n_chars").write.csv(
-        path, sep="\t", header=True, escape='"', quoteAll=True)
-    return files.read_tsv(spark, path)
+    root = fresh_path(spark, "tsv")
+    docs, options = table(spark, sf, "documents"), dict(sep="\t", header=True, escape='"', quoteAll=True)
+    docs.where("lang <> 'fr'").select("doc_id", "text", "n_chars").write.csv(root + "/new", **options)
+    docs.where("lang = 'fr'").select("text", "doc_id").write.csv(root + "/old", **options)  # fewer columns, another order
+    out = files.read_tsv(spark, [root + "/new", root + "/old"])
+    return out.withColumn("n_chars", F.coalesce("n_chars", F.lit(-1).cast("long")))
 
 
 @query("read_headerless", """SELECT l_orderkey AS f1, l_quantity AS f2, CASE WHEN l_discount > 0 THEN l_discount END

@@ -53,10 +53,11 @@ def parse_events(spark, sf):
                       "task_type", "target_column", "window_size", F.col("quarantine").isNotNull().alias("bad"))
 
 
-@query("parse_events_stream", f"SELECT task_id, user_id, window_size FROM {PARSED_SQL}")
+@query("parse_events_stream", f"""SELECT task_id, user_id, window_size, false AS bad FROM {PARSED_SQL} UNION ALL
+ SELECT NULL, NULL, 100, true FROM events WHERE event_type = 'error'""")
 def parse_events_stream(spark, sf):
     parsed = flow.parse_events(as_stream(messages(spark, sf)))
-    return run_available(parsed.where("quarantine is null").select("task_id", "user_id", "window_size"))
+    return run_available(parsed.select("task_id", "user_id", "window_size", F.col("quarantine").isNotNull().alias("bad")))
 
 
 @query("validate_triggers", f"""SELECT 'automl' AS kind, task_id, CASE WHEN user_id IS NULL THEN
@@ -123,12 +124,13 @@ def trigger_next(spark, sf):
 
 
 def deliveries(spark, sf):
-    """Every user's events are deliveries of one task."""
+    """Every user's events of a day are deliveries of one task, by the hour: many have equal times."""
+    ts = F.date_trunc("hour", F.col("ts").cast("timestamp"))
     return table(spark, sf, "events").select(
-        F.concat(F.lit("t"), "user_id").alias("task_id"), "event_id", F.col("ts").cast("timestamp").alias("timestamp"))
+        F.concat(F.lit("t"), "user_id").alias("task_id"), "event_id", ts.alias("timestamp"))
 
 
-@query("dedup_triggers", """SELECT concat('t', user_id) AS task_id, arg_min(event_id, ts) AS event_id FROM events
+@query("dedup_triggers", """SELECT concat('t', user_id) AS task_id, arg_min(event_id, (date_trunc('hour', ts), event_id)) AS event_id FROM events
  GROUP BY user_id""")
 def dedup_triggers(spark, sf):
     return flow.dedup_triggers(deliveries(spark, sf)).select("task_id", "event_id")
@@ -181,13 +183,15 @@ def job_key(spark, sf):
 
 STATUS_SQL = """WITH t AS (SELECT concat('t', event_id) AS task_id, concat('u', user_id) AS dataset_id, ts
  AS triggered_at FROM events), c AS (SELECT concat('t', event_id) AS task_id, value <= 100 AS success,
- ts + to_seconds(floor(value * 100)::BIGINT) AS completed_at FROM events WHERE event_type <> 'error')
+ ts + to_seconds(floor(value * 100)::BIGINT) AS completed_at FROM events WHERE event_type <> 'error'
+ UNION ALL SELECT concat('t', event_id), true, ts + INTERVAL 10 HOURS FROM events WHERE {again})
 SELECT t.task_id, dataset_id, triggered_at, completed_at, CASE WHEN success THEN 'success' WHEN NOT success THEN
- 'failure' ELSE 'open' END AS status, epoch_us(completed_at)::DOUBLE / 1e6 - epoch_us(triggered_at)::DOUBLE / 1e6 AS latency FROM t LEFT JOIN c
- ON c.task_id = t.task_id AND completed_at <= triggered_at + INTERVAL 6 HOURS"""
+ 'failure' ELSE 'open' END AS status, coalesce((epoch_us(completed_at) - epoch_us(triggered_at)) / 1e6, -1.0) AS latency
+ FROM t LEFT JOIN {done} c ON c.task_id = t.task_id {bound}"""
 
 
-def _both_ends(spark, sf):
+def _both_ends(spark, sf, again="false"):
+    """Triggers and completions; the tasks of ``again`` are reported once more after ten hours."""
     e = table(spark, sf, "events")
     ts = F.col("ts").cast("timestamp")
     triggers = e.select(F.concat(F.lit("t"), "event_id").alias("task_id"),
@@ -195,7 +199,9 @@ def _both_ends(spark, sf):
     done = e.where("event_type <> 'error'").select(
         F.concat(F.lit("t"), "event_id").alias("task_id"), (F.col("value") <= 100).alias("success"),
         (ts + F.make_dt_interval(secs=F.floor(F.col("value") * 100))).alias("timestamp"))
-    return triggers, done
+    late = e.where(again).select(F.concat(F.lit("t"), "event_id").alias("task_id"), F.lit(True).alias("success"),
+                                 (ts + F.expr("interval 10 hours")).alias("timestamp"))
+    return triggers, done.union(late)
 
 
 def _status(out):
@@ -204,21 +210,27 @@ def _status(out):
                       F.coalesce("latency_seconds", F.lit(-1.0)).alias("latency"))
 
 
-@query("pipeline_status", STATUS_SQL.replace(
-    "epoch_us(completed_at)::DOUBLE / 1e6 - epoch_us(triggered_at)::DOUBLE / 1e6",
-    "coalesce((epoch_us(completed_at) - epoch_us(triggered_at)) / 1e6, -1.0)"))
+AGAIN = "event_id % 7 = 0"
+DONE_SQL = "(SELECT task_id, arg_max(success, completed_at) AS success, max(completed_at) AS completed_at FROM c GROUP BY task_id)"
+
+
+@query("pipeline_status", STATUS_SQL.format(again=AGAIN, done=DONE_SQL, bound=""))
 def pipeline_status(spark, sf):
-    return _status(flow.pipeline_status(*_both_ends(spark, sf)))
+    return _status(flow.pipeline_status(*_both_ends(spark, sf, AGAIN)))
 
 
-@query("pipeline_status_stream", STATUS_SQL.replace(
-    "epoch_us(completed_at)::DOUBLE / 1e6 - epoch_us(triggered_at)::DOUBLE / 1e6",
-    "coalesce((epoch_us(completed_at) - epoch_us(triggered_at)) / 1e6, -1.0)") + " WHERE c.task_id IS NOT NULL")
+@query("pipeline_status_stream", STATUS_SQL.format(
+    again="false", done="c", bound="AND completed_at <= triggered_at + INTERVAL 6 HOURS"))
 def pipeline_status_stream(spark, sf):
+    """A closing row on both sides, long after the last event, lets the watermark pass every open task."""
     triggers, done = _both_ends(spark, sf)
-    out = flow.pipeline_status(as_stream(triggers, files_per_trigger=100), as_stream(done, files_per_trigger=100))
-    # tasks still open when the input ends wait for their watermark; finished ones are all there
-    return _status(run_available(out)).where("status <> 'open'")
+    end = table(spark, sf, "events").agg((F.max("ts").cast("timestamp") + F.expr("interval 90 days")).alias("timestamp"))
+    null = F.lit(None).cast("string")
+    streams = [as_stream(triggers, files_per_trigger=100,
+                         last=end.select(null.alias("task_id"), null.alias("dataset_id"), "timestamp")),
+               as_stream(done, files_per_trigger=100,
+                         last=end.select(null.alias("task_id"), F.lit(True).alias("success"), "timestamp"))]
+    return _status(run_available(flow.pipeline_status(*streams))).where("task_id is not null")
 
 
 @query("stage_reached", f"""WITH s AS (SELECT user_id::VARCHAR AS user_id, concat('d', floor(value)::INT) AS dataset_id,
@@ -254,3 +266,19 @@ def upload_job_progress(spark, sf):
         F.lit(1000000).alias("total_files"), F.col("ts").alias("updated_at"))
     out = flow.upload_job_progress(progress)
     return out.select("job_id", "phase", "processed_files", F.round("share_done", 9).alias("share_done"))
+
+
+@query("complete_drift_events", """SELECT concat('t', event_id) AS key, concat('{"task_id":"t', event_id,
+ '","event_type":"concept-drift-complete","timestamp":"', strftime(ts, '%Y-%m-%dT%H:%M:%S'),
+ '","output":{"model_id":"m","model_version":"v1","dataset_id":"d","dataset_version":"v1","user_id":"', user_id,
+ '","drift_detected":', CASE WHEN value > 20 THEN 'true,"message":null' ELSE 'false,"message":"No concept drift detected"' END,
+ ',"drift_metrics":{"total_drifts":', floor(value)::BIGINT, '}},"failure":', CASE WHEN value <= 100 THEN 'null}' ELSE
+ '{"error_type":"ConceptDriftError","error_message":"Concept drift retraining failed"}}' END) AS value FROM events""")
+def complete_drift_events(spark, sf):
+    results = table(spark, sf, "events").select(
+        F.concat(F.lit("t"), "event_id").alias("task_id"), F.col("ts").alias("timestamp"),
+        (F.col("value") <= 100).alias("success"), F.lit("m").alias("model_id"), F.lit("v1").alias("model_version"),
+        F.lit("d").alias("dataset_id"), F.lit("v1").alias("dataset_version"), F.col("user_id").cast("string").alias("user_id"),
+        (F.col("value") > 20).alias("drift_detected"),
+        F.struct(F.floor("value").cast("long").alias("total_drifts")).alias("drift_metrics"))
+    return flow.complete_events(results, "drift")

@@ -45,29 +45,33 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def file_traits(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, encoding, multi_line) per file, judged on every line of it by a split scan.
+    """(path, encoding, multi_line, header) per file, judged on every line of it by a split scan.
 
     A file that is UTF-8 throughout is read as such, any other as Latin-1, which accepts all bytes; the
     further encodings of the order utf-8, latin-1, cp1252, iso-8859-1, utf-16 are then never reached, save
     that a byte order mark still announces UTF-16. Only a file with a line of unbalanced quotes can hold a
     field with a line break; all others stay splittable.
     """
-    lines = spark.read.text(path, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
+        F.input_file_name().alias("path"), "value", F.input_file_block_start().alias("start"),
+        F.monotonically_increasing_id().alias("at"))
     mark = F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FFFE", "FEFF")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     judged = lines.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(mark).alias("marked"),
-        F.bool_or(quotes % 2 == 1).alias("open_quote"))
+        F.bool_or(quotes % 2 == 1).alias("open_quote"),
+        F.min(F.when(F.col("start") == 0, F.struct("at", "value")))["value"].alias("header"))
     name = F.when(F.col("valid"), "UTF-8").when(F.col("marked"), "UTF-16").otherwise("ISO-8859-1")
-    out = judged.select("path", name.alias("encoding"), "open_quote")
-    return out.select("path", "encoding", (F.col("open_quote") | (F.col("encoding") == "UTF-16")).alias("multi_line"))
+    out = judged.select("path", name.alias("encoding"), "open_quote", "header")
+    return out.select("path", "encoding", (F.col("open_quote") | (F.col("encoding") == "UTF-16")).alias("multi_line"), "header")
 
 
 def _grouped(traits: DataFrame) -> list[tuple[str, bool, list[str]]]:
-    groups: dict[tuple[str, bool], list[str]] = {}
-    for r in traits.collect():  # one row per file
-        groups.setdefault((r["encoding"], r["multi_line"]), []).append(r["path"])
-    return [(*key, sorted(paths)) for key, paths in sorted(groups.items())]
+    """Files that one reader can take together: same encoding, line breaks and header line. A reader lays the names of
+    one header over all its files, so files whose columns differ or stand in another order need readers of their own."""
+    groups = traits.groupBy("encoding", "multi_line", "header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [(r["encoding"], r["multi_line"], r["paths"])
+            for r in sorted(groups.collect(), key=lambda r: (r["encoding"], r["multi_line"], r["paths"]))]
 
 
 def read_csv_robust(spark: SparkSession, path: str | list[str], sep: str = ",", infer: bool = True) -> DataFrame:

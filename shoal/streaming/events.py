@@ -28,8 +28,11 @@ OUTPUTS = {
     "bias": ("bias_report_id", "dataset_id", "dataset_version", "user_id"),
     "automl": ("model_id", "model_version", "dataset_id", "dataset_version", "user_id"),
     "xai": ("xai_report_id", "dataset_id", "dataset_version", "user_id", "model_id", "model_version"),
-    "drift": ("model_id", "model_version", "dataset_id", "dataset_version", "user_id"),
+    "drift": ("model_id", "model_version", "dataset_id", "dataset_version", "user_id", "drift_detected", "message",
+              "drift_metrics"),
 }
+# Fixed value: message of a drift run that found none.
+NO_DRIFT = "No concept drift detected"
 # The trigger that follows each finished stage, and the order of the stages.
 NEXT_TRIGGER = {
     "dataset.uploaded": "bias-trigger.reported",
@@ -99,7 +102,8 @@ def dedup_triggers(events: DataFrame, within: str = "1 hour") -> DataFrame:
     """The first delivery of each task. A stream forgets a task ``within`` after it (bounded state)."""
     if events.isStreaming:
         return events.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(["task_id"])
-    first = events.groupBy("task_id").agg(F.min_by(F.struct(*events.columns), "timestamp").alias("x"))
+    rest = [c for c in events.columns if c not in ("task_id", "timestamp")]  # break ties of the time
+    first = events.groupBy("task_id").agg(F.min_by(F.struct(*events.columns), F.struct("timestamp", *rest)).alias("x"))
     return first.select("x.*")
 
 
@@ -143,6 +147,8 @@ def complete_events(results: DataFrame, kind: str) -> DataFrame:
     """Completion messages: ``output`` on success, ``failure`` otherwise (drift keeps its context there)."""
     event, error, text = STAGES[kind]
     ok = F.col("success")
+    if "drift_detected" in results.columns and "message" not in results.columns:
+        results = results.withColumn("message", F.when(~F.col("drift_detected"), NO_DRIFT))
     fields = [F.col(c).alias(c) if c in results.columns else F.lit(None).cast("string").alias(c) for c in OUTPUTS[kind]]
     output = F.struct(*fields)
     shown = output if kind == "drift" else F.when(ok, output)
@@ -159,8 +165,8 @@ def complete_events(results: DataFrame, kind: str) -> DataFrame:
 def pipeline_status(triggers: DataFrame, completions: DataFrame, within: str = "6 hours") -> DataFrame:
     """Per task: when it was triggered and completed, how it ended and how long it took.
 
-    On streams both sides carry watermarks and a task is given up ``within`` after its trigger; on tables the
-    last completion counts.
+    On streams both sides carry watermarks, every completion counts and a task is given up ``within`` after its
+    trigger. On tables the last completion counts, however late.
     """
     t = triggers.select("task_id", "dataset_id", F.col("timestamp").alias("triggered_at"))
     c = completions.select(F.col("task_id").alias("done_id"), "success", F.col("timestamp").alias("completed_at"))
@@ -169,8 +175,9 @@ def pipeline_status(triggers: DataFrame, completions: DataFrame, within: str = "
     else:
         c = c.groupBy("done_id").agg(F.max_by(F.struct("success", "completed_at"), "completed_at").alias("x"))
         c = c.select("done_id", "x.*")
-    on = (F.col("task_id") == F.col("done_id")) & (F.col("completed_at") >= F.col("triggered_at")) & (
-        F.col("completed_at") <= F.col("triggered_at") + F.expr(f"interval {within}"))
+    on = (F.col("task_id") == F.col("done_id")) & (F.col("completed_at") >= F.col("triggered_at"))
+    if triggers.isStreaming:
+        on = on & (F.col("completed_at") <= F.col("triggered_at") + F.expr(f"interval {within}"))
     joined = t.join(c, on, "left_outer")
     status = F.when(F.col("success"), "success").when(~F.col("success"), "failure").otherwise("open")
     took = F.unix_micros("completed_at") - F.unix_micros("triggered_at")

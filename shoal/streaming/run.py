@@ -19,9 +19,11 @@ def run_available(stream: DataFrame, label: str = "stream", mode: str = "append"
     return spark.read.schema(stream.schema).parquet(path + "/rows")
 
 
-def as_stream(table: DataFrame, label: str = "input", files_per_trigger: int = 2) -> DataFrame:
-    """A table written out and read back as a stream of its files."""
+def as_stream(table: DataFrame, label: str = "input", files_per_trigger: int = 2, last: DataFrame | None = None) -> DataFrame:
+    """A table written out and read back as a stream of its files; ``last`` is written after it, in a file of its own."""
     path = fresh_path(table.sparkSession, label)
     table.write.parquet(path)
+    if last is not None:
+        last.write.mode("append").parquet(path)
     reader = table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)

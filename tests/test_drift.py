@@ -74,14 +74,22 @@ def test_batch_equals_kernel(errors, parts):
     assert set(coarse["k"]) == set("abc") and ((coarse["row_index"] + 1) % 8 == 0).all()
 
 
-def test_only_long_series_are_summed_into_blocks(errors):
-    pdf, df = errors
-    uneven = df.where((F.col("k") != "b") | (F.col("seq") < 900))
-    got = drift.adwin(uneven, "e", ["seq"], ["k"], delta=0.05, max_blocks=900).toPandas()
-    exact = drift.adwin(uneven, "e", ["seq"], ["k"], delta=0.05).toPandas()
-    pairs = drift.adwin(uneven, "e", ["seq"], ["k"], delta=0.05, block=2).toPandas()
-    for k, want in (("a", pairs), ("b", exact), ("c", pairs)):
-        assert got[got["k"] == k]["row_index"].tolist() == want[want["k"] == k]["row_index"].tolist()
+def test_a_block_means_the_same_for_any_number_of_rows(spark):
+    """Rows after a detection, in its own or another series, do not change it."""
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.normal(0, 1, 2000), rng.normal(3, 1, 2000)])
+    found = []
+    for n in (3000, 4000):
+        pdf = pd.DataFrame({"k": 1, "i": np.arange(n), "e": values[:n]})
+        got = drift.adwin(spark.createDataFrame(pdf), "e", ["i"], ["k"], delta=0.01, block=8).toPandas()
+        found.append(sorted(got[got["row_index"] < 2960]["row_index"]))
+    assert found[0] and found[0] == found[1]
+
+
+def test_monitor_blocks_count_rows(spark):
+    pdf = pd.DataFrame({"i": np.arange(2000), "e": np.r_[np.zeros(1000), np.ones(1000)]})
+    got = drift.monitor_drift(spark.createDataFrame(pdf), "e", ["i"], block=10, delta=0.01).toPandas()
+    assert len(got) and got["row_index"].min() > 1000 and ((got["row_index"] + 1) % 10 == 0).all()
 
 
 @pytest.mark.parametrize("cuts", [[1800], [1, 2, 700, 1800], list(range(100, 1900, 300))])

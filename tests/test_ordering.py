@@ -64,12 +64,6 @@ def test_split_is_exact_and_stable(frame):
     assert dict(zip(first["id"], first["split"])) != dict(zip(other["id"], other["split"]))
 
 
-def test_split_needs_a_key(spark):
-    rows = spark.range(100).select(F.lit(1).alias("same"))
-    with pytest.raises(ValueError):
-        random_split_exact(rows, ["same"])
-
-
 def test_small_splits():
     assert split_sizes(1, True) == (1, 0)
     assert split_sizes(2, True) == (1, 0)
@@ -95,3 +89,19 @@ def test_block_totals(frame):
     assert (got["n"] == want.groupby("k").cumcount() + 1).all()
     rolled = want.groupby("k")["hot"].rolling(7, min_periods=1).sum().reset_index(drop=True)
     np.testing.assert_allclose(got["last"], rolled)
+
+
+@pytest.mark.parametrize("rows", [[("a", 1)] * 100, [("a", 1)] * 60 + [("b", 2)] * 60, [(None, 1)] * 30 + [("c", 3)] * 9 + [(None, 4)] * 31])
+def test_split_of_equal_rows_is_exact(spark, rows):
+    df = spark.createDataFrame(rows, "k string, v long")
+    for key in (["k"], ["k", "v"]):
+        got = random_split_exact(df, key, seed=3).toPandas()
+        n = len(rows)
+        assert got["split"].value_counts().to_dict() == {"train": n * 70 // 100, "test": n * 15 // 100,
+                                                         "drift": n - n * 70 // 100 - n * 15 // 100}
+        assert len(got) == n and got["v"].sum() == sum(v for _, v in rows)
+
+
+def test_hash_key_marks_nulls(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None)], "x string, y string")
+    assert df.select(hash_key(1, "x", "y").alias("h")).distinct().count() == 2
