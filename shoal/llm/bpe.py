@@ -36,11 +36,15 @@ class Codec:
         self.merges = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
         self.packed = _Packed(self.merges.encode_ordinary)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of the text as little-endian unsigned 32-bit integers."""
+    def encode(self, text: str, ahead: int = 0) -> bytes:
+        """Ids of the text as little-endian unsigned 32-bit integers. Its last ``ahead`` characters are only looked at: they
+        follow a boundary, and what stands before it may depend on them."""
         if len(self.packed) > REMEMBERED:
             self.packed.clear()
-        return b"".join(map(self.packed.__getitem__, self.find.findall(text)))
+        pieces = self.find.findall(text)
+        while ahead > 0:
+            ahead -= len(pieces.pop())
+        return b"".join(map(self.packed.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -103,7 +107,8 @@ def _encoder(ranks, pattern: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)
         for batch in sliced(batches, "text", 8 << 20):
-            ids = [codec.encode(x or "") for x in batch["text"].to_pylist()]
+            ahead = batch["ahead"].to_pylist() if "ahead" in batch.schema.names else [0] * batch.num_rows
+            ids = [codec.encode(x or "", n) for x, n in zip(batch["text"].to_pylist(), ahead)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in keep), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 [*keep, "n_tokens", "ids"])
@@ -113,8 +118,13 @@ def _encoder(ranks, pattern: str, keep: list[str]):
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of segments from their chunks, or ids of texts from their segments, in order."""
     for batch in batches:
-        whole = ["".join(x["text"] for x in sorted(parts, key=lambda x: x["chunk"])) for parts in batch["parts"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["digest"], batch["segment"], pa.array(whole)], ["digest", "segment", "text"])
+        whole, ahead = [], []
+        for parts in batch["parts"].to_pylist():
+            parts.sort(key=lambda x: x["chunk"])
+            ahead.append(len(parts[-1]["ahead"]))
+            whole.append("".join(x["text"] for x in parts) + parts[-1]["ahead"])
+        yield pa.RecordBatch.from_arrays([batch["digest"], batch["segment"], pa.array(whole), pa.array(ahead, pa.int32())],
+                                         ["digest", "segment", "text", "ahead"])
 
 
 def _joined_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,17 +170,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                         "array_min(filter(array_intersect(head, tail), x -> x >= sure)) END AS cut")
             .selectExpr("digest", "chunk", "start", "cut",
                         f"max(CASE WHEN cut IS NOT NULL THEN chunk END) OVER ({order}) AS segment",
-                        f"min(cut) OVER ({order} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later",
                         f"lead(chunk) OVER ({order}) IS NULL AS final", f"lead(cut) OVER ({order}) AS next_cut"))
     # the part of each chunk that its segment takes: up to the next cut, or to the next chunk's start inside a segment
     parts = (chunks.join(cuts.drop("start"), ["digest", "chunk"])
-             .selectExpr("digest", "segment", "chunk", "start + 0 AS begin", "text",
-                         "coalesce(cut, start) - start AS skip",
+             .selectExpr("digest", "segment", "chunk", "text", "next_cut", "coalesce(cut, start) - start AS skip",
                          f"CASE WHEN final THEN length(text) WHEN next_cut IS NOT NULL THEN next_cut - start "
                          f"ELSE {chunk_chars} END AS stop")
-             .selectExpr("digest", "segment", "chunk", "substring(text, int(skip + 1), int(stop - skip)) AS text"))
-    segments = parts.groupBy("digest", "segment").agg(F.collect_list(F.struct("chunk", "text")).alias("parts")).mapInArrow(
-        _joined, "digest string, segment int, text string")
+             .selectExpr("digest", "segment", "chunk", "substring(text, int(skip + 1), int(stop - skip)) AS text",
+                         "CASE WHEN next_cut IS NULL THEN '' ELSE substring(text, int(stop + 1), 2) END AS ahead"))
+    segments = parts.groupBy("digest", "segment").agg(F.collect_list(F.struct("chunk", "text", "ahead")).alias("parts")).mapInArrow(
+        _joined, "digest string, segment int, text string, ahead int")
     encoded = (segments.mapInArrow(_encoder(ranks, pattern, ["digest", "segment"]),
                                    "digest string, segment int, n_tokens long, ids binary")
                .groupBy("digest").agg(F.collect_list(F.struct("segment", "ids")).alias("parts"))
