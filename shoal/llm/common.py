@@ -139,7 +139,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def blocked(buckets: DataFrame, size: int = BLOCK) -> DataFrame:
-    """``bucket, low, high, block`` added to (bucket, id, members of the bucket): the pairs of blocks a member meets in.
+    """``low, high, block, blocks`` added to (bucket, id, size of the bucket): the pairs of blocks a member meets in.
 
     A bucket of up to ``size`` members is one group; a larger one is cut by a hash of the ids into blocks, and each
     pair of blocks is a group of at most about two blocks, so memory is bounded and all pairs still meet.
@@ -148,4 +148,4 @@ def blocked(buckets: DataFrame, size: int = BLOCK) -> DataFrame:
             .withColumn("block", F.expr("CASE WHEN blocks = 1 THEN 0 ELSE int(pmod(xxhash64(id, bucket), blocks)) END"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-            .drop("other", "blocks", "size"))
+            .drop("other", "size"))

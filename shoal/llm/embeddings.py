@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import U64, blocked, grouped, mix, only
+from shoal.llm.common import BLOCK, U64, blocked, grouped, mix, only
 from shoal.llm.components import connected_components
 from shoal.session import materialize
 
@@ -117,7 +117,7 @@ def _forest(a: np.ndarray, b: np.ndarray, m: int) -> list[tuple[int, int]]:
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95,
-                 recall: float = 0.99) -> DataFrame:
+                 recall: float = 0.99, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row; ids are integers.
 
     Equal vectors are one class from the start. A table's hash is the signs of the products with random planes;
@@ -137,7 +137,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         F.first("codes").alias("codes")), "classes")
     coded = classes.select("id", "key", F.explode("codes").alias("bucket"))
     buckets = materialize(coded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = blocked(coded.join(buckets, "bucket")).join(classes, ["id", "key"])
+    members = blocked(coded.join(buckets, "bucket"), block).join(classes, ["id", "key"])
     found = materialize(members.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
                         .select("bucket", "low", "high", "block", "id", "key", "copies", "vector", "codes")
                         .mapInArrow(_verifier(cosine), "id long, other long, key binary, links long"), "links")

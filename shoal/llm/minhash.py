@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.common import (
-    U64, blocked, byte_class, expand, flat, grouped, lower, mix, only, prefix_sums, sliced, span_hash, words,
+    BLOCK, U64, blocked, byte_class, expand, flat, grouped, lower, mix, only, prefix_sums, sliced, span_hash, words,
 )
 from shoal.llm.components import connected_components
 from shoal.session import materialize
@@ -153,7 +153,7 @@ def _verifier(percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
-                    percent: int = 80, values: int = 128) -> DataFrame:
+                    percent: int = 80, values: int = 128, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; ids are integers.
 
     Rows with equal shingle sets are one class from the start (a digest of the set, aggregated before the shuffle), so a
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = members.select("id").distinct()
     sets = texts.join(needed, "id").mapInArrow(_set_builder(shingle_words), "id long, key binary, members binary").dropDuplicates(
         ["id", "key"])
-    groups = blocked(members.join(sets, ["id", "key"])).select("bucket", "low", "high", "block", "id", "members")
+    groups = blocked(members.join(sets, ["id", "key"]), block).select("bucket", "low", "high", "block", "id", "members")
     edges = materialize(groups.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
                         .mapInArrow(_verifier(percent), "a long, b long").distinct(), "links")
     components = materialize(connected_components(edges, "a", "b"), "components")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import U64, blocked, expand, flat, grouped, mix, only, prefix_sums, sliced, span_hash
+from shoal.llm.common import BLOCK, U64, blocked, expand, flat, grouped, mix, only, prefix_sums, sliced, span_hash
 from shoal.session import materialize
 
 #: Bytes of contexts that are sorted together.
@@ -170,9 +170,9 @@ def _sorter(length: int):
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (first[1:] != first[:-1] + 1)
         a = np.flatnonzero(new)
-        b = np.concatenate([a[1:], [len(row)]]) - 1
+        b = np.concatenate([a[1:], [len(row)]])[:len(a)] - 1
         return pa.RecordBatch.from_arrays(
-            [whole["key"].combine_chunks().take(pa.array(row[a])) if len(a) else pa.array([], pa.binary()),
+            [whole["key"].combine_chunks().take(pa.array(row[a], pa.int64())),
              pa.array(first[a], pa.int32()), pa.array(first[b] + length, pa.int32())], ["key", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(found, pa.list_(pa.int64()))], ["key", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100,
+                   block: int = BLOCK) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed`` for every row: bytes that are part of a string of
     ``length`` bytes that also starts anywhere else. ``removed`` are the removed runs (start, end, start, end, ...).
 
@@ -254,9 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts = involved.where("size(members) > 0").mapInArrow(
         _contexts(length), "key binary, bucket long, id long, first int, context binary").join(members, "bucket")
     sorted_runs = materialize(
-        blocked(contexts.withColumn("blocks_of", F.col("size"))).withColumn(
-            "blocks", F.expr("CASE WHEN blocks_of > 1024 THEN 2 ELSE 1 END"))
-        .select("bucket", "low", "high", "block", "blocks", "key", "first", "context")
+        blocked(contexts, block).select("bucket", "low", "high", "block", "blocks", "key", "first", "context")
         .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
         .mapInArrow(_sorter(length), "key binary, start int, stop int"), "sorted")
     more = sorted_runs.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("more"))
