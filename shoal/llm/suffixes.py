@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import BLOCK, U64, blocked, expand, flat, grouped, mix, only, prefix_sums, sliced, span_hash
+from shoal.llm.common import U64, blocked, expand, flat, grouped, mix, only, prefix_sums, sliced, span_hash
 from shoal.session import materialize
 
 #: Bytes of contexts that are sorted together.
 SORT_BYTES = 1 << 19
+#: Contexts of one anchor that are sorted in one group; more are spread over pairs of blocks.
+GROUP = 256
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -217,7 +219,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100,
-                   block: int = BLOCK) -> DataFrame:
+                   block: int = GROUP) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed`` for every row: bytes that are part of a string of
     ``length`` bytes that also starts anywhere else. ``removed`` are the removed runs (start, end, start, end, ...).
 
