@@ -19,8 +19,8 @@ CLASSES = {
     "line": byte_class(b"\n"), "stop": byte_class(b".,;:?'\"-()"), "bang": byte_class(b"!"), "bar": byte_class(b"|"),
     "symbol": byte_class(b"#$%&*+/<=>@[\\]^_`{}~"), "wide": byte_class(bytes(range(128, 256))),
 }
-STATISTICS = (*(f"share_{x}" for x in CLASSES), "log_bytes", "log_words", "word_mean", "word_spread", "distinct_words",
-              "top_word", "repeated_triples", "distinct_lines", "line_mean")
+STATISTICS = (*(f"share_{x}" for x in CLASSES), "log_bytes", "log_words", "word_mean", "word_spread", "repeated_words",
+              "top_word", "same_as_last", "repeated_triples", "repeated_lines", "line_mean")
 
 
 def _distinct(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,15 +36,15 @@ def _distinct(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
-    """Transformed statistics (rows x len(STATISTICS)); shares p become asin(sqrt(p)), counts log(1 + n)."""
+    """Transformed statistics (rows x len(STATISTICS)): counts become log(1 + n), shares asin(sqrt(part / (whole + a))),
+    where ``a`` keeps the shares of a few bytes, words or lines from looking like those of a long text."""
     data, offsets = flat(texts)
     n, size = len(texts), np.diff(offsets)
-    some = np.maximum(size, 1)
-    share = lambda part, whole: np.arcsin(np.sqrt(np.clip(part / np.maximum(whole, 1), 0, 1)))
+    share = lambda part, whole, a=20: np.arcsin(np.sqrt(np.clip(part / (whole + a), 0, 1)))
     columns = []
     for members in CLASSES.values():
         inside = np.concatenate([[0], np.cumsum(members[data], dtype=np.int64)])
-        columns.append(share(inside[offsets[1:]] - inside[offsets[:-1]], some))
+        columns.append(share(inside[offsets[1:]] - inside[offsets[:-1]], size, 100))
     sums = prefix_sums(data)
     starts, ends, first = words(data, offsets, ~_SPACE)
     count = np.diff(first)
@@ -54,6 +54,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
     spread = np.sqrt(np.maximum(np.bincount(row, length ** 2, n) / np.maximum(count, 1) - mean ** 2, 0))
     hashes = span_hash(sums, starts, ends)
     distinct, most = _distinct(row, hashes, n)
+    again = np.zeros(len(row), bool)
+    again[1:] = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
     triples = np.maximum(count - 2, 0)
     at = expand(first[:-1], triples)
     triple = mix(mix(hashes[at] * U64(3) + hashes[at + 1]) + hashes[at + 2]) if len(at) else hashes[:0]
@@ -61,8 +63,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
     line_starts, line_ends, line_first = words(data, offsets, ~byte_class(b"\n"))
     lines = np.diff(line_first)
     distinct_lines, _ = _distinct(np.repeat(np.arange(n), lines), span_hash(sums, line_starts, line_ends), n)
-    columns += [np.log1p(size), np.log1p(count), np.log1p(mean), np.log1p(spread), share(distinct, count), share(most, count),
-                share(triples - distinct_triples, triples), share(distinct_lines, lines), np.log1p(size / np.maximum(lines, 1))]
+    columns += [np.log1p(size), np.log1p(count), np.log1p(mean), np.log1p(spread), share(count - distinct, count), share(np.maximum(most - 1, 0), count),
+                share(np.bincount(row[again], minlength=n), count),
+                share(triples - distinct_triples, triples), share(lines - distinct_lines, lines, 5), np.log1p(size / np.maximum(lines, 1))]
     return np.stack(columns, 1)
 
 
@@ -117,11 +120,12 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(features: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
-        shrinkage: float = 0.1, pooling: float = 0.1) -> Model:
+        shrinkage: float | None = None, pooling: float = 0.01) -> Model:
     """A quadratic discriminant from all labelled rows outside the held-out fifth.
 
     Each class covariance is mixed with the pooled one (``pooling``) and then with a multiple of the identity of the
-    same trace (``shrinkage``), so it can be inverted for any number of rows. The moments are summed where the rows
+    same trace (``shrinkage``; by default d / (d + n) for d statistics and n rows of the class, much where it is known
+    from few rows), so it can be inverted for any number of rows. The moments are summed where the rows
     are; the driver gets two matrices of the size of the statistics. Several labels of one id count as the
     smallest; null labels and ids, and labels other than 0 and 1, are left out. If a class has no rows the
     score is the share of the other one, or 0.5 without any labels.
@@ -149,9 +153,10 @@ def fit(features: DataFrame, labels: DataFrame, label_col: str = "quality", id_c
         spreads.append((m[1:, 1:] / n - np.outer(mean, mean)) / np.outer(scale, scale))
     pooled = sum(s * n for s, n in zip(spreads, counts)) / sum(counts)
     factors, log_dets = [], []
-    for spread in spreads:
+    for spread, n in zip(spreads, counts):
+        share = (d - 1) / (d - 1 + n) if shrinkage is None else shrinkage
         spread = (1 - pooling) * spread + pooling * pooled
-        spread = (1 - shrinkage) * spread + shrinkage * max(np.trace(spread) / (d - 1), 1e-6) * np.eye(d - 1)
+        spread = (1 - share) * spread + share * max(np.trace(spread) / (d - 1), 1e-6) * np.eye(d - 1)
         factor = np.linalg.cholesky(spread)
         factors.append(np.linalg.inv(factor))
         log_dets.append(2 * float(np.log(np.diag(factor)).sum()))
