@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shoal.llm.common import only, sliced
 
 #: Pieces whose ids a task remembers at once; it only saves work.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -106,7 +106,7 @@ def _boundaries(pattern: str, chunk_chars: int, overlap: int):
 def _encoder(ranks, pattern: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)
-        for batch in sliced(batches, "text", 8 << 20):
+        for batch in sliced(batches, "text", 2 << 20):
             ahead = batch["ahead"].to_pylist() if "ahead" in batch.schema.names else [0] * batch.num_rows
             ids = [codec.encode(x or "", n) for x, n in zip(batch["text"].to_pylist(), ahead)]
             yield pa.RecordBatch.from_arrays(
@@ -193,7 +193,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches):
         codec = Codec(ranks.value, ".")
-        for batch in sliced(batches, "ids", 8 << 20):
+        for batch in sliced(batches, "ids", 1 << 20):
             raw = [None if x is None else codec.decode(x) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"])
 
