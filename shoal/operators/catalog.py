@@ -440,6 +440,19 @@ def removal_counts(tables: Mapping[str, DataFrame], users: DataFrame) -> DataFra
     )
 
 
+# The tables that hold rows of users.
+USER_TABLES = ("datasets", "ai_models", "bias_reports", "transformation_reports", "concept_drift_reports", "xai_reports",
+               "user_files", "users")
+
+
+def delete_user_everything(tables: Mapping[str, DataFrame], users: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables of ``USER_TABLES`` without the users' rows, and how many rows each loses per user."""
+    missing = set(USER_TABLES) - set(tables)
+    if missing:
+        raise ValueError(f"tables are missing: {sorted(missing)}")
+    return {name: remove_users(t, users) for name, t in tables.items()}, removal_counts(tables, users)
+
+
 def incremental_sync(source: DataFrame, target: DataFrame, since: object, keys: Sequence[str]) -> DataFrame:
     """Rows of ``source`` changed after the watermark, upserted into ``target``."""
     changed = source.where(F.col("updated_at") > F.lit(since))

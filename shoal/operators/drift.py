@@ -130,18 +130,19 @@ def _swap_values(df: DataFrame, column: str, within: Sequence[str], chosen: Colu
     numbered = materialize(row_index(kinds, ["__v"], "__j", within), "values")
     sizes = numbered.groupBy(*within).agg(F.count(F.lit(1)).alias("__m")) if within else numbered.agg(
         F.count(F.lit(1)).alias("__m"))
-    marked = df.withColumn("__chosen", chosen).withColumn("__v", col(column))
-    marked = marked.join(numbered, [*within, "__v"], "left").drop("__v")
+    picked = df.where(chosen).withColumn("__v", col(column))
+    marked = picked.join(numbered, [*within, "__v"], "left").drop("__v")
     marked = marked.join(sizes, list(within), "left") if within else marked.join(F.broadcast(sizes))
     others = F.col("__m") - F.when(F.col("__j").isNull(), 0).otherwise(1)
-    swap = F.col("__chosen") & (F.col("__m") > 1)
     pick = F.floor(uniform(seed, "row_index") * others)
     pick = pick + F.when(F.col("__j").isNotNull() & (pick >= F.col("__j")), 1).otherwise(0)
-    marked = marked.withColumn("__pick", F.when(swap, pick))
+    # a group of one value keeps it
+    marked = marked.withColumn("__pick", F.when(F.col("__m") > 1, pick).otherwise(F.coalesce("__j", F.lit(0))))
     options = numbered.select(*within, F.col("__v").alias("__new"), F.col("__j").alias("__pick"))
     out = marked.join(options, [*within, "__pick"], "left")
-    value = F.when(F.col("__pick").isNotNull(), F.col("__new")).otherwise(col(column))
-    return out.select(*[value.alias(c) if c == column else col(c) for c in df.columns])
+    value = F.when(F.col("__m") > 1, F.col("__new")).otherwise(col(column))
+    swapped = out.select(*[value.alias(c) if c == column else col(c) for c in df.columns])
+    return df.where(~F.coalesce(chosen, F.lit(False))).unionByName(swapped)
 
 
 def infer_drift_task(df: DataFrame, target: str | None) -> str:
@@ -458,3 +459,25 @@ def drift_report(log: DataFrame, metrics: DataFrame, keys: Sequence[str]) -> Dat
         (total > 0).alias("drift_detected"), total.alias("total_drifts"), F.col("first_drift"), F.col("last_drift"),
         F.struct(*[col(c) for c in fields]).alias("metrics"), message.alias("message")))
     return out.select(*keys, (total > 0).alias("drift_detected"), total.alias("total_drifts"), report.alias("report"))
+
+
+REPORT_KEY = ("user_id", "dataset_id", "dataset_version", "model_id", "model_version")  # fixed values
+
+
+def publish_drift_report(reports: DataFrame, found: DataFrame, models: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Reports with the new ones upserted by their five-part key, and the models with their new versions.
+
+    ``found`` has user_id, dataset_id, dataset_version, model_id, drift_detected and report; ``models`` user_id, model_id
+    and version. Where drift was found the report belongs to the retrained model, which gets the next version;
+    else to the newest one there is.
+    """
+    from shoal.functions.columns import version_number
+    from shoal.operators.catalog import upsert
+
+    last = models.groupBy("user_id", "model_id").agg(F.coalesce(F.max(version_number(F.col("version"))), F.lit(0)).alias("__last"))
+    joined = found.join(last, ["user_id", "model_id"], "left").withColumn("__last", F.coalesce("__last", F.lit(0)))
+    number = F.greatest(F.col("__last") + F.col("drift_detected").cast("int"), F.lit(1))
+    named = joined.withColumn("model_version", F.concat(F.lit("v"), number.cast("string"))).withColumn("updated_at", now)
+    updated = upsert(reports, named.select(*REPORT_KEY, "report", "updated_at"), list(REPORT_KEY))
+    fresh = named.where("drift_detected").select("user_id", "model_id", F.col("model_version").alias("version"))
+    return updated, models.select("user_id", "model_id", "version").unionByName(fresh).distinct()

@@ -10,7 +10,8 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.stat import KolmogorovSmirnovTest
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -444,19 +445,32 @@ def ks_normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     The p-value uses half the rows as effective size: the power of a comparison with a normal sample of
     the same size, without drawing one.
     """
-    rows = []
+    schema = "column_name string, statistic double, p_value double, differs boolean"
     stats = column_moments(df.select(*[col(c) for c in columns]), columns) if columns else {}
+    good = [c for c in columns if stats[c]["count"] and stats[c]["std"] and not math.isnan(stats[c]["std"])]
+    gaps = {}
+    if good:
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("v")) for i, c in enumerate(good)]))
+        placed = row_index(df.select(cells.alias("x")).select("x.*").where("v is not null"), ["v"], "i", ["c"])
+        law = np.array([[stats[c]["mean"], stats[c]["std"], stats[c]["count"]] for c in good])
+
+        def gap(batches):
+            most = np.zeros(len(law))
+            for batch in batches:
+                c, v, i = (batch[x].to_numpy() for x in ("c", "v", "i"))
+                z = (v - law[c, 0]) / law[c, 1] / math.sqrt(2.0)
+                below = 0.5 * (1.0 + np.array([math.erf(x) for x in z.tolist()]))
+                n = law[c, 2]
+                np.maximum.at(most, c, np.maximum(np.abs((i + 1) / n - below), np.abs(i / n - below)))
+            yield pa.RecordBatch.from_pydict({"c": pa.array(range(len(most)), pa.int32()), "d": pa.array(most)})
+
+        gaps = dict(placed.select("c", "v", "i").mapInArrow(gap, "c int, d double").groupBy("c").agg(F.max("d")).collect())
+    rows = []
     for c in columns:
-        s = stats[c]
-        if not s["count"] or not s["std"] or math.isnan(s["std"]):
-            rows.append((c, None, None, False))
-            continue
-        values = df.select(col(c).cast("double").alias("v")).where("v is not null")
-        d = KolmogorovSmirnovTest.test(values, "v", "norm", s["mean"], s["std"]).first()["statistic"]
-        p = kolmogorov_p(math.sqrt(s["count"] / 2.0) * d)
-        rows.append((c, d, p, p < KS_P_VALUE))
-    return df.sparkSession.createDataFrame(
-        rows, "column_name string, statistic double, p_value double, differs boolean")
+        d = gaps.get(good.index(c)) if c in good else None
+        p = None if d is None else kolmogorov_p(math.sqrt(stats[c]["count"] / 2.0) * d)
+        rows.append((c, d, p, p is not None and p < KS_P_VALUE))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def fit_drift_scale(train: DataFrame, state: MitigationState, columns: Sequence[str]) -> DataFrame:
@@ -531,3 +545,40 @@ def mitigate(
         df = df.withColumn("split", F.lit(name))
         out = df if out is None else out.unionByName(df)
     return out, log_table(train, state), state
+
+
+MITIGATED_TAGS = ("mitigated", "bias-corrected")  # fixed values
+
+
+def publish_mitigated(
+    cat: DataFrame, root: str, user: str, dataset: str, target: str | None = None, seed: int = 42, now: Column | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Mitigate the newest version of a dataset and write the three splits as its next version.
+
+    Returns the new catalog record, the transformation report and the report on the new rows, both keyed by user,
+    dataset and version for ``catalog.upsert``; None if the newest version is mitigated already. ``cat`` has user_id,
+    dataset_id, version, name, tags and created_at.
+    """
+    from shoal.operators.catalog import latest_version, next_versions
+    from shoal.operators.profile import profile_report
+    from shoal.sources.versions import read_split, write_version
+
+    spark = cat.sparkSession
+    mine = cat.where((F.col("user_id") == user) & (F.col("dataset_id") == dataset))
+    newest = latest_version(mine, ["user_id", "dataset_id"]).first()
+    if newest is None or set(MITIGATED_TAGS) & set(newest["tags"] or []):
+        return None
+    parts = [read_split(spark, root, user, dataset, newest["version"], s).drop("split") for s in ("train", "test", "drift")]
+    rows, log, _ = mitigate(*parts, target=target, seed=seed)
+    version = next_versions(mine, 1).first()["next_version"]
+    write_version(rows, root, user, dataset, version)
+    written = read_split(spark, root, user, dataset, version)
+    when = now if now is not None else F.current_timestamp()
+    key = [F.lit(user).alias("user_id"), F.lit(dataset).alias("dataset_id"), F.lit(version).alias("version")]
+    tags = [*(newest["tags"] or []), *MITIGATED_TAGS]
+    record = written.groupBy().agg(F.count(F.lit(1)).alias("row_count")).select(
+        *key, F.lit(f"{newest['name']} (Mitigated)").alias("name"), F.array(*map(F.lit, tags)).alias("tags"), "row_count",
+        when.alias("created_at"))
+    changes = log.groupBy().agg(F.to_json(F.sort_array(F.collect_list(F.struct(*log.columns)))).alias("report"))
+    report = profile_report(written.drop("split")).select(F.to_json(F.struct("*")).alias("report"))
+    return record, changes.select(*key, "report", when.alias("updated_at")), report.select(*key, "report", when.alias("updated_at"))

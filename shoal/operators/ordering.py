@@ -64,10 +64,9 @@ def hash_key(seed: int, *keys: str) -> Column:
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:
-    """A reproducible number in (0, 1) from a 64-bit hash."""
-    cols = _as_columns(parts)
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)
-    return (bits.cast("double") + 0.5) / float(1 << 53)
+    """A reproducible number in (0, 1): the first 13 digits of ``md5(seed|part...)``, equal in any engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("\0")) for c in _as_columns(parts)])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def standard_normal(seed: int, *parts: Column | str) -> Column:
@@ -145,27 +144,19 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    direct_rows: int = 100_000,
     keep: int = 10_000,
     accuracy: int = 10_000,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles, exact at any size.
 
-    Up to ``direct_rows`` rows Spark's ``percentile`` does it in one aggregate. Beyond, its value map may
-    not fit: a sketch then brackets each order statistic, the bracket is sketched again, and once at
-    most ``keep`` rows are inside they are fetched. Each pass is one aggregate and no rows are shuffled.
+    A sketch brackets each order statistic, the bracket is sketched again, and once at most ``keep`` rows
+    are inside they are fetched. Each pass is one aggregate and no rows are shuffled.
     """
     if not columns:
         return {}
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     counted = values.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = [counted[f"n{i}"] for i in range(len(columns))]
-    if max(sizes) <= direct_rows:
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = values.agg(
-            *[F.percentile(F.col(f"`{c}`"), probs).alias(f"q{i}") for i, c in enumerate(columns)]
-        ).first()
-        return {c: list(row[f"q{i}"]) if sizes[i] else [None] * len(probabilities) for i, c in enumerate(columns)}
 
     ranks: dict[tuple[str, int], None] = {}
     for c, n in zip(columns, sizes):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,18 +173,37 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, digi
     """Pearson correlation of each pair over the rows where both are present."""
     df = nan_to_null(df)
     columns = list(columns or numeric_columns(df))
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    got = aggregate_once(df, {
-        f"r{i}_{j}": F.round(F.corr(col(columns[i]).cast("double"), col(columns[j]).cast("double")), digits)
-        for i, j in pairs
-    })
-    rows = []
-    for i, j in pairs:
-        r = got[f"r{i}_{j}"]
-        rows.append((columns[i], columns[j], r))
-        if i != j:
-            rows.append((columns[j], columns[i], r))
-    return _per_column(df, rows, "column_a string, column_b string, correlation double")
+    if not columns:
+        return _per_column(df, [], "column_a string, column_b string, correlation double")
+    numbers = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    centre = [m or 0.0 for m in numbers.agg(*[F.avg(c).alias(c) for c in numbers.columns]).first()]
+    sums = numbers.mapInArrow(_pair_sums(centre), "a int, b int, n double, x double, y double, xx double, yy double, xy double")
+    total = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.col("n")
+    spread = (F.col("xx") - F.col("x") * F.col("x") / n) * (F.col("yy") - F.col("y") * F.col("y") / n)
+    r = F.when(spread > 0, (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(spread))
+    names = F.array(*[F.lit(c) for c in columns])
+    return total.select(names[F.col("a")].alias("column_a"), names[F.col("b")].alias("column_b"),
+                        F.round(r, digits).alias("correlation"))
+
+
+def _pair_sums(centre: Sequence[float]):
+    """Sums over the rows where both of a pair are present, one row per pair and task; any number of columns is one pass."""
+    k = len(centre)
+
+    def run(batches):
+        totals = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - np.array(centre)
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            totals += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        a, b = np.divmod(np.arange(k * k), k)
+        flat = [t.ravel() for t in totals]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), *map(pa.array, flat)],
+                                         ["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    return run
 
 
 def distribution_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:

@@ -378,20 +378,34 @@ def leaderboard_scores(spark, sf):
         "model_id", "test_accuracy", "validation_accuracy", "training_accuracy")
 
 
-@query("delete_user_everything", """WITH u AS (SELECT o_custkey AS user_id FROM orders GROUP BY o_custkey
- HAVING count(*) >= 18), t AS (SELECT o_custkey AS user_id, 'datasets' AS table_name FROM orders UNION ALL
- SELECT c_custkey, 'users' FROM customer UNION ALL SELECT user_id, 'user_files' FROM events)
-SELECT u.user_id, n.table_name, count(t.user_id) AS deleted FROM u CROSS JOIN (VALUES ('datasets'), ('users'),
- ('user_files')) n(table_name) LEFT JOIN t ON t.user_id = u.user_id AND t.table_name = n.table_name GROUP BY ALL""")
+USER_ROWS = {
+    "datasets": ("orders", "o_custkey", "true"), "ai_models": ("orders", "o_custkey", "o_orderstatus = 'F'"),
+    "bias_reports": ("orders", "o_custkey", "o_orderpriority = '1-URGENT'"),
+    "transformation_reports": ("orders", "o_custkey", "o_orderpriority = '2-HIGH'"),
+    "concept_drift_reports": ("events", "user_id", "event_type = 'error'"),
+    "xai_reports": ("events", "user_id", "event_type = 'view'"), "user_files": ("events", "user_id", "true"),
+    "users": ("customer", "c_custkey", "true")}
+USER_ROWS_SQL = " UNION ALL ".join(f"SELECT {key} AS user_id, '{name}' AS table_name FROM {source} WHERE {test}"
+                                   for name, (source, key, test) in USER_ROWS.items())
+
+
+@query("delete_user_everything", f"""WITH u AS (SELECT o_custkey AS user_id FROM orders GROUP BY o_custkey
+ HAVING count(*) >= 18), t AS ({USER_ROWS_SQL}), n AS (SELECT DISTINCT table_name FROM t)
+SELECT u.user_id, n.table_name, count(t.user_id) AS deleted, 0::BIGINT AS remaining FROM u CROSS JOIN n
+ LEFT JOIN t ON t.user_id = u.user_id AND t.table_name = n.table_name GROUP BY ALL
+UNION ALL SELECT -1, table_name, 0, count(*) FILTER (user_id NOT IN (SELECT user_id FROM u)) FROM t GROUP BY table_name""")
 def delete_user_everything(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"))
-    tables = {
-        "datasets": orders,
-        "users": table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")),
-        "user_files": table(spark, sf, "events").select("user_id"),
-    }
-    users = orders.groupBy("user_id").count().where("count >= 18").select("user_id")
-    return catalog.removal_counts(tables, users)
+    """Rows lost per user and table; rows that stay are listed under user -1."""
+    tables = {name: table(spark, sf, source).where(test).select(F.col(key).alias("user_id"))
+              for name, (source, key, test) in USER_ROWS.items()}
+    users = tables["datasets"].groupBy("user_id").count().where("count >= 18").select("user_id")
+    left, counts = catalog.delete_user_everything(tables, users)
+    out = counts.withColumn("remaining", F.lit(0).cast("long"))
+    for name, rows in left.items():
+        out = out.unionByName(rows.groupBy().agg(F.count(F.lit(1)).alias("remaining")).select(
+            F.lit(-1).cast("long").alias("user_id"), F.lit(name).alias("table_name"), F.lit(0).cast("long").alias("deleted"),
+            "remaining"))
+    return out
 
 
 @query("remove_users", """SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders

@@ -182,7 +182,33 @@ def induce_drift(spark, sf):
                       F.round("o_custkey", 4).alias("o_custkey"))
 
 
-@query("induce_drift_labels")
+UNIT_SQL = "((('0x' || substr(md5(concat({}, '|', row_index)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+def swap_sql(column, rows, within, shares, seed, pick_seed):
+    """Other values of the group for the rows of smallest hash in each segment."""
+    u, same = UNIT_SQL.format(f"'{pick_seed}'"), "v.segment = r.segment" if within else "true"
+    share = "CASE segment " + " ".join(f"WHEN {k} THEN floor(size * {share})" for k, share in shares.items()) + " ELSE 0 END"
+    part = "PARTITION BY segment" if within else ""
+    return f"""SELECT r.* EXCLUDE (h, size) REPLACE (CASE WHEN m > 1 AND r.h <= {share.replace("segment", "r.segment").replace("size", "r.size")}
+ THEN n.v ELSE r.{column} END AS {column}) FROM (SELECT *, row_number() OVER (PARTITION BY segment
+ ORDER BY md5(concat('{seed}|', row_index))) AS h, count(*) OVER (PARTITION BY segment) AS size FROM ({rows})) r
+ JOIN (SELECT *, row_number() OVER ({part} ORDER BY v) - 1 AS j, count(*) OVER ({part}) AS m FROM (SELECT DISTINCT
+ {"segment, " if within else ""}{column} AS v FROM ({rows}))) v ON v.v = r.{column} AND {same}
+ JOIN (SELECT *, row_number() OVER ({part} ORDER BY v) - 1 AS j FROM (SELECT DISTINCT
+ {"segment, " if within else ""}{column} AS v FROM ({rows}))) n ON {same.replace("v.", "n.")}
+ AND n.j = CASE WHEN m = 1 THEN v.j ELSE floor({u.replace("row_index", "r.row_index")} * (m - 1))
+  + CASE WHEN floor({u.replace("row_index", "r.row_index")} * (m - 1)) >= v.j THEN 1 ELSE 0 END END"""
+
+
+LABEL_ROWS = """SELECT o_orderkey, o_orderpriority, o_orderstatus, row_index, (SELECT count(*) FROM range(1, 5) e(k)
+ WHERE row_index >= k * n // 5)::INT AS segment FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1
+ AS row_index, count(*) OVER () AS n FROM orders)"""
+LABELS_SQL = swap_sql("o_orderstatus", swap_sql("o_orderpriority", LABEL_ROWS, True, {
+    k: min(0.6, 0.15 + 0.05 * k) for k in range(1, 5)}, 43, 143), False, {k: min(0.7, 0.20 + 0.05 * k) for k in range(1, 5)}, 44, 144)
+
+
+@query("induce_drift_labels", f"SELECT o_orderkey, segment, o_orderpriority, o_orderstatus FROM ({LABELS_SQL})")
 def induce_drift_labels(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     out = drift.induce_drift(orders, ["o_orderdate", "o_orderkey"], n_drifts=4, strength=0.3,
@@ -190,10 +216,16 @@ def induce_drift_labels(spark, sf):
     return out.select("o_orderkey", "segment", "o_orderpriority", "o_orderstatus")
 
 
-@query("induce_noise_ramp")
+NORMAL_SQL = f"""(sqrt(-2.0 * ln({UNIT_SQL.format("'42|r|0'")})) * cos(2.0 * pi() * {UNIT_SQL.format("'42|a|0'")}))"""
+
+
+@query("induce_noise_ramp", f"""SELECT o_orderkey, row_index, round(o_totalprice + (least(row_index // (n // 10), 9) + 1) * 0.1
+ * {NORMAL_SQL}, 5) AS o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_index,
+ count(*) OVER () AS n FROM orders)""")
 def induce_noise_ramp(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
-    return drift.induce_noise_ramp(orders, ["o_orderdate", "o_orderkey"], ignore=["o_orderkey"])
+    out = drift.induce_noise_ramp(orders, ["o_orderdate", "o_orderkey"], ignore=["o_orderkey"])
+    return out.select("o_orderkey", "row_index", F.round("o_totalprice", 5).alias("o_totalprice"))
 
 
 @query("training_windows", """WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type
@@ -232,3 +264,25 @@ def drift_report(spark, sf):
     log = drift.monitor_drift(rows, "error", ["ts", "event_id"], ["event_type"], delta=0.2, min_samples=30)
     scores = metrics.classification_metrics(rows, "y_true", "y_pred", ["event_type"])
     return drift.drift_report(log, scores, ["event_type"])
+
+
+@query("publish_drift_report", """WITH f AS (SELECT user_id, max(event_type) AS model_id, max(value) > 250 AS hit, count(*) AS n
+ FROM events GROUP BY user_id), m AS (SELECT user_id, 2 AS last FROM f WHERE user_id % 2 = 0),
+r AS (SELECT f.user_id, f.model_id, concat('v', greatest(coalesce(last, 0) + hit::INT, 1)) AS model_version, n::VARCHAR AS report,
+ TIMESTAMP '2024-02-01' AS updated_at FROM f LEFT JOIN m USING (user_id)),
+o AS (SELECT user_id, model_id, 'v1' AS model_version, 'old' AS report, TIMESTAMP '2024-01-01' AS at FROM f WHERE user_id % 3 = 0)
+SELECT user_id, model_id, model_version, coalesce(r.report, o.report) AS report, coalesce(o.at, r.updated_at) AS created_at,
+ coalesce(r.updated_at, o.at) AS updated_at FROM r FULL JOIN o USING (user_id, model_id, model_version)""")
+def publish_drift_report(spark, sf):
+    def at(day):
+        return F.lit(f"2024-{day} 00:00:00").cast("timestamp_ntz")
+
+    found = table(spark, sf, "events").groupBy("user_id").agg(
+        F.max("event_type").alias("model_id"), (F.max("value") > 250).alias("drift_detected"),
+        F.count(F.lit(1)).cast("string").alias("report")).withColumns({"dataset_id": F.lit("d"), "dataset_version": F.lit("v1")})
+    models = found.where("user_id % 2 = 0").select("user_id", "model_id", F.explode(F.array(F.lit("v1"), F.lit("v2"))).alias("version"))
+    old = found.where("user_id % 3 = 0").select(
+        "user_id", "dataset_id", "dataset_version", "model_id", F.lit("v1").alias("model_version"), F.lit("old").alias("report"),
+        at("01-01").alias("created_at"), at("01-01").alias("updated_at"))
+    reports, _ = drift.publish_drift_report(old, found, models, at("02-01"))
+    return reports.select("user_id", "model_id", "model_version", "report", "created_at", "updated_at")

@@ -203,3 +203,25 @@ def mitigate_query(spark, sf):
 @query("mitigation_log")
 def mitigation_log(spark, sf):
     return mitigated(spark, sf)[1]
+
+
+@query("publish_mitigated", """SELECT 'u1' AS user_id, 'lines' AS dataset_id, 'v3' AS version, 'Lines (Mitigated)' AS name,
+ 'raw,mitigated,bias-corrected' AS tags, true AS has_changes, true AS has_report, true AS repeated_is_skipped,
+ count(*) - floor(count(*) * 0.7)::BIGINT AS other_rows FROM lineitem""")
+def publish_mitigated(spark, sf):
+    lines = table(spark, sf, "lineitem").select(*KEY, F.expr("nullif(l_quantity, 7.0)").alias("qty"), "l_returnflag")
+    root = fresh_path(spark, "versions")
+    placed = random_split_exact(lines.withColumn("copy", F.hash(*lines.columns)), [*KEY, "copy"]).drop("copy")
+    versions.write_version(placed, root, "u1", "lines", "v2")
+    when = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    catalog = spark.range(1).select(
+        F.lit("u1").alias("user_id"), F.lit("lines").alias("dataset_id"), F.lit("v2").alias("version"), F.lit("Lines").alias("name"),
+        F.array(F.lit("raw")).alias("tags"), when.alias("created_at"))
+    later = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    record, changes, report = mitigate.publish_mitigated(catalog, root, "u1", "lines", target="l_returnflag", now=later)
+    again = mitigate.publish_mitigated(catalog.unionByName(record.drop("row_count")), root, "u1", "lines", target="l_returnflag")
+    other = versions.read_split(spark, root, "u1", "lines", "v3").where("split <> 'train'").groupBy().agg(F.count(F.lit(1)).alias("other_rows"))
+    return (record.select("user_id", "dataset_id", "version", "name", F.array_join("tags", ",").alias("tags"))
+            .join(changes.select("version", (F.length("report") > 2).alias("has_changes")), "version")
+            .join(report.select("version", (F.length("report") > 2).alias("has_report")), "version")
+            .withColumn("repeated_is_skipped", F.lit(again is None)).join(F.broadcast(other)))

@@ -40,7 +40,7 @@ def test_exact_quantiles_by_sketch(frame):
     pdf, df = frame
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     direct = exact_quantiles(df, ["v", "hot"], probs)
-    narrowed = exact_quantiles(df, ["v", "hot"], probs, direct_rows=10, keep=20, accuracy=50)
+    narrowed = exact_quantiles(df, ["v", "hot"], probs, keep=20, accuracy=50)
     for c in ("v", "hot"):
         want = pdf[c].dropna().quantile(probs).to_numpy()
         np.testing.assert_allclose(narrowed[c], want, rtol=1e-12)
