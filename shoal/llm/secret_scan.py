@@ -184,7 +184,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
     The index is partitioned by document: each block of texts gets posting lists of the trigrams that the rules ask
     for, the rules' queries are answered on them, and only candidates meet the regex. No text is shuffled, nothing is
-    collected, and a block is about 2 MB of text or one longer row. Rules without a mandatory trigram scan all texts.
+    collected, and a block is about half a megabyte of text or one longer row. Rules without a mandatory trigram scan all texts.
 
     Null and empty texts have an empty list; ids may be null or repeated; other columns are not read.
     """
