@@ -112,26 +112,28 @@ class Scorer:
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of contexts per language, summed within the task while they are fewer than a million."""
     names: dict[str, int] = {}
-    keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def summed():
-        labels = pa.array(list(names))
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(where, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+    def shown(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [labels.take(pa.array((keys >> U64(32)).astype(np.int64))), pa.array((keys & U64(0xFFFFFFFF)).astype(np.int64)),
-             pa.array(counts)], ["lang", "code", "n"])
+            [pa.array(list(names), pa.string()).take(pa.array((keys >> U64(32)).astype(np.int64))),
+             pa.array((keys & U64(0xFFFFFFFF)).astype(np.int64)), pa.array(counts)], ["lang", "code", "n"])
 
     for batch in sliced(batches, "text"):
         data, offsets = flat(batch["text"])
         lang = np.array([names.setdefault(x, len(names)) for x in batch["lang"].to_pylist()], U64)
-        new = contexts(data, offsets).astype(U64) | np.repeat(lang, np.diff(offsets)) << U64(32)
-        new, n = np.unique(new, return_counts=True)
-        keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-        if len(keys) > 1_000_000:
-            yield summed()
-            keys, counts = keys[:0], counts[:0]
-    if len(keys):
-        yield summed()
+        parts.append(np.unique(contexts(data, offsets).astype(U64) | np.repeat(lang, np.diff(offsets)) << U64(32),
+                               return_counts=True))
+        if sum(len(k) for k, _ in parts) > 2_000_000:
+            parts = [merged()]
+            if len(parts[0][0]) > 1_000_000:
+                yield shown(*parts.pop())
+    if parts:
+        yield shown(*merged())
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
