@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shoal.llm.common import only, sliced
 
 #: Pieces whose ids a task remembers at once; it only saves work.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -24,13 +24,15 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
+def tokens_of(ranks: bytes) -> dict[int, bytes]:
+    return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, ranks.splitlines())}
+
+
 class Codec:
     """Cuts a text into pieces by the pattern and merges each piece by the ranks; remembers pieces it has seen."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        lines = map(bytes.split, ranks.splitlines())
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.ranks = {token: rank for rank, token in tokens_of(ranks).items()}
         self.find = regex.compile(pattern)
         # one piece at a time: the pattern takes whatever it is given whole
         self.merges = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
@@ -46,9 +48,6 @@ class Codec:
             ahead -= len(pieces.pop())
         return b"".join(map(self.packed.__getitem__, pieces))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 class _Packed(dict):
     def __init__(self, merge: Callable[[str], list[int]]):
@@ -192,9 +191,10 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
-        codec = Codec(ranks.value, ".")
-        for batch in sliced(batches, "ids", 1 << 20):
-            raw = [None if x is None else codec.decode(x) for x in batch["ids"].to_pylist()]
+        tokens = tokens_of(ranks.value)
+        for batch in sliced(batches, "ids"):
+            raw = [None if x is None else b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist()))
+                   for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

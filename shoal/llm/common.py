@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Members of a bucket that meet in one group; larger buckets are cut into blocks and every pair of blocks is a group.
 BLOCK = 1024
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
 _PRIME = U64(0x9E3779B97F4A7C15)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
 
@@ -24,9 +26,21 @@ def held_out(doc_id: Column) -> Column:
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed names; every other column is pruned, so none can clash."""
+    small_batches(df.sparkSession)
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` between Spark and its Python workers, for this session.
+
+    Spark's own limit is 64 MB; with several workers and copies on both sides that adds up to most of a small executor.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(key).lower().rstrip("b")
+    if not given.isdigit() or int(given) > BATCH_BYTES:  # Spark's default has a unit
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Batches of about ``limit`` bytes of ``column``, at least one row each."""
     for batch in batches:

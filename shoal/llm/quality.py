@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import U64, byte_class, expand, flat, held_out, mix, only, prefix_sums, sliced, span_hash, words
+from shoal.llm.common import U64, byte_class, expand, flat, held_out, mix, only, prefix_sums, sliced, small_batches, span_hash, words
 
 _SPACE = byte_class(b" \t\n\x0b\x0c\r")
 #: Byte classes whose shares are statistics; every byte of a text is in one of them or is a lower-case letter.
@@ -179,4 +179,5 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str
         for batch in sliced(batches, text_col):
             yield batch.filter(pa.array(model.score(statistics(batch.column(text_col))) >= threshold))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shoal.llm.common import flat, lower, only, sliced
+from shoal.llm.common import flat, lower, only, sliced, small_batches
 
 try:
     from re import _constants as _codes, _parser
@@ -226,6 +226,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
                 out = out.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
             yield out
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
