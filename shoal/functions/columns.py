@@ -94,3 +94,10 @@ def normalize_relpath(path: Column) -> Column:
 def version_number(version: Column) -> Column:
     """The integer after ``v``; null for other spellings."""
     return F.when(version.startswith("v"), F.substring(version, 2, 2147483647).try_cast("int"))
+
+
+def column_for(columns: Sequence[str], *names: str) -> str | None:
+    """The column that plays a role: the one whose name, without case and outer blanks, stands earliest among ``names``."""
+    place = {name.strip().lower(): i for i, name in reversed(list(enumerate(names))) if name.strip()}
+    known = [(place[c.strip().lower()], c) for c in columns if c.strip().lower() in place]
+    return min(known, default=(0, None), key=lambda x: x[0])[1]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.functions.columns import base_name, extension, normalize_relpath
+from shoal.functions.columns import base_name, column_for, extension, normalize_relpath
 from shoal.operators.split import DRIFT, TEST, TRAIN, random_split_exact
 
 # What counts as an image or a label table, and accepted column names in order of preference.
@@ -25,19 +25,10 @@ def is_annotation(path: Column) -> Column:
     return extension(path).isin(*ANNOTATION_EXTENSIONS)
 
 
-def pick_column(columns: Sequence[str], accepted: Sequence[str], preferred: str = "") -> str | None:
-    """The table's column that plays a role, compared without case or outer blanks."""
-    by_name = {c.strip().lower(): c for c in columns}
-    for name in [preferred.strip().lower(), *accepted]:
-        if name and name in by_name:
-            return by_name[name]
-    return None
-
-
 def normalize_annotations(ann: DataFrame, filename: str = "filename", label: str = "label") -> DataFrame:
     """Adds or replaces ``filename`` and ``label`` from whichever accepted columns are present."""
-    name = pick_column(ann.columns, FILENAME_COLUMNS, filename)
-    kind = pick_column(ann.columns, LABEL_COLUMNS, label)
+    name = column_for(ann.columns, filename, *FILENAME_COLUMNS)
+    kind = column_for(ann.columns, label, *LABEL_COLUMNS)
     if name is None or kind is None:
         raise ValueError("annotations need a file name column and a label column")
     return ann.withColumns({"filename": F.col(name).cast("string"), "label": F.col(kind).cast("string")})
@@ -84,7 +75,7 @@ def validate_annotations(files: DataFrame, ann: DataFrame | None) -> DataFrame:
         F.count_if(is_image(F.col("relative_path"))).alias("images"),
         F.count_if(is_annotation(F.col("relative_path"))).alias("annotation_files"),
     )
-    named = ann is not None and pick_column(ann.columns, FILENAME_COLUMNS) and pick_column(ann.columns, LABEL_COLUMNS)
+    named = ann is not None and column_for(ann.columns, FILENAME_COLUMNS) and column_for(ann.columns, LABEL_COLUMNS)
     if named:
         rows = normalize_annotations(ann)
         matched = match_annotations(files, rows.select("filename", "label"))

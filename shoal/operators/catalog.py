@@ -326,25 +326,27 @@ def normalize_task_type(df: DataFrame, kind: str, column: str = "task_type", int
 
 
 def models_for_dataset(models: DataFrame, datasets: DataFrame, exact: bool = False) -> DataFrame:
-    """Models whose training_dataset equals or contains a dataset id, newest first.
+    """Models whose training_dataset equals or contains a dataset id; order a page of them with ``newest_first``.
 
-    Containment is an equi-join: each training_dataset is cut into its substrings of the lengths that
-    occur among the ids (a handful), so no row is compared with every id.
+    Containment is an equi-join on one n-gram of each id, the one that the fewest ids have, followed by the test
+    itself. The length of the n-gram is that of the shortest id, eight at most.
     """
-    ids = datasets.select("dataset_id").distinct()
+    ids = datasets.where("length(dataset_id) > 0").select("dataset_id").distinct()
     if exact:
-        hits = models.join(ids, models["training_dataset"] == ids["dataset_id"])
-    else:
-        lengths = ids.groupBy(F.length("dataset_id").alias("l")).count()
-        lengths = lengths.where("l > 0").agg(F.collect_set("l").alias("lengths"))
-        t = F.col("training_dataset")
-        windows = F.flatten(F.transform(
-            F.filter("lengths", lambda n: n <= F.length(t)),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, n)),
-        ))
-        pieces = models.join(F.broadcast(lengths)).withColumn("dataset_id", F.explode(F.array_distinct(windows)))
-        hits = pieces.drop("lengths").join(ids, "dataset_id")
-    return hits.orderBy(*newest_first("dataset_id", "model_id", "version"))
+        return models.join(ids, models["training_dataset"] == ids["dataset_id"])
+    size = ids.agg(F.least(F.min(F.length("dataset_id")), F.lit(8)).alias("n")).first()["n"] or 1
+
+    def grams(column: str) -> Column:
+        places = F.sequence(F.lit(1), F.length(column) - size + 1)
+        return F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(F.col(column), i, F.lit(size))))).alias("gram")
+
+    of_ids = ids.select("dataset_id", grams("dataset_id"))
+    common = of_ids.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = of_ids.join(common, "gram").groupBy("dataset_id").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    texts = models.select("training_dataset").where(F.length("training_dataset") >= size).distinct()
+    found = texts.select("training_dataset", grams("training_dataset")).join(rare, "gram")
+    pairs = found.where(F.contains("training_dataset", "dataset_id")).select("training_dataset", "dataset_id")
+    return models.join(pairs, "training_dataset")
 
 
 def leaderboard_scores(models: DataFrame, leaderboard: str = "leaderboard") -> DataFrame:

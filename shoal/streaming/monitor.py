@@ -20,7 +20,8 @@ def stream_drift_monitor(
     cooldown: int = 50,
 ) -> DataFrame:
     """Alarms of each key as its rows arrive. A row whose ``seq`` is not beyond the last one seen is late: it is
-    counted and left out. The state is the window's histogram and some counters."""
+    counted and left out; late rows that no alarm of their batch tells of are told by a row without alarm (null
+    ``row_index``). The state is the window's histogram and some counters."""
 
     def step(name: Sequence, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         monitor, last, late = DriftMonitor(window, delta, min_samples, cooldown), None, 0
@@ -28,7 +29,7 @@ def stream_drift_monitor(
             saved = json.loads(state.get[0])
             monitor.restore(saved["monitor"])
             last, late = saved["last"], saved["late"]
-        found = []
+        found, told = [], late
         rows = pd.concat(list(batches)).sort_values("seq")
         for number, value in zip(rows["seq"], rows["error"]):
             if last is not None and number <= last:
@@ -38,9 +39,13 @@ def stream_drift_monitor(
             hit = monitor.add(float(value))
             if hit is not None:
                 found.append((name[0], hit[0], last, hit[1], hit[2], late))
+                told = late
+        if late > told:
+            found.append((name[0], None, last, None, None, late))
         state.update((json.dumps({"monitor": monitor.dump(), "last": last, "late": late}),))
         if found:
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in OUT.split(", ")])
+            out = pd.DataFrame(found, columns=[c.split()[0] for c in OUT.split(", ")])
+            yield out.astype({"row_index": "Int64", "window_size": "Int64", "mean_error_so_far": "float64"})
 
     rows = errors.select(F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("seq"),
                          F.col(error).cast("double").alias("error"))
