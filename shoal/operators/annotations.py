@@ -75,7 +75,7 @@ def validate_annotations(files: DataFrame, ann: DataFrame | None) -> DataFrame:
         F.count_if(is_image(F.col("relative_path"))).alias("images"),
         F.count_if(is_annotation(F.col("relative_path"))).alias("annotation_files"),
     )
-    named = ann is not None and column_for(ann.columns, FILENAME_COLUMNS) and column_for(ann.columns, LABEL_COLUMNS)
+    named = ann is not None and column_for(ann.columns, *FILENAME_COLUMNS) and column_for(ann.columns, *LABEL_COLUMNS)
     if named:
         rows = normalize_annotations(ann)
         matched = match_annotations(files, rows.select("filename", "label"))
