@@ -202,13 +202,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that repeat a non-null id count as copies: one of them stays. Rows with a null id all stay.
     """
     judged = near_duplicates(docs, id_col, text_col, shingle_words, percent)
-    kept = materialize(judged.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
-    rows = docs.join(kept, docs[id_col].cast("long") == kept["__kept_id"], "left_semi")
-    repeated = judged.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    repeated = materialize(repeated, "repeated")
+    of_id = F.expr("bool_or(kept)").alias("kept")
+    ids = materialize(judged.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(
+        of_id, F.count("*").alias("n")).where("NOT kept OR n > 1"), "decisions")
+    # fewer ids go than stay: the smaller side decides whether the texts have to move at all
+    same = docs[id_col].cast("long") == ids["__id"]
+    rows = docs.join(ids.where("NOT kept"), same, "left_anti")
+    repeated = ids.where("kept")
     if repeated.isEmpty():
-        once = rows
-    else:
-        once = rows.join(repeated, rows[id_col].cast("long") == repeated["__id"], "left_anti").unionByName(
-            rows.join(repeated, rows[id_col].cast("long") == repeated["__id"], "left_semi").dropDuplicates([id_col]))
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+        return rows
+    same = rows[id_col].cast("long") == repeated["__id"]
+    return rows.join(repeated, same, "left_anti").unionByName(
+        rows.join(repeated, same, "left_semi").dropDuplicates([id_col]))
