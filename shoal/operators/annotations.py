@@ -35,7 +35,10 @@ def normalize_annotations(ann: DataFrame, filename: str = "filename", label: str
 
 
 def annotations_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Annotation rows from JSON documents: a list, or an object with the list under ``annotations``."""
+    """Annotation rows from JSON documents: a list, or an object with the list under ``annotations``.
+
+    ``fields`` keeps every key of a row as it is written.
+    """
     row = "array<map<string,string>>"
     entries = F.coalesce(
         F.from_json(column, row), F.from_json(column, f"struct<annotations:{row}>")["annotations"]
@@ -46,7 +49,14 @@ def annotations_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
         lowered = F.transform_keys("m", lambda k, _: F.lower(F.trim(k)))
         return F.coalesce(*[F.element_at(lowered, n) for n in accepted])
 
-    return cells.select(first_of(FILENAME_COLUMNS).alias("filename"), first_of(LABEL_COLUMNS).alias("label"))
+    return cells.select(first_of(FILENAME_COLUMNS).alias("filename"), first_of(LABEL_COLUMNS).alias("label"),
+                        F.col("m").alias("fields"))
+
+
+def pick_annotation_file(files: DataFrame) -> DataFrame:
+    """The label table among a folder's files: one named ``annotations``, else the first by path."""
+    named = F.lower(F.regexp_replace(base_name(F.col("relative_path")), r"\.[^.]*$", "")) == "annotations"
+    return files.where(is_annotation(F.col("relative_path"))).orderBy(F.desc(named), "relative_path").limit(1)
 
 
 def match_annotations(files: DataFrame, ann: DataFrame) -> DataFrame:

@@ -116,6 +116,28 @@ def match_annotations(spark, sf):
     return out.select("page_id", F.coalesce("matched_path", F.lit("none")).alias("matched_path"))
 
 
+@query("annotations_from_json", """SELECT concat('a/', doc_id, '.png') AS filename, CASE WHEN doc_id % 3 > 0 THEN lang END AS label,
+ CASE WHEN doc_id % 3 > 0 THEN 3 ELSE 2 END AS n_fields, source FROM documents""")
+def annotations_from_json(spark, sf):
+    """Lists, and objects with a list; other keys stay."""
+    docs = table(spark, sf, "documents")
+    path = F.concat(F.lit("a/"), "doc_id", F.lit(".png"))
+    full = F.struct(path.alias(" Image_Path"), F.col("lang").alias("CLASS"), "source")
+    listed = F.to_json(F.struct(F.array(full).alias("annotations")))
+    bare = F.to_json(F.array(F.struct(path.alias("filename"), F.col("source").alias("source"))))
+    texts = docs.select(F.when(F.col("doc_id") % 3 > 0, listed).otherwise(bare).alias("value"))
+    return annotations.annotations_from_json(texts).select(
+        "filename", "label", F.size("fields").alias("n_fields"), F.col("fields")["source"].alias("source"))
+
+
+@query("pick_annotation_file", """SELECT concat('x', page_id, '/annotations.json') AS relative_path FROM pages
+ WHERE page_id % 5 = 3 ORDER BY 1 LIMIT 1""")
+def pick_annotation_file(spark, sf):
+    name = F.when(F.col("page_id") % 5 == 3, "/annotations.json").when(F.col("page_id") % 5 == 2, "/labels.csv").otherwise("/a.png")
+    files = table(spark, sf, "pages").select(F.concat(F.lit("x"), "page_id", name).alias("relative_path"))
+    return annotations.pick_annotation_file(files)
+
+
 @query("validate_annotations", f"""WITH {MATCH_SQL} SELECT (SELECT count(*) FROM {PATHS_SQL}
  WHERE regexp_matches(lower(relative_path), '\\.(jpg|png|tif)$')) AS images, (SELECT count(*) FROM {PATHS_SQL}
  WHERE relative_path LIKE '%.csv') AS annotation_files, count(*) AS rows, count(image) AS named_rows,
