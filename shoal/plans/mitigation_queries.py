@@ -159,6 +159,19 @@ def smote(spark, sf):
     return mitigate.smote(rows, "toxic")
 
 
+@query("smote_counts", """WITH c AS (SELECT toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY toxic)
+SELECT toxic, max(n) OVER () AS rows, 0::BIGINT AS outside FROM c""")
+def smote_counts(spark, sf):
+    """All classes as large as the largest; no made row outside the range of its class."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
+    rows = docs.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").drop("doc_id")
+    bounds = rows.groupBy("toxic").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    made = mitigate.smote(rows, "toxic").join(F.broadcast(bounds), "toxic")
+    return made.groupBy("toxic").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if((F.col("n_chars") < F.col("least") - 1e-9) | (F.col("n_chars") > F.col("most") + 1e-9)).alias("outside"))
+
+
 @query("ks_normality")
 def ks_normality(spark, sf):
     return mitigate.ks_normality(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"])
