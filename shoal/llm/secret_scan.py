@@ -26,6 +26,7 @@ class Rule(NamedTuple):
     min_chars: int
     group: int = 0  # the group that must have min_chars; the span is always the whole match
     ignore_case: bool = False
+    until: str = ""  # the span runs on to the end of this pattern, if that comes before the rule's next match
 
     def compile(self) -> re.Pattern:
         return re.compile(self.pattern, re.A | (re.I if self.ignore_case else 0))
@@ -38,7 +39,9 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", 24),
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 27),
+    # to the END line; of a key cut short, the lines of base64
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2})*", 27,
+         until=r"-----END [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 36),
@@ -150,6 +153,17 @@ class Postings:
         return np.flatnonzero(found)
 
 
+def _bordered(matches: Iterator[re.Match], size: int) -> Iterator[tuple[re.Match, int]]:
+    """Each match and where the next one starts; ``size`` for the last one."""
+    held = None
+    for match in matches:
+        if held is not None:
+            yield held, match.start()
+        held = match
+    if held is not None:
+        yield held, size
+
+
 class Scanner:
     """Rules with their trigram queries, for blocks of texts."""
 
@@ -159,18 +173,20 @@ class Scanner:
         self.slots = np.full(1 << 24, -1, np.int16)
         for gram, i in self.wanted.items():
             self.slots[int.from_bytes(gram)] = i
-        self.rules = [(n, rule, rule.compile(), [[self.wanted[g] for g in alt] for alt in query])
+        self.rules = [(n, rule, rule.compile(), re.compile(rule.until, re.A), [[self.wanted[g] for g in alt] for alt in query])
                       for n, (rule, query) in enumerate(zip(rules, queries))]
 
     def scan(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
         """For each text its (start, rule number, end), by start and then rule; code points, end exclusive."""
         index, strings = Postings(texts, self.wanted, self.slots), texts.to_pylist()
         spans: list[list[tuple[int, int, int]]] = [[] for _ in strings]
-        for n, rule, pattern, query in self.rules:
+        for n, rule, pattern, until, query in self.rules:
             for row in index.candidates(query).tolist():
-                for match in pattern.finditer(strings[row] or ""):
+                text = strings[row] or ""
+                for match, border in _bordered(pattern.finditer(text), len(text)):
                     if match.end(rule.group) - match.start(rule.group) >= rule.min_chars:
-                        spans[row].append((match.start(), n, match.end()))
+                        last = until.search(text, match.end(), border) if rule.until else None
+                        spans[row].append((match.start(), n, (last or match).end()))
         for found in spans:
             found.sort()
         return spans
