@@ -289,6 +289,25 @@ def test_language_edges(spark):
     assert all(len(codes) <= 3 for codes, _ in small.values())
 
 
+def test_language_passes_keep_every_node(spark):
+    rng = random.Random(5)
+    said = {"en": "the cat sat on the mat and then it went away", "fr": "le chat est sur la table et puis il est parti",
+            "xx": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300))}
+    rows = [(i, " ".join(rng.sample(said[x].split(), len(said[x].split()))), x) for i, x in enumerate(list(said) * 8)]
+    rows += [(100, None, "en"), (101, "", "fr"), (102, "123 456", "xx"), (103, "the zq~ chat", None), (103, "the zq~ chat", None)]
+    docs = documents(spark, rows, "doc_id long, text string, lang string")
+    whole, cut = language.fit(docs), language.fit(docs, max_nodes=60)
+    assert whole.borders == [0, language.PAIRS] and len(cut.borders) > 3
+    parts = [cut.part(a, b) for a, b in zip(cut.borders, cut.borders[1:])]
+    for name, (codes, counts) in whole.items():
+        assert all(len(part[name][0]) <= 60 for part in parts)
+        assert sorted(np.concatenate([part[name][0] for part in parts])) == codes.tolist()
+        assert sum(part[name][1].sum() for part in parts) == counts.sum()
+    one, many = (sorted(map(tuple, language.predict(docs, m).collect()), key=str) for m in (whole, cut))
+    assert [x[:2] for x in one] == [x[:2] for x in many] and len(many) == len(rows)
+    assert np.allclose([x[2:] for x in one], [x[2:] for x in many], rtol=1e-9)
+
+
 # ---- 7
 
 def test_passages(spark):
