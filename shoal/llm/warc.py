@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -83,8 +84,15 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         at = stop
 
 
+def _head_end(body: bytes) -> int:
+    """Where the payload of an HTTP response begins: after the first empty line, whether lines end with CRLF or a bare LF;
+    without one all of it is head."""
+    found = re.search(rb"\n\r?\n", body)
+    return found.end() if found else len(body)
+
+
 def _http_field(head: bytes, name: str) -> str | None:
-    for line in head.split(b"\r\n")[1:]:
+    for line in head.split(b"\n")[1:]:
         key, _, value = line.partition(b":")
         if key.strip().lower() == name.encode():
             return value.strip().decode()
@@ -96,8 +104,8 @@ def equivalent(record: ArcRecord) -> dict:
     head, payload = b"", record.body
     kind = "resource"
     if record.body.startswith(b"HTTP/"):
-        kind, cut = "response", record.body.find(b"\r\n\r\n")
-        head, payload = (record.body[:cut + 4], record.body[cut + 4:]) if cut >= 0 else (record.body, b"")
+        kind, cut = "response", _head_end(record.body)
+        head, payload = record.body[:cut], record.body[cut:]
     digest = hashlib.sha256(payload).hexdigest()
     d = record.date.ljust(14, "0")
     page = _http_field(head, "x-page-id")
@@ -218,7 +226,7 @@ def read_warc(archives: DataFrame, content_col: str = "content") -> DataFrame:
                 rows = []
                 for r in map(parse_warc, unzipped(data or b"")):
                     revisit, block = r["warc-type"] == "revisit", r["block"]
-                    cut = block.find(b"\r\n\r\n") + 4 if r["content-type"].startswith("application/http") else 0
+                    cut = _head_end(block) if r["content-type"].startswith("application/http") else 0
                     page, digest = _http_field(block[:cut], "x-page-id"), r["warc-payload-digest"].removeprefix("sha256:")
                     if not revisit and hashlib.sha256(block[cut:]).hexdigest() != digest:
                         raise ValueError("payload digest differs")

@@ -506,3 +506,21 @@ def test_warc_round_trip(spark):
     member = next(warc.unzipped(bytes(archives.first().content)))
     with pytest.raises(ValueError):
         warc.parse_warc(member.replace(b"HTTP/1.1", b"HTTP/1.0", 1))
+
+
+def test_heads_with_bare_line_feeds(spark):
+    page = b"<p>first</p>\r\n\r\n<p>second</p>\n\nend" * 5
+    bodies = {1: b"HTTP/1.0 200 OK\nX-Page-Id: 1\nContent-Length: %d\n\n" % len(page) + page,
+              2: b"HTTP/1.0 200 OK\r\nX-Page-Id: 2\r\nContent-Length: %d\r\n\r\n" % len(page) + page,
+              3: b"HTTP/1.0 200 OK\nX-Page-Id: 3\nContent-Length: %d\n\n" % len(page) + page,
+              4: b"HTTP/1.0 200 OK\nX-Page-Id: 4\n\n", 5: b"HTTP/1.0 204 No Content\nX-Page-Id: 5", 6: b"HTTP/1.0 200 OK\r\nX-Page-Id: 6\r\n"}
+    arc = warc.arc_version_block(1, "20010101000000") + b"".join(
+        warc.arc_record(1, warc.ArcRecord(f"http://a/{i}", "0.0.0.0", "20010203040506", "text/html", body), 0) for i, body in bodies.items())
+    archives = warc.to_warc(warc.arc_records(spark.createDataFrame([(bytearray(arc),)], "content binary")))
+    out = {r.page_id: r for r in warc.read_warc(archives).collect()}
+    assert sorted(out) == sorted(bodies)
+    for i, r in out.items():
+        payload = page if i < 4 else b""
+        assert (r.payload_bytes, r.payload_digest) == (len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.record_type, r.refers_to) == (("revisit", 1) if i in (2, 3) else ("response", None))
+        assert r.payload is None if i in (2, 3) else bytes(r.payload) == payload
