@@ -12,6 +12,10 @@ from shoal.streaming import leases, monitor
 from shoal.streaming.run import as_stream, run_available
 
 
+#: Begin of the task ids of closing rows; no task's id begins so.
+NO_TASK = "\0closing-"
+
+
 def messages(spark, sf):
     """Triggers: clicks in the present form, views in the flat old form, signups without target, purchases
     without user, errors as broken JSON."""
@@ -222,15 +226,23 @@ def pipeline_status(spark, sf):
 @query("pipeline_status_stream", STATUS_SQL.format(
     again="false", done="c", bound="AND completed_at <= triggered_at + INTERVAL 6 HOURS"))
 def pipeline_status_stream(spark, sf):
-    """A closing row on both sides, long after the last event, lets the watermark pass every open task."""
+    """A closing row on both sides, long after the last event, lets the watermark pass every open task.
+
+    Its key is no task's and never null: rows with a null join key are dropped before they can move the watermark.
+    """
     triggers, done = _both_ends(spark, sf)
-    end = table(spark, sf, "events").agg((F.max("ts").cast("timestamp") + F.expr("interval 90 days")).alias("timestamp"))
-    null = F.lit(None).cast("string")
-    streams = [as_stream(triggers, files_per_trigger=100,
-                         last=end.select(null.alias("task_id"), null.alias("dataset_id"), "timestamp")),
-               as_stream(done, files_per_trigger=100,
-                         last=end.select(null.alias("task_id"), F.lit(True).alias("success"), "timestamp"))]
-    return _status(run_available(flow.pipeline_status(*streams))).where("task_id is not null")
+    return _status(status_of_streams(triggers, done))
+
+
+def status_of_streams(triggers, done):
+    """Pipeline status of two finished tables read as streams, with every task that is still open."""
+    end = triggers.select("timestamp").union(done.select("timestamp")).agg(
+        (F.max("timestamp") + F.expr("interval 90 days")).alias("timestamp"))
+    streams = [as_stream(triggers, files_per_trigger=100, last=end.select(
+                   F.lit(NO_TASK + "triggered").alias("task_id"), F.lit(None).cast("string").alias("dataset_id"), "timestamp")),
+               as_stream(done, files_per_trigger=100, last=end.select(
+                   F.lit(NO_TASK + "completed").alias("task_id"), F.lit(True).alias("success"), "timestamp"))]
+    return run_available(flow.pipeline_status(*streams)).where(~F.col("task_id").startswith(NO_TASK))
 
 
 @query("stage_reached", f"""WITH s AS (SELECT user_id::VARCHAR AS user_id, concat('d', floor(value)::INT) AS dataset_id,

@@ -173,7 +173,8 @@ def test_annotations(spark):
     assert {r["label"] for r in placed} == {"x", "z"}
     texts = spark.createDataFrame([('{"annotations": [{"Image": "a.png", "y": "1"}]}',), ('[{"path": "b.png", "label": "2"}]',)],
                                   "value string")
-    assert sorted(map(tuple, annotations.annotations_from_json(texts).collect())) == [("a.png", "1"), ("b.png", "2")]
+    assert sorted((r["filename"], r["label"], r["fields"]) for r in annotations.annotations_from_json(texts).collect()) == [
+        ("a.png", "1", {"Image": "a.png", "y": "1"}), ("b.png", "2", {"path": "b.png", "label": "2"})]
 
 
 def test_threads_and_references(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions.adwin import Adwin, DriftMonitor
 from shoal.operators import drift, metrics
+from shoal.plans.stream_queries import status_of_streams
 from shoal.streaming import events as flow
 from shoal.streaming import leases, monitor
 from shoal.streaming.run import as_stream, run_available
@@ -205,3 +206,14 @@ def test_events(spark):
     checked = flow.validate_triggers(flow.parse_events(rows).where("quarantine is null"), "drift")
     assert checked.where("failure_reason is null").count() == 0
     assert flow.accepted(flow.validate_triggers(flow.parse_events(rows).where("quarantine is null"), "bias")).count() == 2
+
+
+def test_open_tasks_of_the_last_hours(spark):
+    """A task that was triggered just before the last event is open, not lost."""
+    start = datetime(2024, 1, 1)
+    hours = [(f"t{i}", "d", start + timedelta(hours=i)) for i in range(30)]
+    triggers = spark.createDataFrame(hours, "task_id string, dataset_id string, timestamp timestamp")
+    done = spark.createDataFrame([(t, True, at + timedelta(minutes=5)) for t, _, at in hours[:-4:2]],
+                                 "task_id string, success boolean, timestamp timestamp")
+    got = {r["task_id"]: r["status"] for r in status_of_streams(triggers, done).collect()}
+    assert got == {t: "success" if t in {x for x, _, _ in hours[:-4:2]} else "open" for t, _, _ in hours}
