@@ -6,10 +6,16 @@ and brings to the driver only counts per partition, per hash prefix or per brack
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoal.session import materialize
 
@@ -30,13 +36,21 @@ def row_index(
     """Global 0-based position under ``order_by``; with ``keys`` the position inside each key.
 
     One range shuffle, written once. Rows are numbered inside their range partition and shifted by the
-    number of rows in earlier partitions (one collected row per partition).
+    number of rows in earlier partitions (one collected row per partition). With ``keys`` the rows of each run of
+    equal keys are numbered where they were sorted, and only the first run of a partition is shifted, by the rows that
+    earlier partitions hold of its key (two collected rows per partition): no key is shuffled or joined again.
     """
     spark = df.sparkSession
     order = [*_as_columns(keys), *_as_columns(order_by)]
-    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order)
-    placed = ranged.sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id())
-    placed = placed.select(
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    if keys:
+        schema = T.StructType([*df.schema.fields, *_PLACE])
+        placed = materialize(ranged.select(*df.columns).mapInArrow(_number_runs(list(keys)), schema), "index")
+        ends = placed.where("(__run = 0 AND __loc = 0) OR __last").select(*_PLACE.names, *keys).collect()
+        shift = spark.createDataFrame(_carried(ends, list(keys)), "__part int, __shift long")
+        number = F.col("__loc") + F.when(F.col("__run") == 0, F.col("__shift")).otherwise(0)
+        return placed.join(F.broadcast(shift), "__part").select(*df.columns, number.alias(index))
+    placed = ranged.withColumn("__mid", F.monotonically_increasing_id()).select(
         *df.columns,
         F.shiftright("__mid", 33).cast("int").alias("__part"),
         F.col("__mid").bitwiseAND(F.lit(_LOCAL_MASK)).alias("__loc"),
@@ -49,15 +63,64 @@ def row_index(
         total += size
     shift = spark.createDataFrame(offsets, "__part int, __shift long")
     out = placed.join(F.broadcast(shift), "__part").withColumn(index, F.col("__loc") + F.col("__shift"))
-    if keys:
-        first = out.groupBy(*keys).agg(F.min(index).alias("__first"))
-        on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-        out = out.alias("l").join(first.alias("r"), on).select(
-            *[F.col(f"l.{c}") for c in df.columns], (F.col(f"l.{index}") - F.col("r.__first")).alias(index)
-        )
     return out.select(*df.columns, index)
 
 
+_PLACE = T.StructType().add("__part", T.IntegerType()).add("__run", T.LongType()).add("__loc", T.LongType()).add("__last", T.BooleanType())
+
+
+def _number_runs(keys: list[str]):
+    """Adds to sorted rows: partition, number of the run of equal keys, place in the run, whether it is the last row."""
+    def differs(one: pa.Array, two: pa.Array) -> np.ndarray:
+        unlike = pc.not_equal(one, two)
+        if pa.types.is_floating(one.type):
+            unlike = pc.and_not(unlike, pc.and_(pc.is_nan(one), pc.is_nan(two)))
+        return pc.if_else(pc.is_null(unlike), pc.xor(pc.is_null(one), pc.is_null(two)), unlike).to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, place, before, held = TaskContext.get().partitionId(), 0, 0, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for key in keys:
+                column = batch[key]
+                new[1:] |= differs(column[1:], column[:-1])
+                new[0] |= before is not None and bool(differs(column[:1], before[key])[0])
+            runs = np.cumsum(new) + number
+            at = np.arange(batch.num_rows)
+            loc = at - np.maximum.accumulate(np.where(new, at, -place))  # a run that goes on began ``place`` rows before
+            number, place = int(runs[-1]), int(loc[-1]) + 1
+            before = {key: batch[key][-1:] for key in keys}
+            if held is not None:
+                yield held
+            last = np.zeros(batch.num_rows, bool)
+            held = pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(runs.astype(np.int64)),
+                 pa.array(loc.astype(np.int64)), pa.array(last)], [*batch.schema.names, *_PLACE.names])
+        if held is not None:
+            ends = np.zeros(held.num_rows, bool)
+            ends[-1] = True
+            yield held.set_column(held.num_columns - 1, "__last", pa.array(ends))
+    return run
+
+
+def _carried(ends: list, keys: list[str]) -> list[tuple[int, int]]:
+    """Rows that earlier partitions hold of the first key of each partition."""
+    def same(a: tuple, b: tuple | None) -> bool:
+        return b is not None and all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+    shifts, before, rows = [], None, 0
+    for _, both in itertools.groupby(sorted(ends, key=lambda r: (r["__part"], r["__run"], r["__loc"])), lambda r: r["__part"]):
+        first, *rest = both
+        last = rest[-1] if rest else first
+        shift = rows if same(tuple(first[k] for k in keys), before) else 0
+        shifts.append((first["__part"], shift))
+        before = tuple(last[k] for k in keys)
+        rows = last["__loc"] + 1 + (shift if last["__run"] == 0 else 0)
+    return shifts
+
+
 def hash_key(seed: int, *keys: str) -> Column:
     """``md5(seed|key...)`` as hex text: a reproducible random order, equal in any engine. A null part is a zero byte."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys]))

@@ -36,6 +36,20 @@ def test_row_index_per_key(frame):
     assert (got.sort_index().to_numpy() == want.sort_index().to_numpy()).all()
 
 
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_row_index_of_runs_over_partitions(spark, parts):
+    rng = np.random.default_rng(parts)
+    keys = [None, 0.5, float("nan"), 7.0]
+    rows = [(keys[k], None if k == 2 else str(k % 2), int(i)) for i, k in enumerate(rng.choice(4, 400, p=[0.1, 0.7, 0.15, 0.05]))]
+    df = spark.createDataFrame(rows, "a double, b string, id long")
+    got = {r["id"]: r["i"] for r in row_index(df, ["id"], "i", keys=["a", "b"], partitions=parts).collect()}
+    seen = {}
+    for a, b, i in rows:
+        assert got[i] == seen.setdefault((str(a), b), 0)
+        seen[str(a), b] += 1
+    assert row_index(df.limit(0), ["id"], "i", keys=["a"]).count() == 0
+
+
 def test_exact_quantiles_by_sketch(frame):
     pdf, df = frame
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
