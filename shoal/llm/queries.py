@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm import bpe, decontaminate, embeddings, language, minhash, quality, secret_scan, suffixes, urls, warc
+from shoal.llm import bpe, decontaminate, embeddings, language, merkle, minhash, quality, secret_scan, sharding, suffixes, trie, urls, warc
 from shoal.llm.common import held_out
 from shoal.plans.registry import table
 from shoal.session import fresh_path, materialize
@@ -76,14 +76,39 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark.read.parquet(path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.write_shards(table(spark, sf_dir, "documents"), fresh_path(spark, "shards"), shards=8)
+    return placed.selectExpr(
+        "doc_id", "cast(coalesce(octet_length(text), 0) AS long) + 1 AS size", "crc32(coalesce(text, '')) AS text_crc32",
+        "'rows' AS law", "shard", "slot", "cast(NULL AS int) AS grown_shard")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_common_heads(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_embedding_dedup, op4_quality, op5_url_filter, op6_language,
-                            op7_decontamination, op8_minhash_dedup, op9_suffix_dedup, op10_warc)}
+                            op7_decontamination, op8_minhash_dedup, op9_suffix_dedup, op10_warc, op11_merkle_manifest,
+                            op12_sharding, op13_prefix_trie)}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 _COMPONENTS = """
 reached(v, c) AS (SELECT DISTINCT a, a FROM links UNION SELECT l.b, r.c FROM reached r JOIN links l ON l.a = r.v),
 smallest AS (SELECT v, min(c) AS c FROM reached GROUP BY v)"""
+#: CRC-32 of a short text of ASCII: every byte, then eight shifts.
+_CRC = """xor(list_reduce(flatten(list_transform(range(1, length({0}) + 1), lambda i: [ascii({0}[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+ lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, 4294967295), 4294967295)"""
+_FIELD = "coalesce(strlen(({0})::VARCHAR)::VARCHAR || ':' || ({0})::VARCHAR, '-')"
+
+
+def _leaf(length: str) -> str:
+    return f"sha256(concat({', '.join(_FIELD.format(c) for c in ('doc_id', 'source', 'lang', length, 'text'))}))"
+
 
 ORACLES: dict[str, str] = {
     "op3_embedding_dedup": f"""
@@ -138,4 +163,51 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to FROM f""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS tree, {_leaf("n_chars")} AS leaf,
+         CASE WHEN {_CRC.format("(doc_id::VARCHAR)")} % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf("n_chars + 1")} END AS found FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+nodes AS (
+  SELECT tree, n, 0 AS level, i, leaf AS h FROM l
+  UNION ALL SELECT tree, (n + 1) // 2, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, n, level, i // 2),
+subs AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+  SELECT n, 0 AS level, i, h FROM subs
+  UNION ALL SELECT (n + 1) // 2, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY n, level, i // 2),
+steps AS (
+  SELECT tree, l.i, level, CASE WHEN x.h IS NULL THEN '-' WHEN x.i < l.i >> level THEN 'L' || x.h ELSE 'R' || x.h END AS step
+  FROM l JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) USING (tree)
+  LEFT JOIN nodes x USING (tree, level) WHERE x.i IS NULL OR x.i = xor(l.i >> level, 1)
+  UNION ALL
+  SELECT tree, l.i, level, '-' FROM l JOIN (SELECT tree, level, max(i) AS most FROM nodes WHERE n > 1 GROUP BY ALL) USING (tree)
+  WHERE xor(l.i >> level, 1) > most
+  UNION ALL
+  SELECT l.tree, l.i, 1000 + level, CASE WHEN xor(s.i >> level, 1) > most THEN '-' ELSE
+    (SELECT CASE WHEN x.i < s.i >> level THEN 'L' ELSE 'R' END || x.h FROM upper x WHERE x.level = u.level AND x.i = xor(s.i >> u.level, 1)) END
+  FROM l JOIN subs s ON s.tree = l.tree, (SELECT level, max(i) AS most FROM upper WHERE n > 1 GROUP BY ALL) u),
+paths AS (SELECT tree, i, list(step ORDER BY level) AS path FROM steps GROUP BY ALL),
+folded AS (
+  SELECT doc_id, leaf, s.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root,
+    sha256(array_to_string(list_transform(list_filter(coalesce(path, []), lambda s: s <> '-'), lambda s: s[2:]), '')) AS proof_sha256,
+    list_reduce(coalesce(path, []), lambda a, s: CASE s[1] WHEN '-' THEN sha256(a) WHEN 'L' THEN sha256(s[2:] || a) ELSE sha256(a || s[2:]) END,
+                coalesce(found, leaf)) AS folded_root
+  FROM l JOIN subs s ON s.tree = l.tree LEFT JOIN paths p ON p.tree = l.tree AND p.i = l.i)
+SELECT *, folded_root = root AS verified FROM folded""",
+    "op13_prefix_trie": f"""
+WITH u AS (
+  SELECT conv_id, turn, concat(left(sha256(concat(strlen(coalesce(role, '')), ':', role, text)), 32), ':', strlen(coalesce(text, ''))) AS unit
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(unit ORDER BY turn NULLS FIRST, unit) AS own, {_CRC.format("(conv_id::VARCHAR)")} % 9 AS h FROM u GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS s FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5),
+nodes AS (SELECT d, s[1:d] AS k, min(conv_id) AS conv_id, count(*) AS n FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r) GROUP BY d, k),
+ends AS (SELECT s AS k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS e FROM r GROUP BY s),
+below AS (SELECT k[1:d - 1] AS k, count(*) AS children FROM nodes WHERE d > 0 GROUP BY 1),
+worth AS (SELECT d, k, CASE WHEN d > 0 THEN (n - 1) * substr(k[d], 34)::BIGINT ELSE 0 END AS saved, (children IS NULL)::INT AS leaf
+          FROM nodes LEFT JOIN below USING (k)),
+sums AS (SELECT k[1:a] AS k, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves
+         FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM worth) GROUP BY 1)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(children, 0) AS n_children, n_leaves, saved_tokens,
+       coalesce(e, sha256('')) AS ends_sha256
+FROM nodes x JOIN sums USING (k) LEFT JOIN below USING (k) LEFT JOIN ends USING (k) LEFT JOIN nodes p ON x.d > 0 AND p.k = x.k[1:x.d - 1]""",
 }
