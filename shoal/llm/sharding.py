@@ -125,8 +125,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 0) ->
     are counted first (only counts per block of 65 536 rows reach the driver and the tasks: 16 bytes a block). Each
     block draws how many of its rows go to each shard (``Matrix``) and deals these numbers out by a random permutation of
     its own rows. The rows are exchanged by shard and page, a page being an equal stretch of the random 64-bit ranks
-    that the rows bring along; a page is permuted locally, by rank, and its slots begin after those of earlier
-    pages. Which page does what does not change a row's slot. All draws follow from ``seed`` and places in partitions, so that
+    that the rows bring along; one task permutes a page locally, by rank, and its slots begin after those of earlier
+    pages. How many pages there are does not change a row's slot. All draws follow from ``seed`` and places in partitions, so that
     a lost task gives the same rows again; a table that is dealt to partitions anew when it is read again is refused.
 
     Nulls, empty and repeated rows, equal or null ids are rows like any other; equal texts are not kept together (with
@@ -139,7 +139,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 0) ->
     labels = Labels(counted["block"].to_numpy(np.int64), counted["count"].to_numpy(np.int64), shards, seed)
     largest = max(labels.matrix.shards)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pages = max(-(-largest // PAGE), -(-4 * tasks // shards))
+    pages = max(-(-largest // PAGE), -(-tasks // shards))
     shared = spark.sparkContext.broadcast(labels)
 
     def dealer(begins: Broadcast | None):
@@ -158,9 +158,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 0) ->
     if offsets[:, -1].tolist() != labels.matrix.shards:
         raise ValueError("the table gave other rows when it was read again: write it first")
     rows = docs.select(*kept, place).select("*", dealer(spark.sparkContext.broadcast(offsets)))
-    rows = rows.select(*kept, "__place", F.col("__to.shard").alias("shard"), F.col("__to.page").alias("__page"),
-                       F.col("__to.rank").alias("__rank"), F.col("__to.begin").alias("__begin")).repartition(tasks, "shard", "__page")
-    number = F.expr("row_number() OVER (PARTITION BY shard, __page ORDER BY __rank, __place)")
-    rows.select(*kept, "shard", (F.col("__begin") + number - 1).alias("slot")).write.partitionBy("shard").parquet(path)
-    schema = rows.select(*kept, F.col("__begin").alias("slot"), "shard").schema
-    return spark.read.schema(schema).parquet(path)
+    shard, page, begin = (F.col(f"__to.{c}") for c in ("shard", "page", "begin"))
+    rows = rows.repartitionById(shards * pages, shard * pages + page).sortWithinPartitions("__to.rank", "__place")
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _LOCAL) - 1))
+    rows = rows.select(*kept, shard.alias("shard"), (begin + number).alias("slot"))
+    rows.write.partitionBy("shard").parquet(path)
+    return spark.read.schema(rows.select(*kept, "slot", "shard").schema).parquet(path)
