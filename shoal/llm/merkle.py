@@ -179,8 +179,9 @@ def proofs(made: Manifest) -> DataFrame:
     for tier in reversed(made.tiers[1:]):
         above = tier.join(above, ["tree", "block"]).drop("top").mapInArrow(_paths, schema)
     known = F.struct("number", "id", "digest", "found")
-    documents = made.leaves.groupBy("tree", F.shiftright("number", LEVELS).alias("block")).agg(
-        F.sort_array(F.collect_list(known)).alias("documents"))
+    tasks = int(made.leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is hashing: not to be dealt by bytes
+    documents = made.leaves.withColumn("block", F.shiftright("number", LEVELS)).repartition(tasks, "tree", "block").groupBy(
+        "tree", "block").agg(F.sort_array(F.collect_list(known)).alias("documents"))
     of_id = made.leaves.schema["id"].dataType.simpleString()
     return made.tiers[0].join(above, ["tree", "block"]).drop("top").join(documents, ["tree", "block"]).mapInArrow(
         _paths, f"{schema}, number long, id {of_id}, digest binary, found binary").drop("number")
