@@ -178,6 +178,71 @@ def lease_claims_stream(spark, sf):
     return run_available(leases.stream_lease_claims(as_stream(rows, files_per_trigger=100)))
 
 
+def lease_protocol(spark, sf):
+    """Claims, heartbeats, releases and completions, a hundred times as dense as the events. Every ninth event uses a task id
+    that four users share."""
+    rows = table(spark, sf, "events").select(
+        F.concat("user_id", F.lit("|d|v1|m|v1")).alias("job_key"), F.col("event_id").alias("seq"),
+        F.timestamp_seconds(F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 100_000)).alias("ts"),
+        F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("t"), F.col("user_id") - F.col("user_id") % 4)).otherwise(
+            F.concat(F.lit("t"), "user_id", F.lit("-"), F.floor(F.col("value") / 40))).alias("task_id"),
+        F.when(F.col("event_type") == "signup", "heartbeat").when(F.col("event_type") == "purchase", "release").when(
+            (F.col("event_type") == "error") & (F.col("value") > 100), "complete").otherwise("claim").alias("op"))
+    return rows
+
+
+LEASE_SQL = """WITH RECURSIVE e AS (SELECT concat(user_id, '|d|v1|m|v1') AS job_key, event_id AS seq, epoch_ms(ts) // 100000 * 1000 AS ms,
+ CASE WHEN event_id % 9 = 0 THEN concat('t', user_id - user_id % 4) ELSE concat('t', user_id, '-', floor(value / 40)::BIGINT) END AS task,
+ CASE WHEN event_type = 'signup' THEN 'heartbeat' WHEN event_type = 'purchase' THEN 'release'
+  WHEN event_type = 'error' AND value > 100 THEN 'complete' ELSE 'claim' END AS op FROM events),
+n AS (SELECT *, count(*) FILTER (op = 'release') OVER (PARTITION BY task ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+ AS life FROM e),
+x AS (SELECT job_key, seq, ms, task, op, op = 'claim' AND job_key <> first_job AS refused,
+ row_number() OVER (PARTITION BY job_key ORDER BY ms, seq) AS rn, lead(ms) OVER (PARTITION BY job_key ORDER BY ms, seq) AS next_ms
+ FROM n LEFT JOIN (SELECT task, life, arg_min(job_key, (ms, seq)) AS first_job FROM n WHERE op = 'claim' GROUP BY ALL) USING (task, life)),
+s AS (SELECT DISTINCT job_key, 0::BIGINT AS rn, NULL::VARCHAR AS holder, '' AS status, 0::BIGINT AS alive, '' AS outcome FROM x
+ UNION ALL SELECT job_key, rn, CASE WHEN o IN ('granted', 'reclaimed') THEN task WHEN o <> 'released' THEN holder END,
+  CASE WHEN o IN ('granted', 'reclaimed') THEN 'in_progress' WHEN o = 'released' THEN '' WHEN o = 'completed' THEN o ELSE status END,
+  CASE WHEN o IN ('granted', 'reclaimed', 'alive') THEN ms ELSE alive END, o
+ FROM (SELECT x.job_key, x.rn, x.task, x.ms, holder, status, alive, CASE WHEN refused THEN 'rejected_other_job'
+   WHEN op = 'claim' THEN CASE WHEN holder IS NULL THEN 'granted' WHEN status = 'completed' THEN 'rejected_completed'
+    WHEN holder = task AND ms - alive < 120000 THEN 'rejected_in_progress'
+    WHEN holder <> task AND ms - alive < 300000 THEN 'rejected_claimed' ELSE 'reclaimed' END
+   WHEN holder IS DISTINCT FROM task THEN 'not_found' WHEN op = 'release' THEN 'released'
+   WHEN status <> 'in_progress' THEN 'not_found' WHEN op = 'complete' THEN 'completed' ELSE 'alive' END AS o
+  FROM s JOIN x ON x.job_key = s.job_key AND x.rn = s.rn + 1))
+SELECT job_key, ms AS "at", seq, task AS task_id, op, outcome FROM x JOIN s USING (job_key, rn)
+UNION ALL SELECT job_key, alive + l, -1, holder, 'expire', name FROM x JOIN s USING (job_key, rn),
+ (VALUES (120000, 'idle'), (300000, 'stale')) v(l, name)
+ WHERE status = 'in_progress' AND alive + l > ms AND (next_ms IS NULL OR alive + l <= next_ms)"""
+
+
+@query("lease_log", LEASE_SQL)
+def lease_log(spark, sf):
+    return leases.lease_log(lease_protocol(spark, sf)).withColumn("seq", F.coalesce("seq", F.lit(-1)))
+
+
+def leases_of_stream(events, delay="10 minutes", files=1, progress=None):
+    """The lease log of a finished table read as a stream in two queries, each with a closing row."""
+    end = events.agg((F.max("ts") + F.expr("interval 90 days")).alias("ts"))
+
+    def closing(columns):
+        known = {"ts": F.col("ts"), "at": F.unix_millis("ts")}
+        return end.select(*[known.get(c, F.lit(NO_TASK if t == "string" else 0)).cast(t).alias(c) for c, t in columns.items()])
+
+    names = {"job_key": "string", "seq": "long", "ts": "timestamp", "op": "string", "task_id": "string"}
+    bound = run_available(leases.stream_bind_tasks(
+        as_stream(events.select(*names), files_per_trigger=files, last=closing(names)), delay), progress=progress)
+    names = dict(bound.dtypes)
+    return run_available(leases.stream_lease_log(
+        as_stream(bound, files_per_trigger=files, last=closing(names)), delay), progress=progress)
+
+
+@query("lease_log_stream", LEASE_SQL)
+def lease_log_stream(spark, sf):
+    return leases_of_stream(lease_protocol(spark, sf), files=100).withColumn("seq", F.coalesce("seq", F.lit(-1)))
+
+
 @query("job_key", """SELECT event_id AS seq, concat(user_id, '|d|v1|m|v1') AS job_key, concat(user_id,
  '|d|v1|m|v1|data_explanation|beginner') AS report_key FROM events""")
 def job_key(spark, sf):

@@ -2,52 +2,81 @@
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shoal.functions.adwin import DriftMonitor
+from shoal.streaming.ordered import Machine, in_order
 
 OUT = ("key string, row_index long, seq long, window_size long, mean_error_so_far double, late_rows long")
 
 
+class Monitor(Machine):
+    """The window's histogram and some counters. A row whose number is not beyond the last one seen is late."""
+
+    def __init__(self, window: int, delta: float, min_samples: int, cooldown: int):
+        self.monitor, self.last, self.late, self.told = DriftMonitor(window, delta, min_samples, cooldown), None, 0, 0
+
+    def load(self, monitor, last, late):
+        self.monitor.restore(json.loads(monitor))
+        self.last, self.late, self.told = last, late, late
+
+    def dump(self):
+        return json.dumps(self.monitor.dump()), self.last, self.late
+
+    def take(self, seq, error):
+        if self.last is not None and seq <= self.last:
+            self.late += 1
+            return []
+        self.last = seq
+        hit = self.monitor.add(error)
+        if hit is None:
+            return []
+        self.told = self.late
+        return [(hit[0], seq, hit[1], hit[2], self.late)]
+
+    def feed(self, seq, error):
+        return self.take(seq, error)
+
+    def end(self):
+        """Late rows that no alarm of the batch tells of."""
+        return [(None, self.last, None, None, self.late)] if self.late > self.told else []
+
+
+class TimedMonitor(Monitor):
+    """The same in event time."""
+
+    def feed(self, at, seq, error):
+        return self.take(seq, error)
+
+
 def stream_drift_monitor(
     errors: DataFrame, key: str, seq: str, error: str, window: int = 150, delta: float = 0.1, min_samples: int = 50,
     cooldown: int = 50,
 ) -> DataFrame:
-    """Alarms of each key as its rows arrive. A row whose ``seq`` is not beyond the last one seen is late: it is
-    counted and left out; late rows that no alarm of their batch tells of are told by a row without alarm (null
-    ``row_index``). The state is the window's histogram and some counters."""
-
-    def step(name: Sequence, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        monitor, last, late = DriftMonitor(window, delta, min_samples, cooldown), None, 0
-        if state.exists:
-            saved = json.loads(state.get[0])
-            monitor.restore(saved["monitor"])
-            last, late = saved["last"], saved["late"]
-        found, told = [], late
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for number, value in zip(rows["seq"], rows["error"]):
-            if last is not None and number <= last:
-                late += 1
-                continue
-            last = int(number)
-            hit = monitor.add(float(value))
-            if hit is not None:
-                found.append((name[0], hit[0], last, hit[1], hit[2], late))
-                told = late
-        if late > told:
-            found.append((name[0], None, last, None, None, late))
-        state.update((json.dumps({"monitor": monitor.dump(), "last": last, "late": late}),))
-        if found:
-            out = pd.DataFrame(found, columns=[c.split()[0] for c in OUT.split(", ")])
-            yield out.astype({"row_index": "Int64", "window_size": "Int64", "mean_error_so_far": "float64"})
-
-    rows = errors.select(F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("seq"),
-                         F.col(error).cast("double").alias("error"))
-    return rows.groupBy("key").applyInPandasWithState(
-        step, OUT, "monitor string", "append", GroupStateTimeout.NoTimeout)
+    """Alarms of each key as its rows arrive. A row whose ``seq`` is not beyond the last one of an earlier micro-batch is late:
+    it is counted and left out; late rows that no alarm of their batch tells of are told by a row without alarm (null
+    ``row_index``). Rows without number or error are left out. The state is the window's histogram and some counters."""
+    errors = errors.where(F.col(seq).isNotNull() & F.col(error).isNotNull())
+    return in_order(errors, F.col(key).cast("string"), {"seq": (F.col(seq), "long"), "error": (F.col(error), "double")}, _STATE, OUT,
+                    functools.partial(Monitor, window, delta, min_samples, cooldown), width=8192)
+
+
+def ordered_drift_monitor(
+    errors: DataFrame, key: str, event_time: str, seq: str | Column, error: str, window: int = 150, delta: float = 0.1,
+    min_samples: int = 50, cooldown: int = 50, delay: str = "10 minutes",
+) -> DataFrame:
+    """Alarms of each key in the order of event time (to the millisecond) and ``seq``, which must ascend with it, whatever
+    the order in which rows arrive: a row waits until the watermark has come to it. Only rows that come after the watermark are
+    late; Spark counts them (``ordered.late_rows``)."""
+    errors = errors.where(F.col(event_time).isNotNull() & F.col(error).isNotNull())
+    columns = {"at": (F.unix_millis(event_time), "long"), "seq": (F.col(seq) if isinstance(seq, str) else seq, "long"),
+               "error": (F.col(error), "double")}
+    return in_order(errors, F.col(key).cast("string"), columns, _STATE, OUT,
+                    functools.partial(TimedMonitor, window, delta, min_samples, cooldown), 3_600_000, event_time, delay)
+
+
+_STATE = "monitor string, last long, late long"

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from shoal.session import fresh_path
 
 
-def run_available(stream: DataFrame, label: str = "stream", mode: str = "append") -> DataFrame:
-    """Process all available input, then stop; the result as a table."""
+def run_available(stream: DataFrame, label: str = "stream", mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Process all available input, then stop; the result as a table. ``progress`` gets what Spark told of each batch."""
     spark = stream.sparkSession
     path = fresh_path(spark, label)
     query = (
@@ -16,6 +16,8 @@ def run_available(stream: DataFrame, label: str = "stream", mode: str = "append"
         .option("checkpointLocation", path + "/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return spark.read.schema(stream.schema).parquet(path + "/rows")
 
 

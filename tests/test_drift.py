@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 
 from shoal.functions.adwin import Adwin, DriftMonitor
 from shoal.operators import drift, metrics
-from shoal.plans.stream_queries import status_of_streams
+from shoal.plans.stream_queries import leases_of_stream, status_of_streams
+from shoal.session import fresh_path
 from shoal.streaming import events as flow
-from shoal.streaming import leases, monitor
+from shoal.streaming import leases, monitor, ordered
 from shoal.streaming.run import as_stream, run_available
 
 
@@ -217,3 +219,45 @@ def test_open_tasks_of_the_last_hours(spark):
                                  "task_id string, success boolean, timestamp timestamp")
     got = {r["task_id"]: r["status"] for r in status_of_streams(triggers, done).collect()}
     assert got == {t: "success" if t in {x for x, _, _ in hours[:-4:2]} else "open" for t, _, _ in hours}
+
+
+PLAN = [  # seconds, job, op, task, outcome
+    (0, "j", "claim", "a", "granted"), (119, "j", "claim", "a", "rejected_in_progress"), (120, "j", "claim", "a", "reclaimed"),
+    (121, "k", "claim", "a", "rejected_other_job"), (419, "j", "claim", "b", "rejected_claimed"), (420, "j", "claim", "b", "reclaimed"),
+    (430, "j", "release", "a", "not_found"), (431, "k", "claim", "a", "granted"), (600, "j", "heartbeat", "b", "alive"),
+    (719, "j", "heartbeat", "b", "alive"), (839, "j", "heartbeat", "b", "alive"), (840, "j", "complete", "b", "completed"),
+    (5000, "j", "claim", "c", "rejected_completed")]
+RAN_OUT = [(120, "j", "a", "idle"), (240, "j", "a", "idle"), (420, "j", "a", "stale"), (540, "j", "b", "idle"), (551, "k", "a", "idle"), (731, "k", "a", "stale"),
+           (839, "j", "b", "idle")]
+
+
+@pytest.mark.parametrize("streamed,order", [(False, 1), (True, 1), (True, -1)])
+def test_lease_protocol(spark, streamed, order):
+    """Leases at 119, 120, 299 and 300 seconds; tasks of another job; leases that end by a timer. Streams in either order."""
+    start = datetime(2024, 1, 1)
+    rows = [(job, i, start + timedelta(seconds=s), op, task) for i, (s, job, op, task, _) in enumerate(PLAN)]
+    df = spark.createDataFrame(rows[::order], "job_key string, seq long, ts timestamp, op string, task_id string").repartition(4)
+    log = leases_of_stream(df, delay="3 hours") if streamed else leases.lease_log(df)
+    zero = int(start.timestamp() * 1000)
+    got = sorted(((r["at"] - zero) // 1000, r["job_key"], r["op"], r["task_id"], r["outcome"]) for r in log.collect())
+    assert got == sorted(PLAN + [(s, job, "expire", task, what) for s, job, task, what in RAN_OUT])
+    assert leases.lease_log(df.limit(0)).count() == 0
+
+
+def test_order_of_a_stream(spark):
+    """Rows that arrive out of order give the alarms of ordered ones; only rows behind the watermark are late."""
+    start = datetime(2024, 1, 1)
+    rows = [(k, i, start + timedelta(seconds=i), float(v)) for n, k in enumerate("ab") for i, v in enumerate(series(n))]
+    want = reference_alarms(pd.DataFrame(rows, columns=["k", "seq", "ts", "e"]), window=150, delta=0.1)
+    assert want
+    schema = "k string, seq long, ts timestamp, e double"
+    folder = fresh_path(spark, "unordered")
+    for number, part in enumerate((rows[1::3], rows[0::3], rows[2::3], [("z", 0, start + timedelta(days=1), 0.0)],
+                                   [("z", 1, start + timedelta(days=1, seconds=1), 0.0)], [("b", 8, start, 1.0)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/part={number}")
+        time.sleep(0.05)  # files are read in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+    told = []
+    got = run_available(monitor.ordered_drift_monitor(stream, "k", "ts", "seq", "e", delay="1 hour"), progress=told).collect()
+    assert {(r["key"], r["row_index"]) for r in got} == want
+    assert ordered.late_rows(told) == 1
