@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import codecs
+import csv
+import hashlib
+import io
+import os
+import re
+import zipfile
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoal.functions.columns import base_name, col, extension
+from shoal.session import materialize
 
 EXTRA = "__extra"
+#: Characters of the rows that a task unpacks before it passes them on.
+PIECE_BYTES = 1 << 20
 
 
 KINDS = ("long", "double", "boolean")
@@ -99,71 +110,113 @@ def read_tsv(spark: SparkSession, path: str | list[str], infer: bool = True) ->
     return infer_types(out) if infer else out
 
 
+def listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, length`` of all files below a folder. The content is never a cell: it is pruned, and read as a stream by the
+    task that a file falls to; tasks are cut by file sizes as Spark cuts any scan."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path in it, for tasks that read or write bytes."""
+    local = re.match("^(?:file:(?://[^/]*)?(?=/))?(/.*)$", path)
+    return (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(path)
+
+
+def opened(path: str):
+    """A file as a seekable stream, by the path that ``listed`` gives."""
+    files, inside = file_system(path)
+    return files.open_input_file(inside)
+
+
 def read_zipped_csv(spark: SparkSession, path: str | list[str], infer: bool = True) -> DataFrame:
     """CSV files that may be ZIP archives: of each archive the first ``.csv`` entry outside ``__`` folders.
 
-    A task holds one file at a time, unpacks it as a stream and passes it on as rows of fields.
+    Columns are the union of all headers; a field is null where it is empty, its line too short or its file without the
+    column; lines with too many fields are skipped; of two columns with one name the first counts. A file that is UTF-8
+    throughout is read as such, any other as Latin-1. An archive without such an entry is an error.
+
+    A task reads each of its files once, as a stream: fields are cut from the bytes as Latin-1, which loses nothing, while the
+    bytes are tested for UTF-8. Rows are written once, with the name of their file; its header and encoding, known at its
+    end, are a row of their own. The driver sees the different headers.
     """
-    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return unzip_csv(blobs.select("path", "content"), infer)
+    rows = materialize(listed(spark, path).mapInArrow(
+        _unzipped, "path string, header array<string>, valid boolean, fields array<string>"), "unzipped")
+    files = rows.where("header is not null").select("path", "header", "valid")
+    headers = sorted(tuple(r["header"]) for r in files.select("header").distinct().collect())
+    names = list(dict.fromkeys(c for h in headers for c in h))
+    if not names:
+        raise ValueError("no file with a header")
+    known = spark.createDataFrame(list(enumerate(headers, 1)), "number int, header array<string>")
+    cells = rows.where("fields is not null").select("path", "fields").join(files.join(known, "header").drop("header"), "path")
+    columns = []
+    for name in names:
+        places = [h.index(name) if name in h else -1 for h in headers]
+        at = F.lit(places[0]) if len(set(places)) == 1 else F.element_at(F.array(*map(F.lit, places)), F.col("number"))
+        value = F.when(at >= 0, F.get("fields", at))
+        columns.append(F.when(F.col("valid"), F.decode(F.encode(value, "ISO-8859-1"), "UTF-8")).otherwise(value).alias(name))
+    out = cells.select(*columns)
+    return infer_types(out) if infer else out
 
 
-def _entry(name: str, content: bytes):
+def _entry(name: str, file):
     """The CSV bytes of a file as a stream, from inside an archive if it is one."""
-    import io
-    import zipfile
-
-    if content[:2] != b"PK":
-        return io.BytesIO(content)
-    archive = zipfile.ZipFile(io.BytesIO(content))
+    begin = file.read(2)
+    file.seek(0)
+    if begin != b"PK":
+        return file
+    archive = zipfile.ZipFile(file)
     for entry in archive.namelist():
         if entry.lower().endswith(".csv") and not entry.startswith("__"):
             return archive.open(entry)
     raise ValueError(f"{name} holds no CSV file")
 
 
-def _is_utf8(stream) -> bool:
-    import codecs
+class _Tested(io.RawIOBase):
+    """A stream that tests on the way whether all of it is UTF-8."""
+
+    def __init__(self, stream):
+        self.stream, self.valid = stream, True
+        self.decoder = codecs.getincrementaldecoder("utf-8")()
+
+    def readable(self) -> bool:
+        return True
 
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    try:
-        while chunk := stream.read(1 << 20):
-            decoder.decode(chunk)
-        decoder.decode(b"", final=True)
-    except UnicodeDecodeError:
-        return False
-    return True
+    def readinto(self, buffer) -> int:
+        data = self.stream.read(len(buffer))
+        if self.valid:
+            try:
+                self.decoder.decode(data, final=not data)
+            except UnicodeDecodeError:
+                self.valid = False
+        buffer[:len(data)] = data
+        return len(data)
 
 
-def unzip_csv(blobs: DataFrame, infer: bool = True) -> DataFrame:
-    """The rows of all files in a table of (path, content); columns are the union of their headers."""
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = pa.list_(pa.string())
 
-    def fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-        import io
+    def told(path: str, rows: list, header=None, valid=None) -> pa.RecordBatch:
+        n = len(rows)
+        return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([header] * n, texts),
+                                           pa.array([valid] * n, pa.bool_()), pa.array(rows, texts)], ["path", "header", "valid", "fields"])
 
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                encoding = "utf-8" if _is_utf8(_entry(name, content)) else "latin-1"
-                reader = csv.reader(io.TextIOWrapper(_entry(name, content), encoding=encoding, newline=""))
-                header = next(reader, [])
-                rows: list[list[str | None]] = []
+    for batch in batches:
+        for path in batch["path"].to_pylist():
+            with opened(path) as file:
+                tested = _Tested(_entry(path, file))
+                reader = csv.reader(io.TextIOWrapper(io.BufferedReader(tested, 1 << 20), encoding="latin-1", newline=""))
+                header, rows, size = next(reader, []), [], 0
                 for row in reader:
                     if not row or len(row) > len(header):
                         continue
-                    rows.append([v or None for v in row] + [None] * (len(header) - len(row)))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame({"path": name, "header": [header] * len(rows), "fields": rows})
-                        rows = []
-                yield pd.DataFrame({"path": name, "header": [header] * max(len(rows), 1), "fields": rows or [None]})
-
-    rows = blobs.mapInPandas(fields, "path string, header array<string>, fields array<string>")
-    headers = [r["header"] for r in rows.select("header").distinct().collect()]
-    names = list(dict.fromkeys(c for h in headers for c in h))
-    rows = rows.where("fields is not null")
-    cells = F.map_from_arrays("header", "fields")
-    out = rows.select(*[F.element_at(cells, c).alias(c) for c in names])
-    return infer_types(out) if infer else out
+                    rows.append([v or None for v in row])
+                    size += sum(map(len, row)) + 8 * len(row)
+                    if size > PIECE_BYTES:
+                        yield told(path, rows)
+                        rows, size = [], 0
+                if rows:
+                    yield told(path, rows)
+                yield told(path, [None], [c.encode("latin-1").decode("utf-8" if tested.valid else "latin-1") for c in header], tested.valid)
 
 
 def read_headerless(
@@ -208,14 +261,30 @@ def read_attribute_names(spark: SparkSession, path: str, label: str | None = Non
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder: relative path, name, size, extension and MD5; hidden ones are left out."""
-    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
+    """Files below a folder: relative path, name, size, extension and MD5; hidden ones are left out.
+
+    Files are hashed as streams, a megabyte at a time. A relative folder is found in the part that all paths share.
+    """
+    files = listed(spark, path)
     full = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?/*", "/")
-    relative = F.substr(full, F.instr(full, root) + F.lit(len(root)))
+    root = re.sub("^[a-z0-9]+:(//[^/]*)?/*", "/", path).rstrip("/") + "/"
+    if not root.startswith("/"):
+        ends = files.agg(F.min(full).alias("a"), F.max(full).alias("b")).first()
+        shared = os.path.commonprefix([ends["a"] or "", ends["b"] or ""])
+        root = shared[:shared.rfind("/" + root.removeprefix("./")) + 1] + root.removeprefix("./")
+    relative = F.substr(full, F.lit(len(root) + 1))
     name = base_name(relative)
     kept = ~name.startswith(".") & ~relative.contains("__MACOSX")
-    return blobs.where(kept).select(
-        relative.alias("relative_path"), name.alias("filename"), F.col("length").alias("file_size"),
-        extension(name).alias("file_type"), F.md5("content").alias("file_hash"),
-    )
+    hashed = files.where(kept).mapInArrow(_hashed, "path string, length long, file_hash string")
+    return hashed.select(relative.alias("relative_path"), name.alias("filename"), F.col("length").alias("file_size"),
+                         extension(name).alias("file_type"), "file_hash")
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, length in zip(batch["path"].to_pylist(), batch["length"].to_pylist()):
+            state = hashlib.md5()
+            with opened(path) as file:
+                while piece := file.read(1 << 20):
+                    state.update(piece)
+            yield pa.RecordBatch.from_pydict({"path": [path], "length": [length], "file_hash": [state.hexdigest()]})

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import zipfile
 from datetime import datetime
@@ -177,6 +178,31 @@ def test_annotations(spark):
         ("a.png", "1", {"Image": "a.png", "y": "1"}), ("b.png", "2", {"path": "b.png", "label": "2"})]
 
 
+def test_archives_are_streams(spark, tmp_path):
+    def archive(name, text, encoding="utf-8"):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as out:
+            out.writestr("__MACOSX/x.csv", "no,no")
+            out.writestr("in/data.csv", text.encode(encoding))
+    archive("a.zip", 'näme,n\n"two\nlines, ü",1\nshort\n1,2,3\n\n,4\n')
+    archive("b.zip", "n,other,n\n5,é,6\n", "latin-1")
+    (tmp_path / "plain.csv").write_text("n\n7\n")
+    archive("long.zip", "n,text\n" + "".join(f"{i},{'x' * 900}\n" for i in range(5000)))
+    archive("none.zip", "")
+    got = files.read_zipped_csv(spark, str(tmp_path))
+    assert got.columns == ["n", "other", "text", "näme"] and got.schema["n"].dataType.simpleString() == "bigint"
+    few = got.where("text is null").select("näme", "n", "other").collect()
+    assert sorted(map(tuple, few), key=str) == sorted(
+        [("two\nlines, ü", 1, None), ("short", None, None), (None, 4, None), (None, 5, "é"), (None, 7, None)], key=str)
+    assert got.where("length(text) = 900").agg(F.sum("n")).first()[0] == 5000 * 4999 // 2
+    plan = files.listed(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+    digests = {r["relative_path"]: (r["file_size"], r["file_hash"]) for r in files.file_inventory(spark, str(tmp_path)).collect()}
+    assert digests == {p.name: (p.stat().st_size, hashlib.md5(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
+    (tmp_path / "bad.zip").write_bytes((tmp_path / "a.zip").read_bytes()[:40])
+    with pytest.raises(Exception, match="zip|Zip"):
+        files.read_zipped_csv(spark, str(tmp_path / "bad.zip"))
+
+
 def test_threads_and_references(spark):
     rows = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 99)], "answer_id long, parent_id long")
     got = {r["answer_id"]: (r["root_id"], r["depth"]) for r in forum.answer_threads(rows).collect()}
