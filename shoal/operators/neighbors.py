@@ -1,27 +1,27 @@
 """Exact nearest neighbours within groups, without comparing all pairs of a group.
 
-Points are placed in the cell of their nearest pivot. A query first looks into its own cell; the distance of
-its k-th neighbour there, with the triangle inequality, rules out most other cells. Cells that are large are
-split, and tasks return only the k best per query and part.
+Points are placed in a tree of cells. A cell that is too large gets pivots of its own, and its points go to the nearest one,
+level by level, until every cell is small. A query first looks into its own cell; then it goes down the tree, and the
+triangle inequality rules out cells whose points are all farther than the neighbours known so far.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.columns import col
 from shoal.operators.ordering import uniform
 from shoal.session import materialize
 
-# Points per cell part, and the most pivots of one group (they are sent to every task).
+#: Points of the largest cell that is not cut any more.
 PART_ROWS = 2_000
-MAX_PIVOTS = 4_096
+#: Pivots of a cell that is cut, on average.
+FAN = 24
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -33,86 +33,94 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _gap(x: str, y: str) -> str:
+    return f"sqrt(aggregate(zip_with({x}, {y}, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v))"
+
+
+def metric_tree(points: DataFrame, part_rows: int, fan: int, k: int, seed: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The points of (g, id, x) with the ``cell`` they end in, and the levels of the tree from the top.
+
+    A level has a row per cell that was cut: ``g, cell, children``, the latter with name, pivot, ``radius`` (the farthest
+    point of the child from its pivot) and ``reach`` (the distance of its ``k`` + 1 nearest ones, if it has so many).
+    Pivots are picked by hash, with the first and the last point of the cell among them, so a cut always parts a cell of
+    different points. A level moves only the points of the cells that it cuts, which are written once.
+    """
+    levels, done = [], None
+    open_cells = points.withColumn("cell", F.lit(""))
+    while True:
+        sizes = open_cells.groupBy("g", "cell").agg(
+            F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+        large = sizes.where(F.col("n") > part_rows)
+        end = large.isEmpty()
+        small = open_cells if end else open_cells.join(sizes.where(F.col("n") <= part_rows).select("g", "cell"), ["g", "cell"], "left_semi")
+        small = small.select("g", "cell", "id", "x")
+        done = small if done is None else done.unionByName(small)
+        if end:
+            return done, levels
+        chance = uniform(seed, F.lit(len(levels)), "id") * F.col("n") < fan
+        inside = open_cells.join(large, ["g", "cell"])
+        pivots = inside.where(chance | (F.col("id") == F.col("a")) | (F.col("id") == F.col("b"))).groupBy("g", "cell").agg(
+            F.sort_array(F.collect_list(F.struct("id", "x")))["x"].alias("pivots"))
+        pivots = materialize(pivots, "pivots")
+        moved = open_cells.join(pivots, ["g", "cell"]).withColumn("gaps", F.expr(f"transform(pivots, p -> {_gap('x', 'p')})"))
+        moved = moved.withColumn("d", F.array_min("gaps")).withColumn("j", F.array_position("gaps", F.col("d")).cast("int"))
+        child = F.concat("cell", F.lit("."), "j")
+        moved = materialize(moved.select("g", F.col("cell").alias("above"), child.alias("cell"), "j", "d", "id", "x"), "cells")
+        order = Window.partitionBy("g", "cell").orderBy("d", "id")
+        closest = moved.select("g", "cell", "d", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+        reach = closest.groupBy("g", "cell").agg(F.max("r").alias("have"), F.max("d").alias("t"))
+        cells = moved.groupBy("g", "above", "cell", "j").agg(F.max("d").alias("radius")).join(reach, ["g", "cell"])
+        cells = cells.join(pivots.select("g", F.col("cell").alias("above"), "pivots"), ["g", "above"])
+        told = F.struct("cell", F.element_at("pivots", F.col("j")).alias("pivot"), "radius",
+                        F.when(F.col("have") > k, F.col("t")).otherwise(float("inf")).alias("reach"))
+        levels.append(cells.groupBy("g", F.col("above").alias("cell")).agg(F.collect_list(told).alias("children")))
+        open_cells = moved.select("g", "cell", "id", "x")
+
+
 def exact_neighbors(
     points: DataFrame, group: str, key: str, features: Sequence[str], k: int, queries: DataFrame | None = None,
-    part_rows: int = PART_ROWS, max_pivots: int = MAX_PIVOTS, seed: int = 42,
+    part_rows: int = PART_ROWS, fan: int = FAN, seed: int = 42,
 ) -> DataFrame:
     """(group, key, neighbor, distance, rank) for each query point: its k nearest others of the same group.
 
     ``points`` holds distinct points with a unique integer ``key`` per group; ``queries`` (group, key) picks
-    the points to look up, all by default. Ties go to the smaller key.
+    the points to look up, all by default. Ties go to the smaller key. Cells and their pivots are tables; nothing
+    of the tree is sent to the driver or forced on every task.
     """
     x = F.array(*[col(f).cast("double") for f in features])
     base = materialize(points.select(col(group).cast("string").alias("g"), col(key).cast("long").alias("id"),
                                      x.alias("x")), "points")
-    sizes = {r["g"]: r["count"] for r in base.groupBy("g").count().collect()}
-    wanted = {g: min(max_pivots, max(1, math.ceil(n / (part_rows / 4)))) for g, n in sizes.items()}
-    share = F.lit(0.0)
-    for g, n in sizes.items():
-        share = F.when(F.col("g") == g, wanted[g] / n).otherwise(share)
-    # about ``wanted`` pivots by hash and one in any case; which points they are does not change the result
-    first = base.groupBy("g").agg(F.min_by("x", "id").alias("x"))
-    picked = base.where(uniform(seed, "id") < share).select("g", "x").unionByName(first).collect()
-    pivots: dict[str, np.ndarray] = {g: np.array([r["x"] for r in picked if r["g"] == g], dtype=float) for g in wanted}
-    spark = base.sparkSession
-    shared_pivots = spark.sparkContext.broadcast(pivots)
-
-    def place(batches):
-        for batch in batches:
-            for g, rows in batch.groupby("g", sort=False):
-                xs = np.stack(rows["x"].to_numpy()).astype(float)
-                gaps = _distances(xs, shared_pivots.value[g])
-                cell = gaps.argmin(axis=1)
-                yield pd.DataFrame({"g": g, "id": rows["id"].to_numpy(), "x": list(xs), "cell": cell,
-                                    "d": gaps[np.arange(len(xs)), cell]})
-
-    placed = materialize(base.mapInPandas(place, "g string, id long, x array<double>, cell int, d double"), "cells")
-    nearest_first = Window.partitionBy("g", "cell").orderBy("d", "id")
-    closest = placed.select("g", "cell", "d", "id").withColumn("r", F.row_number().over(nearest_first))
-    closest = closest.where(F.col("r") <= k + 1).groupBy("g", "cell").agg(F.max("d").alias("t"), F.max("r").alias("have"))
-    cells = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
-    table: dict[str, list] = {}
-    for r in cells.join(closest, ["g", "cell"]).collect():  # at most one row per pivot
-        reach = r["t"] if r["have"] == k + 1 else float("inf")
-        table.setdefault(r["g"], []).append((r["cell"], r["n"], r["radius"], reach))
-    shared_cells = spark.sparkContext.broadcast({g: [np.array(c) for c in zip(*sorted(rows))] for g, rows in table.items()})
-
+    placed, levels = metric_tree(base, part_rows, max(fan, 2), k, seed)
+    if levels:
+        placed = materialize(placed, "placed")
     asked = placed
     if queries is not None:
         only = queries.select(col(group).cast("string").alias("g"), col(key).cast("long").alias("id")).distinct()
         asked = placed.join(only, ["g", "id"], "left_semi")
-    parts = {(g, row[0]): max(1, math.ceil(row[1] / part_rows)) for g, rows in table.items() for row in rows}
-    counts = spark.createDataFrame([(g, int(c), n) for (g, c), n in parts.items()], "g string, cell int, parts int")
-    members = placed.join(F.broadcast(counts), ["g", "cell"]).select(
-        "g", "cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(True).alias("member"),
-        "id", "x", F.lit(0).alias("slice"))
+    members = placed.select("g", "cell", F.lit(True).alias("member"), "id", "x")
 
     def search(probes: DataFrame) -> DataFrame:
         """k best members of each probed cell; a cell with many probes is visited by slices of them."""
-        probes = probes.join(F.broadcast(counts), ["g", "cell"]).withColumn(
-            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        load = probes.groupBy("g", "cell", "part").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("slices"))
-        load = materialize(load, "load")
-        probes = probes.join(load, ["g", "cell", "part"]).select(
-            "g", "cell", "part", F.lit(False).alias("member"), "id", "x",
-            F.pmod(F.xxhash64("id", F.lit(1)), "slices").cast("int").alias("slice"))
-        copies = members.join(load, ["g", "cell", "part"]).withColumn(
+        load = materialize(probes.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("slices")), "load")
+        probes = probes.join(load, ["g", "cell"]).select(
+            "g", "cell", F.lit(False).alias("member"), "id", "x", F.pmod(F.xxhash64("id", F.lit(1)), "slices").cast("int").alias("slice"))
+        copies = members.join(load, ["g", "cell"]).withColumn(
             "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(*probes.columns)
 
         def block(rows: pd.DataFrame) -> pd.DataFrame:
             inside, ask = rows[rows["member"]], rows[~rows["member"]]
             if inside.empty or ask.empty:
-                return pd.DataFrame({"g": [], "id": [], "neighbor": [], "distance": []})
+                return pd.DataFrame({"g": [], "id": [], "neighbor": [], "distance": []}, dtype=object)
             ids, qs = inside["id"].to_numpy(), ask["id"].to_numpy()
             gaps = _distances(np.stack(ask["x"].to_numpy()), np.stack(inside["x"].to_numpy()))
             gaps[qs[:, None] == ids[None, :]] = np.inf
             best = np.lexsort((np.broadcast_to(ids, gaps.shape), gaps), axis=1)[:, :k]
             near = np.take_along_axis(gaps, best, axis=1)
             keep = np.isfinite(near)
-            return pd.DataFrame({"g": rows["g"].iloc[0], "id": np.repeat(qs, keep.sum(axis=1)),
+            return pd.DataFrame({"g": pd.Series([rows["g"].iloc[0]] * int(keep.sum()), dtype=object), "id": np.repeat(qs, keep.sum(axis=1)),
                                  "neighbor": ids[best][keep], "distance": near[keep]})
 
-        return probes.unionByName(copies).groupBy("g", "cell", "part", "slice").applyInPandas(
+        return probes.unionByName(copies).groupBy("g", "cell", "slice").applyInPandas(
             block, "g string, id long, neighbor long, distance double")
 
     nearest = Window.partitionBy("g", "id").orderBy("distance", "neighbor")
@@ -120,28 +128,30 @@ def exact_neighbors(
     def best_k(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
-    own = materialize(best_k(search(asked.select("g", "cell", "id", "x"))), "own")
-    reached = own.groupBy("g", "id").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("have"))
-    asked = asked.join(reached, ["g", "id"], "left")
-
-    def probe(batches):
-        for batch in batches:
-            for g, rows in batch.groupby("g", sort=False):
-                number, _, radius, reach = shared_cells.value[g]
-                number = number.astype(int)
-                xs = np.stack(rows["x"].to_numpy()).astype(float)
-                gaps = _distances(xs, shared_pivots.value[g][number])
-                bound = (gaps + reach[None, :]).min(axis=1)
-                full = rows["have"].to_numpy() >= k
-                bound = np.where(full, np.minimum(bound, rows["kth"].to_numpy(dtype=float)), bound)
-                slack = 1e-9 * (1.0 + np.abs(gaps))
-                near = gaps - radius[None, :] <= bound[:, None] + slack
-                near &= number[None, :] != rows["cell"].to_numpy()[:, None]
-                q, c = np.nonzero(near)
-                if len(q):
-                    yield pd.DataFrame({"g": g, "cell": number[c], "id": rows["id"].to_numpy()[q],
-                                        "x": [xs[i] for i in q]})
-
-    others = asked.mapInPandas(probe, "g string, cell int, id long, x array<double>")
-    found = own.drop("rank").unionByName(search(materialize(others, "probes")))
-    return best_k(found).select(col("g").alias(group), col("id").alias(key), "neighbor", "distance", "rank")
+    own = best_k(search(asked.select("g", "cell", "id", "x")))
+    if levels:
+        own = materialize(own, "own")
+        reached = own.groupBy("g", "id").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("have"))
+        bound = F.when(F.col("have") >= k, F.col("kth")).otherwise(float("inf"))
+        front = asked.join(reached, ["g", "id"], "left").select(
+            "g", F.lit("").alias("cell"), "id", "x", F.col("cell").alias("home"), bound.alias("bound"))
+        leaves = None
+        for level in levels:
+            front, ended = _below(front, level)
+            leaves = ended if leaves is None else leaves.unionByName(ended)
+        leaves = leaves.unionByName(front).where("cell <> home").select("g", "cell", "id", "x")
+        own = best_k(own.drop("rank").unionByName(search(materialize(leaves, "probes"))))
+    return own.select(col("g").alias(group), col("id").alias(key), "neighbor", "distance", "rank")
+
+
+def _below(front: DataFrame, level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One level down: the children of each query's cells that may hold a nearer point, and the cells that aren't cut."""
+    slack: Column = F.expr("1e-9 * (1 + c.gap)")
+    met = materialize(front.join(level, ["g", "cell"], "left"), "front")
+    seen = met.where("children is not null").withColumn("seen", F.expr(
+        f"transform(children, c -> named_struct('cell', c.cell, 'gap', {_gap('x', 'c.pivot')}, 'radius', c.radius, 'reach', c.reach))"))
+    seen = seen.withColumn("bound", F.least("bound", F.array_min(F.expr("transform(seen, c -> c.gap + c.reach)"))))
+    below = seen.select("g", "id", "x", "home", "bound", F.explode("seen").alias("c")).where(
+        F.expr("c.gap - c.radius") <= F.col("bound") + slack)
+    return (below.select("g", F.col("c.cell").alias("cell"), "id", "x", "home", "bound"),
+            met.where("children is null").select("g", "cell", "id", "x", "home", "bound"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shoal.operators import mitigate
+from shoal.operators.neighbors import exact_neighbors
 from shoal.operators.split import random_split_exact
 from shoal.plans.profile_queries import SPARSE_SQL, sparse_lines
 from shoal.plans.registry import query, table
@@ -159,6 +160,20 @@ def smote(spark, sf):
     return mitigate.smote(rows, "toxic")
 
 
+@query("nearest_neighbors", """WITH p AS (SELECT o_orderpriority AS g, o_orderkey AS id, o_totalprice / 1000.0 AS x, o_custkey::DOUBLE AS y FROM orders)
+SELECT g, id, neighbor, round(d, 6) AS distance, rank::INT AS rank FROM (SELECT a.g, a.id, b.id AS neighbor,
+ sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.g, a.id ORDER BY
+ sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS rank
+ FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id WHERE a.id % 100 = 0) WHERE rank <= 5""")
+def nearest_neighbors(spark, sf):
+    """The five nearest orders of the same priority, for every order whose key is divisible by 100, against all orders."""
+    points = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000.0).alias("x"),
+        F.col("o_custkey").cast("double").alias("y"))
+    found = exact_neighbors(points, "g", "id", ["x", "y"], 5, points.where("id % 100 = 0").select("g", "id"), part_rows=256)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @query("smote_counts", """WITH c AS (SELECT toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY toxic)
 SELECT toxic, max(n) OVER () AS rows, 0::BIGINT AS outside FROM c""")
 def smote_counts(spark, sf):

@@ -95,15 +95,15 @@ def brute_force(pdf, k, features):
     return out
 
 
-@pytest.mark.parametrize("part_rows,max_pivots", [(2000, 64), (15, 6), (40, 1)])
-def test_neighbors_equal_brute_force(spark, part_rows, max_pivots):
+@pytest.mark.parametrize("part_rows,fan", [(2000, 64), (15, 6), (40, 1), (3, 2)])
+def test_neighbors_equal_brute_force(spark, part_rows, fan):
     rng = np.random.default_rng(11)
     n = 300
     pdf = pd.DataFrame({"g": np.where(rng.random(n) < 0.7, "a", "b"), "id": np.arange(n),
                         "x": rng.normal(size=n), "y": rng.normal(size=n) * 3})
     pdf.loc[pdf["g"] == "a", "x"] += np.where(rng.random((pdf["g"] == "a").sum()) < 0.5, 20, 0)
     got = exact_neighbors(spark.createDataFrame(pdf), "g", "id", ["x", "y"], 4, part_rows=part_rows,
-                          max_pivots=max_pivots).toPandas()
+                          fan=fan).toPandas()
     found = {}
     for r in got.sort_values("rank").itertuples():
         found.setdefault((r.g, r.id), []).append((r.neighbor, round(r.distance, 9)))
