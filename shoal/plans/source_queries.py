@@ -174,3 +174,98 @@ def import_json_bulk(spark, sf):
     themes = forum_tables.import_json_bulk(texts, as_of=datetime(2020, 1, 1))["Theme"]
     return themes.select("theme_id", "name", "views", "problem_category", "model_category",
                          F.col("created_at").cast("timestamp_ntz").alias("created_at"), "expert_id")
+
+
+#: The whole forum: source table and columns of each sheet, in expressions that Spark and DuckDB both read.
+WHOLE = {
+    "Themes": ("nation", {
+        "theme_id": "n_nationkey", "name": "n_name", "description": "concat('on \"', n_name, '\", at length')", "views": "n_regionkey * 7",
+        "expert_id": "n_regionkey * 30", "problem_category": "CASE WHEN n_regionkey = 1 THEN 'PRIVACY' ELSE 'OTHER' END",
+        "model_category": "CASE WHEN n_regionkey > 2 THEN 'NLP' ELSE 'Other' END", "domain_category": "'Health'",
+        "created_at": "TIMESTAMP '2024-03-01 10:00:00'"}),
+    "Documents": ("part", {
+        "document_id": "p_partkey", "title": "p_name", "description": "CASE WHEN p_size > 25 THEN p_type END", "file_path": "concat('/', p_brand)",
+        "file_size": "p_size * 1000", "content_type": "p_type", "expert_id": "p_partkey % 100", "theme_id": "p_size % 25",
+        "created_at": "TIMESTAMP '2024-03-02 11:30:00'"}),
+    "Questions": ("customer", {
+        "question_id": "c_custkey", "title": "c_name", "body": "concat(c_mktsegment, '?')", "created_at": "TIMESTAMP '2024-03-03 00:00:01'",
+        "views": "c_nationkey * 3", "expert_id": "c_custkey % 100", "theme_id": "c_nationkey"}),
+    "Answers": ("orders", {
+        "answer_id": "o_orderkey", "description": "o_orderpriority", "created_at": "o_orderdate", "question_id": "o_custkey",
+        "expert_id": "o_custkey % 90", "parent_id": "CASE WHEN o_orderstatus = 'O' THEN o_orderkey - 1 END"}),
+    "Votes": ("lineitem", {
+        "vote_id": "l_orderkey * 100 + l_linenumber", "expert_id": "l_suppkey", "answer_id": "l_orderkey",
+        "vote_value": "CASE l_returnflag WHEN 'R' THEN -1 ELSE 1 END", "created_at": "l_shipdate",
+        "updated_at": "CASE WHEN l_linenumber > 3 THEN l_shipdate END"}),
+    "Experts": ("supplier", {
+        "expert_id": "s_suppkey", "user_id": "s_suppkey + 7", "is_deleted": "s_acctbal < 0",
+        "area_of_expertise": "CASE WHEN s_nationkey < 5 THEN 'Policy' ELSE 'Other' END", "bio": "concat(s_name, chr(10), 'lives on')",
+        "date_joined": "TIMESTAMP '2023-05-06 07:08:09'", "profile_picture": "CAST(NULL AS VARCHAR(9))"}),
+}
+ENTITY_OF = {"Themes": "Theme", "Documents": "Document", "Questions": "Question", "Answers": "Answer", "Votes": "Vote",
+             "Experts": "Expert"}
+
+
+def whole_forum(spark, sf):
+    return {sheet: table(spark, sf, source).select(*[F.expr(e).alias(c) for c, e in columns.items()])
+            for sheet, (source, columns) in WHOLE.items()}
+
+
+def _whole_sql(vote_type=False):
+    parts = []
+    for sheet, (source, columns) in WHOLE.items():
+        cells = []
+        for c, e in columns.items():
+            shown = f"strftime({e}, '%Y-%m-%d %H:%M:%S')" if c in forum_tables.TIMES else f"({e})::VARCHAR"
+            cells.append(f"coalesce({shown}, '')")
+            if c == "vote_value" and vote_type:
+                cells.append(f"CASE {e} WHEN 1 THEN 'Upvote' ELSE 'Downvote' END")
+        parts.append(f"SELECT '{sheet}' AS sheet, concat_ws('|', {', '.join(cells)}) AS cells FROM {source}")
+    return " UNION ALL ".join(parts)
+
+
+def _cells(sheet, df):
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss") if t.startswith("timestamp") else F.col(f"`{c}`").cast("string")
+             for c, t in df.dtypes]
+    return df.select(F.lit(sheet).alias("sheet"), F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in shown]).alias("cells"))
+
+
+def _union(frames):
+    out = None
+    for one in frames:
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("export_sheets", _whole_sql(vote_type=True))
+def export_sheets(spark, sf):
+    """All six sheets in their display form."""
+    return _union(_cells(s, forum_tables.export_table(df, s)) for s, df in whole_forum(spark, sf).items())
+
+
+@query("import_sheets", _whole_sql())
+def import_sheets(spark, sf):
+    """All six tables written as sheets and read back."""
+    path = fresh_path(spark, "sheets")
+    forum_tables.write_sheets(whole_forum(spark, sf), path)
+    back = forum_tables.read_sheets(spark, path)
+    return _union(_cells(s, df.where("size(rejects) = 0").drop("rejects")) for s, df in back.items())
+
+
+@query("import_entities", _whole_sql())
+def import_entities(spark, sf):
+    """All six entities from one table of JSON objects, one object per row of the forum."""
+    texts = []
+    for sheet, df in whole_forum(spark, sf).items():
+        key = df.columns[0]
+        fields = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c) if c in forum_tables.TIMES else
+                  F.col(c).alias("id" if c == key else c) for c in df.columns]
+        texts.append(df.select(F.to_json(F.struct(F.array(F.struct(*fields)).alias(ENTITY_OF[sheet]))).alias("value")))
+    made = forum_tables.import_json_bulk(_union(texts), as_of=None)
+    out = []
+    for sheet, df in whole_forum(spark, sf).items():
+        rows = made[ENTITY_OF[sheet]].select(*df.columns)
+        if sheet == "Votes":  # a vote that was not changed has the time of the import
+            rows = rows.withColumn("updated_at", F.when(F.col("vote_id") % 100 > 3, F.col("updated_at")))
+        out.append(_cells(sheet, rows))
+    return _union(out)

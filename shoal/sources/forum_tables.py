@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,6 +96,22 @@ def export_table(df: DataFrame, sheet: str) -> DataFrame:
     return df.select(*cells)
 
 
+def write_sheets(tables: Mapping[str, DataFrame], path: str) -> None:
+    """The display form of each table, as CSV files with a header in a folder of its own; sheet names as in ``SHEETS``."""
+    for sheet, df in tables.items():
+        export_table(df, sheet).write.csv(f"{path}/{sheet}", header=True, quoteAll=True, escape='"')
+
+
+def read_sheets(spark: SparkSession, path: str, sheets: Sequence[str] = tuple(SHEETS)) -> dict[str, DataFrame]:
+    """The tables back from their display form: times parsed, whole numbers as such; bad cells are listed in ``rejects``."""
+    out = {}
+    for sheet in sheets:
+        shown = spark.read.csv(f"{path}/{sheet}", header=True, escape='"', multiLine=True)
+        rows = import_table(shown, sheet)
+        out[sheet] = rows.withColumns({c: F.try_to_timestamp(col(c)) for c in TIMES if c in rows.columns})
+    return out
+
+
 def import_table(df: DataFrame, sheet: str) -> DataFrame:
     """Display names back to columns. Blank cells are null, numbers are parsed, rows without content go.
 
