@@ -1,14 +1,19 @@
 """Event flow. The events table stands for messages; every event type plays a part. Streams read the table
 from files and run until all of it is processed."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from shoal.operators import metrics
 from shoal.plans.catalog_queries import CATALOG_SQL, dataset_catalog
 from shoal.plans.drift_queries import stream as prediction_stream
 from shoal.plans.registry import query, table
+from shoal.session import fresh_path
+from shoal.sources import events as event_source
+from shoal.sources import message_log
 from shoal.streaming import events as flow
 from shoal.streaming import leases, monitor
+from shoal.streaming.outputs import outputs, split_triggers
 from shoal.streaming.run import as_stream, run_available
 
 
@@ -91,6 +96,49 @@ def rejected_triggers(spark, sf):
     return flow.rejected(flow.validate_triggers(parsed, "automl"), "automl")
 
 
+SPLIT_SQL = f"""SELECT task_id, CASE WHEN user_id IS NULL THEN 'Missing user_id or dataset_id in event'
+ WHEN target_column IS NULL OR task_type IS NULL THEN 'Tabular task requires target_column_name and task_type' ELSE 'accepted' END AS came_to
+ FROM {PARSED_SQL}"""
+
+
+class Interrupted(Exception):
+    """A failure that a query brings about to start again after it."""
+
+
+@query("split_triggers_stream", SPLIT_SQL)
+def split_triggers_stream(spark, sf):
+    """Good and refused triggers from one read of a message log. The second batch fails between its two outputs and is run
+    again: nothing is lost or there twice."""
+    path, log = fresh_path(spark, "split"), fresh_path(spark, "log")
+    message_log.append_log(as_stream(messages(spark, sf).repartition(3), files_per_trigger=1), log, f"{log}-sent").awaitTermination()
+    parsed = flow.parse_events(message_log.read_log(spark, log)).where("quarantine is null")
+    failed = []
+
+    def written(number, name):
+        if number == 0 and name == "accepted" and not failed:
+            failed.append(number)
+            raise Interrupted
+
+    try:
+        split_triggers(parsed, "automl", path, written).awaitTermination()
+    except StreamingQueryException:
+        split_triggers(parsed, "automl", path, written).awaitTermination()
+    good, bad = outputs(spark, path)
+    reason = F.get_json_object("value", "$.failure.error_message")
+    return good.select("task_id", F.lit("accepted").alias("came_to")).unionAll(bad.select(F.col("key"), reason))
+
+
+@query("message_log", """SELECT event_id, user_id, event_type FROM events""")
+def messages_of_log(spark, sf):
+    """Events through a message log: written by a stream in several batches, read by another."""
+    log = fresh_path(spark, "log")
+    sent = event_source.to_messages(table(spark, sf, "events").select("event_id", "user_id", "event_type"), "event_id")
+    message_log.append_log(as_stream(sent.repartition(4), files_per_trigger=1), log, f"{log}-sent").awaitTermination()
+    got = run_available(message_log.read_log(spark, log))
+    read = event_source.read_events(got, "event_id long, user_id long, event_type string")
+    return read.select("event.*")
+
+
 @query("dataset_events", f"""SELECT user_id, dataset_id AS key, version, file_count FROM (SELECT *, 1 AS file_count
  FROM {CATALOG_SQL} QUALIFY row_number() OVER (PARTITION BY user_id, dataset_id ORDER BY file_type = 'csv' DESC,
  created_at DESC, version DESC) = 1)""")

@@ -1,18 +1,22 @@
 import json
+import os
 import time
 from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from shoal.functions.adwin import Adwin, DriftMonitor
 from shoal.operators import drift, metrics
 from shoal.plans.stream_queries import leases_of_stream, status_of_streams
 from shoal.session import fresh_path
+from shoal.sources import message_log
 from shoal.streaming import events as flow
 from shoal.streaming import leases, monitor, ordered
+from shoal.streaming.outputs import outputs, split_triggers
 from shoal.streaming.run import as_stream, run_available
 
 
@@ -261,3 +265,58 @@ def test_order_of_a_stream(spark):
     got = run_available(monitor.ordered_drift_monitor(stream, "k", "ts", "seq", "e", delay="1 hour"), progress=told).collect()
     assert {(r["key"], r["row_index"]) for r in got} == want
     assert ordered.late_rows(told) == 1
+
+
+def test_message_log_after_failures(spark, tmp_path):
+    """A writer that fails and starts again, and a reader that goes on where it was: each message once, in order."""
+    rows = spark.createDataFrame([(f"k{i % 7}", f"line\n{i} é") for i in range(300)] + [(None, None)], "key string, value string")
+    source = as_stream(rows.repartition(5), files_per_trigger=1)
+    log, folder = f"{tmp_path}/log", fresh_path(spark, "log-check")
+    schema = "partition int, offset long, key string, value string"
+
+    def fail(value):
+        raise ValueError(value)
+
+    broken = source.withColumn("value", F.udf(lambda v: fail(v) if v and "\n77 " in v and not os.path.exists(f"{tmp_path}/go") else v)("value"))
+    with pytest.raises(StreamingQueryException):
+        message_log.append_log(broken, log, f"{folder}/sent").awaitTermination()
+    before = sum(n for _, files in message_log.Log(log).commits() for _, _, n in files)
+    assert before < 301
+    reader = message_log.read_log(spark, log).writeStream.format("parquet").option("path", f"{folder}/got").option(
+        "checkpointLocation", f"{folder}/read").trigger(availableNow=True)
+    reader.start().awaitTermination()
+    assert spark.read.schema(schema).parquet(f"{folder}/got").count() == before
+    (tmp_path / "go").write_text("")
+    message_log.append_log(broken, log, f"{folder}/sent").awaitTermination()
+    message_log.append_log(broken, log, f"{folder}/sent").awaitTermination()
+    reader.start().awaitTermination()
+    got = spark.read.schema(schema).parquet(f"{folder}/got").collect()
+    assert sorted((r["key"], r["value"]) for r in got if r["key"]) == sorted((r["key"], r["value"]) for r in rows.collect() if r["key"])
+    assert len(got) == 301
+    for p in range(4):
+        assert sorted(r["offset"] for r in got if r["partition"] == p) == list(range(sum(r["partition"] == p for r in got)))
+    whole = spark.read.format("message_log").options(path=log).load()
+    assert sorted(map(str, whole.collect())) == sorted(map(str, got))
+
+
+@pytest.mark.parametrize("where", [(0, "accepted"), (0, "rejected"), (1, "accepted"), None])
+def test_two_outputs_after_a_failure(spark, tmp_path, where):
+    rows = spark.createDataFrame([(f"t{i}", "u" if i % 3 else None, "d", "m", "y", datetime(2024, 1, 1)) for i in range(40)],
+                                 "task_id string, user_id string, dataset_id string, model_id string, target_column string, timestamp timestamp")
+    stream = as_stream(rows.repartition(4), files_per_trigger=2)
+    failed = []
+
+    def written(number, name):
+        if (number, name) == where and not failed:
+            failed.append(1)
+            raise ValueError("interrupted")
+
+    for _ in range(2):
+        try:
+            split_triggers(stream, "drift", str(tmp_path), written).awaitTermination()
+        except StreamingQueryException:
+            assert failed
+    good, bad = outputs(spark, str(tmp_path))
+    assert sorted(r["task_id"] for r in good.collect()) == sorted(f"t{i}" for i in range(40) if i % 3)
+    assert sorted(r["key"] for r in bad.collect()) == sorted(f"t{i}" for i in range(0, 40, 3))
+    assert {r["batch"] for r in good.collect()} == {0, 1}
