@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from shoal.operators import catalog
 from shoal.plans.registry import query, table
+from shoal.session import fresh_path
+from shoal.sources.stored import Stored
 
 CATALOG_SQL = """(SELECT concat('u', o_custkey) AS user_id, lower(o_orderpriority) AS dataset_id,
  concat(CASE WHEN o_orderstatus = 'P' THEN 'draft' ELSE 'v' END, o_orderkey) AS version, o_orderdate AS created_at,
@@ -227,19 +229,36 @@ def _reports(spark, sf, before="1998-01-01"):
         F.max("o_orderdate").alias("updated_at"), F.max("o_orderstatus").alias("extra_id"))
 
 
-@query("upsert_report", f"""WITH t AS {REPORTS_SQL}, u AS (SELECT o_custkey AS user_id, o_orderpriority AS dataset_id,
+UPSERT_SQL = f"""WITH t AS {REPORTS_SQL}, u AS (SELECT o_custkey AS user_id, o_orderpriority AS dataset_id,
  max(o_orderkey) AS payload, o_orderdate AS updated_at FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'
  GROUP BY o_custkey, o_orderpriority, o_orderdate), n AS (SELECT * FROM u QUALIFY row_number() OVER
  (PARTITION BY user_id, dataset_id ORDER BY updated_at DESC) = 1)
 SELECT user_id, dataset_id, coalesce(u.payload, t.payload) AS payload,
  coalesce(t.created_at, u.updated_at) AS created_at, coalesce(u.updated_at, t.updated_at) AS updated_at,
- t.extra_id FROM t FULL JOIN n u USING (user_id, dataset_id)""")
+ t.extra_id FROM t FULL JOIN n u USING (user_id, dataset_id)"""
+
+
+@query("upsert_report", UPSERT_SQL)
 def upsert_report(spark, sf):
+    return catalog.upsert(_reports(spark, sf), _report_updates(spark, sf), ["user_id", "dataset_id"], keep_if_null=["extra_id"])
+
+
+def _report_updates(spark, sf):
     recent = table(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
     updates = recent.groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("dataset_id"),
                              F.col("o_orderdate").alias("updated_at")).agg(F.max("o_orderkey").alias("payload"))
-    updates = updates.withColumn("extra_id", F.lit(None).cast("string"))
-    return catalog.upsert(_reports(spark, sf), updates, ["user_id", "dataset_id"], keep_if_null=["extra_id"])
+    return updates.withColumn("extra_id", F.lit(None).cast("string"))
+
+
+@query("stored_upsert", UPSERT_SQL)
+def stored_upsert(spark, sf):
+    """The same by versions of a stored table; a second writer's version comes between the first one's work and its commit."""
+    store, updates = Stored(spark, fresh_path(spark, "stored")), _report_updates(spark, sf)
+    store.create(_reports(spark, sf), ["user_id", "dataset_id"], buckets=16)
+    rules = dict(keep_if_null=["extra_id"])
+    faster = [lambda: store.upsert(updates.where("user_id % 2 = 0"), **rules)]
+    store.upsert(updates.where("user_id % 2 = 1"), before_commit=lambda: faster and faster.pop()(), **rules)
+    return store.read()
 
 
 @query("incremental_sync", f"""WITH t AS {REPORTS_SQL}, u AS (SELECT o_custkey AS user_id,

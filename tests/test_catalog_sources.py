@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shoal.operators import annotations, catalog, forum, graph
 from shoal.session import fresh_path
 from shoal.sources import files, forum_tables, versions
+from shoal.sources.stored import Stored
 
 CAT = ("user_id string, dataset_id string, version string, name string, description string, tags array<string>, "
        "file_type string, created_at timestamp, public_link struct<dataset_id:string,version:string>, updated_at timestamp")
@@ -203,6 +204,39 @@ def test_archives_are_streams(spark, tmp_path):
         files.read_zipped_csv(spark, str(tmp_path / "bad.zip"))
 
 
+def test_stored_upserts(spark, tmp_path):
+    schema = "user_id long, name string, n long, created_at long, updated_at long"
+    store = Stored(spark, f"{tmp_path}/t")
+    with pytest.raises(ValueError):
+        store.read()
+    store.create(spark.createDataFrame([(i, f"u'{i}", 0, 1, 1) for i in range(200)], schema), ["user_id", "name"], buckets=32)
+    with pytest.raises(ValueError):
+        store.create(store.read(), ["user_id", "name"])
+
+    def change(*rows):
+        return spark.createDataFrame([(i, f"u'{i}", n, at, at) for i, n, at in rows], schema)
+
+    def values():
+        return {r["user_id"]: r["n"] for r in store.read().collect()}
+
+    def files():
+        return {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in tmp_path.rglob("part-*")}
+
+    first, before = store.version(), files()
+    assert store.upsert(change((3, 30, 5))) == 2 and values()[3] == 30 and len(values()) == 200
+    now = store.version()
+    assert sum(now.folders[b] != first.folders[b] for b in first.folders) == 1 and before.items() <= files().items()
+    assert {r["n"] for r in store.read(1).collect()} == {0}
+    # another writer comes first, with other rows, with a row of the same partition, and with the very same row
+    for mine, other in (((4, 40, 6), (5, 50, 6)), ((4, 41, 7), (4, 42, 8)), ((300, 1, 9), (301, 2, 9))):
+        waiting = [lambda: store.upsert(change(other))]
+        store.upsert(change(mine), before_commit=lambda: waiting and waiting.pop()())
+    assert values() | {3: 30, 4: 41, 5: 50, 300: 1, 301: 2} == values() and len(values()) == 202
+    assert [r["n"] for r in store.find(user_id=5, name="u'5").collect()] == [50] and store.find(user_id=5, name="x").count() == 0
+    number = store.version().number
+    assert store.upsert(change().limit(0)) == number
+
+
 def test_threads_and_references(spark):
     rows = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 99)], "answer_id long, parent_id long")
     got = {r["answer_id"]: (r["root_id"], r["depth"]) for r in forum.answer_threads(rows).collect()}
