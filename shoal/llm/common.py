@@ -152,14 +152,18 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def blocked(buckets: DataFrame, size: int = BLOCK) -> DataFrame:
+def blocked(buckets: DataFrame, size: int = BLOCK, block_bytes: int = 1 << 24) -> DataFrame:
     """``low, high, block, blocks`` added to (bucket, id, size of the bucket): the pairs of blocks a member meets in.
 
     A bucket of up to ``size`` members is one group; a larger one is cut by a hash of the ids into blocks, and each
-    pair of blocks is a group of at most about two blocks, so memory is bounded and all pairs still meet.
+    pair of blocks is a group of at most about two blocks, so memory is bounded and all pairs still meet. A column ``bytes``,
+    the bytes of all members of the bucket, also cuts buckets of more than ``block_bytes``.
     """
-    return (buckets.withColumn("blocks", F.ceil(F.col("size") / F.lit(size)).cast("int"))
+    blocks = F.ceil(F.col("size") / F.lit(size))
+    if "bytes" in buckets.columns:
+        blocks = F.greatest(blocks, F.ceil(F.col("bytes") / F.lit(block_bytes)))
+    return (buckets.withColumn("blocks", blocks.cast("int"))
             .withColumn("block", F.expr("CASE WHEN blocks = 1 THEN 0 ELSE int(pmod(xxhash64(id, bucket), blocks)) END"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-            .drop("other", "size"))
+            .drop("other", "size", "bytes"))

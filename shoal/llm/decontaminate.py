@@ -78,7 +78,7 @@ class Index(NamedTuple):
     sizes: np.ndarray  # words of each window
     hashes: np.ndarray  # of each window's words
     texts: list[tuple[bytes, ...]]
-    items: list[list]  # item ids of each window
+    numbers: np.ndarray  # of the windows, in the table of windows
 
 
 def _window_hashes(sums: np.ndarray, powers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -126,12 +126,8 @@ def _frequencies(docs: DataFrame, vocabulary: DataFrame) -> dict[bytes, int]:
 
 
 def _index(rows: list, rarity: dict[bytes, int]) -> Index:
-    by_words: dict[tuple[bytes, ...], set] = {}
     interned: dict[str, bytes] = {}
-    for row in rows:
-        key = tuple(interned.setdefault(x, x.encode()) for x in row.words)
-        by_words.setdefault(key, set()).add(row.item_id)
-    texts = list(by_words)
+    texts = [tuple(interned.setdefault(x, x.encode()) for x in row.words) for row in rows]
     rarest = [min(range(len(w)), key=lambda i: (rarity.get(w[i], 0), w[i])) for w in texts]
     tokens = [w[i] for w, i in zip(texts, rarest)]
     slots = Vocabulary(tokens).keys.searchsorted(_keys_of(tokens)) if tokens else np.zeros(0, np.int64)
@@ -144,7 +140,7 @@ def _index(rows: list, rarity: dict[bytes, int]) -> Index:
         hashes = _window_hashes(sums, back, ends - sizes, ends)
     n_slots = int(slots.max()) + 1 if len(slots) else 0
     return Index(tokens, np.searchsorted(slots[order], np.arange(n_slots + 1)), order,
-                 np.array(rarest, np.int64)[order], sizes, hashes, texts, [sorted(by_words[w], key=int) for w in texts])
+                 np.array(rarest, np.int64)[order], sizes, hashes, texts, np.array([row.number for row in rows], np.int64))
 
 
 def _matches(index: Index, known: Vocabulary, data, starts, ends, first) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +182,7 @@ def _covered(index: Index, known: Vocabulary, texts: pa.Array):
 
 
 def _finder(shared, key: str):
-    """For each row: its words, the covered runs of words (start, end, start, end, ...) and the items found."""
+    """For each row: its words, the covered runs of words (start, end, start, end, ...) and the numbers of the windows found."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         known = Vocabulary(index.tokens)
@@ -199,20 +195,19 @@ def _finder(shared, key: str):
             run_starts, run_ends = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after) + 1
             bounds = np.searchsorted(run_starts, first)
             base = np.repeat(first[:-1], np.diff(bounds))
-            items: list[set] = [set() for _ in range(batch.num_rows)]
             row = np.searchsorted(first, begin, "right") - 1
-            for r, w in np.unique(np.stack([row, window], 1), axis=0).tolist():
-                items[r].update(index.items[w])
+            met = np.unique(np.stack([row, index.numbers[window]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([
                 batch[key], pa.array(np.diff(first), pa.int64()),
                 pa.ListArray.from_arrays(pa.array(bounds * 2, pa.int32()), pa.array(
                     np.stack([run_starts - base, run_ends - base], 1).ravel(), pa.int64())),
-                pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], [key, "n_words", "runs", "items"])
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(met[:, 0], np.arange(batch.num_rows + 1)), pa.int32()),
+                                         pa.array(met[:, 1], pa.int64()))], [key, "n_words", "runs", "windows"])
     return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs and items of all passes put together."""
+    """Runs and windows of all passes put together."""
     for batch in batches:
         runs = []
         for found in batch["all_runs"].to_pylist():
@@ -224,8 +219,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out += [start, end]
             runs.append(out)
         yield pa.RecordBatch.from_arrays(
-            [batch["digest"], batch["n_words"], pa.array(runs, pa.list_(pa.int64())), batch["items"]],
-            ["digest", "n_words", "runs", "items"])
+            [batch["digest"], batch["n_words"], pa.array(runs, pa.list_(pa.int64())), batch["windows"]],
+            ["digest", "n_words", "runs", "windows"])
 
 
 #: Words in the runs.
@@ -237,27 +232,40 @@ def _digest(text: str):
 
 
 def _by_text(keyed: DataFrame, indexes: list) -> DataFrame:
-    """Runs and items of each distinct text over all passes."""
-    schema = "digest string, n_words long, runs array<long>, items array<long>"
+    """Runs and windows of each distinct text over all passes."""
+    schema = "digest string, n_words long, runs array<long>, windows array<long>"
     texts = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     found = texts.mapInArrow(_finder(indexes[0], "digest"), schema)
     for index in indexes[1:]:
         found = found.union(texts.mapInArrow(_finder(index, "digest"), schema))
     return found.groupBy("digest").agg(
         F.max("n_words").alias("n_words"), F.collect_list("runs").alias("all_runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).mapInArrow(_merged, schema)
+        F.array_sort(F.flatten(F.collect_list("windows"))).alias("windows")).mapInArrow(_merged, schema)
 
 
-def _indexes(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, size: int, pass_windows: int) -> list:
-    """One broadcast index for each pass."""
-    windows = materialize(item_windows(benchmark, item_col, item_text_col, size), "windows")
-    pieces = max(1, -(-windows.select("words").distinct().count() // pass_windows))
+def _indexes(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, size: int,
+             pass_windows: int) -> tuple[list, DataFrame]:
+    """One broadcast index for each pass, and the table of ``number, item_id`` of the windows.
+
+    An index holds each distinct window once, by a number; which items have it, and how many, is only in the table."""
+    pairs = materialize(item_windows(benchmark, item_col, item_text_col, size), "pairs")
+    kinds = materialize(pairs.select("words").distinct().withColumn("number", F.monotonically_increasing_id()), "windows")
+    pieces = max(1, -(-kinds.count() // pass_windows))
     indexes = []
     for piece in range(pieces):
-        part = windows.where(F.pmod(F.xxhash64("words"), F.lit(pieces)) == piece)
+        part = kinds.where(F.pmod(F.xxhash64("words"), F.lit(pieces)) == piece)
         rarity = _frequencies(rows, part.select(F.explode("words").alias("word")).distinct())
         indexes.append(rows.sparkSession.sparkContext.broadcast(_index(part.collect(), rarity)))
-    return indexes
+    return indexes, pairs.join(kinds, "words").select("number", "item_id")
+
+
+def _with_items(found: DataFrame, carriers: DataFrame) -> DataFrame:
+    """``items`` in place of ``windows``: looked up once for every distinct list of windows."""
+    found = materialize(found.withColumn("met", F.when(F.size("windows") > 0, F.sha2(F.array_join("windows", ","), 256))), "found")
+    lists = found.where("met IS NOT NULL").groupBy("met").agg(F.first("windows").alias("windows"))
+    items = lists.select("met", F.explode("windows").alias("number")).join(carriers, "number").select("met", "item_id").distinct()
+    items = items.groupBy("met").agg(F.array_sort(F.collect_list(F.col("item_id").cast("long"))).alias("items"))
+    return found.join(items, "met", "left").withColumn("items", F.coalesce("items", F.array().cast("array<long>"))).drop("met", "windows")
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -273,21 +281,22 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     ``runs`` are the covered runs of words (start, end, start, end, ...), ``n_hit`` their words, ``items`` the sorted ids
     of items with an occurring window. Item ids are integers. At most about ``pass_windows`` windows are broadcast
-    at once; a larger benchmark is cut by a hash and joined in several passes, whose runs are united by text.
+    at once, each once however many items have it; a larger benchmark is cut by a hash and joined in several passes, whose
+    runs are united by text. Items are joined to the windows found by a table, once for every distinct list of windows.
 
     Null and empty texts have no words. Items without words or id find nothing; equal windows of several items count
     for each; repeated rows of either table change nothing but the number of rows. Other columns are not read.
     """
     rows = only(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    indexes = _indexes(rows, benchmark, item_col, item_text_col, size, pass_windows)
+    indexes, carriers = _indexes(rows, benchmark, item_col, item_text_col, size, pass_windows)
     if len(indexes) == 1:
         found = rows.mapInArrow(_finder(indexes[0], "doc_id"),
-                                f"doc_id {kind}, n_words long, runs array<long>, items array<long>")
+                                f"doc_id {kind}, n_words long, runs array<long>, windows array<long>")
     else:
         keyed = rows.withColumn("digest", _digest("text"))
         found = keyed.select("doc_id", "digest").join(_by_text(keyed, indexes), "digest").drop("digest")
-    return found.withColumn("n_hit", F.expr(_N_HIT))
+    return _with_items(found, carriers).withColumn("n_hit", F.expr(_N_HIT))
 
 
 def contaminated(n_hit, n_words):
@@ -300,7 +309,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     """``docs`` without contaminated rows, all columns as they are; by the index of ``find_passages``, applied where the
     rows are read (with several passes: by the digests of contaminated texts)."""
     rows = only(docs, text=text_col)
-    indexes = _indexes(rows, benchmark, item_col, item_text_col, size, pass_windows)
+    indexes, _ = _indexes(rows, benchmark, item_col, item_text_col, size, pass_windows)
     if len(indexes) > 1:
         found = _by_text(rows.withColumn("digest", _digest("text")), indexes)
         bad = found.where(contaminated(F.expr(_N_HIT), F.col("n_words"))).select(F.col("digest").alias("__digest"))

@@ -153,13 +153,14 @@ def _verifier(percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
-                    percent: int = 80, values: int = 128, block: int = BLOCK) -> DataFrame:
+                    percent: int = 80, values: int = 128, block: int = BLOCK, block_bytes: int = 1 << 24) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; ids are integers.
 
     Rows with equal shingle sets are one class from the start (a digest of the set, aggregated before the shuffle), so a
     text with millions of copies is one candidate. Classes that share a band of their signature meet in a bucket;
     buckets with the same members are looked at once; the full sets are compared there, with no other filter, and only
-    a spanning forest of the links leaves the task. Buckets larger than a block are spread over pairs of blocks.
+    a spanning forest of the links leaves the task. Buckets larger than a block, by members or by the bytes of their
+    sets, are spread over pairs of blocks.
     Sets are compared as sets of 64-bit hashes of the shingles. With ``values`` slots, a pair exactly at the threshold
     is missed with a probability of at most 1e-4 (see ``bands_for``), less above it.
 
@@ -171,18 +172,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(texts.mapInArrow(_signer(shingle_words, bands, rows), "id long, n long, key binary, bands array<long>"),
                          "signatures")
     classes = materialize(signed.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(
-        F.min("id").alias("id"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("id", "key", F.explode("bands").alias("bucket"))
+        F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    banded = classes.select("id", "key", "n", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.sum(F.xxhash64("id", "key").cast("decimal(20)")).alias("total"),
+        F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes"), F.sum(F.xxhash64("id", "key").cast("decimal(20)")).alias("total"),
         F.bit_xor(F.xxhash64("key", "id")).alias("mixed")).where("size > 1")
-    buckets = materialize(buckets.groupBy("size", "total", "mixed").agg(F.min("bucket").alias("bucket")).select("bucket", "size"),
-                          "buckets")
-    members = materialize(banded.join(buckets, "bucket"), "members")
+    buckets = materialize(buckets.groupBy("size", "bytes", "total", "mixed").agg(F.min("bucket").alias("bucket")).select(
+        "bucket", "size", "bytes"), "buckets")
+    members = materialize(banded.drop("n").join(buckets, "bucket"), "members")
     needed = members.select("id").distinct()
     sets = texts.join(needed, "id").mapInArrow(_set_builder(shingle_words), "id long, key binary, members binary").dropDuplicates(
         ["id", "key"])
-    groups = blocked(members.join(sets, ["id", "key"]), block).select("bucket", "low", "high", "block", "id", "members")
+    groups = blocked(members.join(sets, ["id", "key"]), block, block_bytes).select("bucket", "low", "high", "block", "id", "members")
     edges = materialize(groups.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
                         .mapInArrow(_verifier(percent), "a long, b long").distinct(), "links")
     components = materialize(connected_components(edges, "a", "b"), "components")

@@ -352,6 +352,20 @@ def test_passages(spark):
     assert decontaminate.find_passages(documents(spark, []), bench).count() == 0
 
 
+def test_window_of_very_many_items(spark):
+    """What is broadcast holds a window once, and items are looked up once for all documents with the same windows."""
+    passage = " ".join(f"w{i}" for i in range(14))
+    bench = spark.range(30_000).selectExpr("id AS item_id", f"IF(id % 3 = 0, '{passage}', '{passage} more') AS text")
+    docs = spark.range(500).selectExpr("id AS doc_id", f"IF(id % 5 = 0, 'x {passage} more', IF(id % 5 = 1, '{passage}', 'none')) AS text")
+    indexes, carriers = decontaminate._indexes(docs, bench, "item_id", "text", 13, 200_000)
+    assert len(indexes[0].value.texts) == 3 and carriers.count() == 2 * 30_000 + 20_000
+    found = decontaminate.find_passages(docs, bench).selectExpr(
+        "doc_id % 5 AS k", "n_hit", "size(items) AS n", "md5(array_join(items, ',')) AS h").distinct().collect()
+    every = hashlib.md5(",".join(map(str, range(30_000))).encode()).hexdigest()
+    none = hashlib.md5(b"").hexdigest()
+    assert {tuple(r) for r in found} == {(0, 15, 30_000, every), (1, 14, 30_000, every), *((k, 0, 0, none) for k in (2, 3, 4))}
+
+
 # ---- 8
 
 def test_super_minhash_equals_one_by_one():
@@ -392,8 +406,8 @@ def near_texts():
     return rows
 
 
-@pytest.mark.parametrize("size, percent, block", [(3, 85, 1024), (5, 80, 4)])
-def test_near_duplicates(spark, size, percent, block):
+@pytest.mark.parametrize("size, percent, block, block_bytes", [(3, 85, 1024, 1 << 24), (5, 80, 4, 1 << 24), (3, 85, 1024, 3000)])
+def test_near_duplicates(spark, size, percent, block, block_bytes):
     rows = near_texts()
 
     def shingles(text):
@@ -407,7 +421,8 @@ def test_near_duplicates(spark, size, percent, block):
     for _ in ids:
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
-    out = minhash.near_duplicates(documents(spark, rows), shingle_words=size, percent=percent, block=block).collect()
+    out = minhash.near_duplicates(documents(spark, rows), shingle_words=size, percent=percent, block=block,
+                                  block_bytes=block_bytes).collect()
     assert len(out) == len(rows)
     counts = {}
     for i, s in sets:
