@@ -256,9 +256,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.count("*").alias("size")).where("size > 1"), "groups")
     contexts = involved.where("size(members) > 0").mapInArrow(
         _contexts(length), "key binary, bucket long, id long, first int, context binary").join(members, "bucket")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is sorting: not to be dealt by bytes
     sorted_runs = materialize(
         blocked(contexts, block).select("bucket", "low", "high", "block", "blocks", "key", "first", "context")
-        .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+        .repartition(tasks, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
         .mapInArrow(_sorter(length), "key binary, start int, stop int"), "sorted")
     more = sorted_runs.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("more"))
     cut = materialize(
