@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "bucket", "size", "bytes"), "buckets")
     members = materialize(banded.drop("n").join(buckets, "bucket"), "members")
     needed = members.select("id").distinct()
-    sets = texts.join(needed, "id").mapInArrow(_set_builder(shingle_words), "id long, key binary, members binary").dropDuplicates(
+    # sent by id at every size: a broadcast of the ids, which grow with the input, would only do for small tables
+    sets = texts.join(needed.hint("merge"), "id").mapInArrow(_set_builder(shingle_words), "id long, key binary, members binary").dropDuplicates(
         ["id", "key"])
     groups = blocked(members.join(sets, ["id", "key"]), block, block_bytes).select("bucket", "low", "high", "block", "id", "members")
     edges = materialize(groups.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
