@@ -179,16 +179,16 @@ def fit_encode(train: DataFrame, state: MitigationState) -> DataFrame:
         n = stats[c]["distinct_values"] if c in stats else 0
         kind = state.kinds[c]
         if kind == "text":
-            state.log.append((c, "encoding_skipped", "keep_text", str(n), "kept as raw text"))
+            state.log.append((c, "encoding_skipped", "keep_text", str(n), "stays text"))
         elif kind == "boolean":
             if stats[c]["invalid_rows"]:
                 state.log.append((c, "invalid_boolean_cleaned", "coerce_to_bool",
-                                  f"{stats[c]['invalid_rows']} invalid value(s)", "replaced with column mode then bool"))
-            state.log.append((c, "encoding_skipped", "keep_boolean", "boolean-like", "kept as bool"))
+                                  f"{stats[c]['invalid_rows']} invalid value(s)", "the most frequent value in their place"))
+            state.log.append((c, "encoding_skipped", "keep_boolean", "boolean-like", "stays true or false"))
         elif kind == "one-hot":
-            state.log.append((c, "encoding", "one-hot", str(n), f"{len(state.categories[c])} binary columns"))
+            state.log.append((c, "encoding", "one-hot", str(n), f"a column for each of {len(state.categories[c])} values"))
         else:
-            state.log.append((c, "encoding", "label_encoding", str(n), f"integers from 0 to {n - 1}"))
+            state.log.append((c, "encoding", "label_encoding", str(n), f"numbered 0 to {n - 1}"))
     return apply_encode(train, state)
 
 
@@ -352,7 +352,7 @@ def smote_gate(df: DataFrame, target: str, task: str = "classification") -> Data
     shown = ", ".join(other[:5]) + ("..." if len(other) > 5 else "")
     reason = (
         F.when(F.lit(task != "classification"), "target not discrete classification labels")
-        .when(F.lit(bool(other)), f"non-numeric features present: {shown}")
+        .when(F.lit(bool(other)), f"columns that are not numbers: {shown}")
         .when(F.col("classes") > SMOTE_CLASSES, F.concat(F.lit("too many classes: "), "classes"))
         .when(~((ratio < SMOTE_RATIO) & (F.col("smallest") >= 2)),
               F.concat(F.lit("imbalance_ratio="), F.round(ratio, 3), F.lit(", min_class="), "smallest"))
@@ -498,7 +498,7 @@ def fit(train: DataFrame, target: str | None = None, had_duplicates: bool | None
     df = fit_fill(nan_to_null(train), state)
     copies = duplicate_rows(df).first()["duplicate_rows"] if had_duplicates is None else int(had_duplicates)
     if copies:
-        state.log.append(("all", "duplicate_removal", "drop_duplicates", f"{copies} duplicates", "duplicates removed"))
+        state.log.append(("all", "duplicate_removal", "drop_duplicates", f"{copies} duplicates", "one row of each kind stays"))
     df = materialize(drop_duplicates(df, bool(copies)), "train")
     df = fit_encode(df, state)
     kind = infer_task(df, target).first()
