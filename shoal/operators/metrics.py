@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from shoal.functions.columns import NUMERIC, col
 from shoal.operators.ordering import block_totals, row_index
+from shoal.session import materialize
 
 # Beyond this rank Spark's window group limit no longer applies (spark.sql.optimizer.windowGroupLimitThreshold).
 RANK_LIMIT = 1_000
@@ -48,9 +49,9 @@ def error_signal(
 def nearest_class_label(df: DataFrame, y_true: str, y_pred: str, into: str = "y_pred_label") -> DataFrame:
     """Fractional predictions as the nearest numeric class (ties to the smaller), rounded if classes are text.
 
-    Distinct classes and distinct guesses are cut into at most ``RANGES`` ranges by quantiles of the classes. Inside a
-    range the class before and after each guess is found by a window; where there is none, the next range's
-    border counts. Classes may be of any number, and no row is compared with more than two.
+    Distinct classes and distinct guesses together are cut into at most ``RANGES`` ranges of similar size, however few
+    the classes are. Inside a range the class before and after each guess is found by a window; where there is none,
+    the class of the nearest range that has one counts. No row is compared with more than two classes.
     """
     found = df.where(col(y_true).isNotNull()).select(col(y_true).cast("string").alias("c")).distinct()
     value = F.col("c").try_cast("double")
@@ -61,17 +62,19 @@ def nearest_class_label(df: DataFrame, y_true: str, y_pred: str, into: str = "y_
     if not kinds["n"]:
         return df.withColumn(into, F.lit(None).cast("string"))
     classes = found.select(value.alias("v")).distinct()
-    cuts = sorted(set(classes.approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.1 / RANGES)))
+    guesses = df.where(guess.isNotNull() & ~F.isnan(guess)).select(guess.alias("v")).distinct()
+    points = materialize(classes.withColumn("k", F.col("v")).unionByName(
+        guesses.withColumn("k", F.lit(None).cast("double"))), "points")
+    cuts = sorted(set(points.approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.1 / RANGES)))
     cuts_ = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
     cut = F.size(F.filter(cuts_, lambda c: c <= F.col("v")))
-    guesses = df.where(guess.isNotNull() & ~F.isnan(guess)).select(guess.alias("v")).distinct()
-    points = classes.withColumn("k", F.col("v")).unionByName(guesses.withColumn("k", F.lit(None).cast("double")))
     points = points.withColumn("r", cut)
     inside = Window.partitionBy("r").orderBy("v")
     near = points.withColumns({
         "low": F.last("k", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
         "high": F.first("k", ignorenulls=True).over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
-    ranges = classes.groupBy(cut.alias("r")).agg(F.min("v").alias("first"), F.max("v").alias("last")).collect()  # RANGES rows
+    ranges = points.where("k is not null").groupBy("r").agg(
+        F.min("v").alias("first"), F.max("v").alias("last")).collect()  # RANGES rows
     ends = {row["r"]: row for row in ranges}
     borders, last = [], None
     for r in range(len(cuts) + 1):

@@ -17,9 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoal.functions.columns import col
 from shoal.session import materialize
 
 _LOCAL_MASK = (1 << 33) - 1
+# Sketches per job: wider aggregates leave whole-stage code generation.
+COLUMNS_PER_JOB = 25
+# Values that the quantiles of all columns may bring to the driver together.
+FETCHED = 1_000_000
 
 
 def _as_columns(names: Sequence[str | Column]) -> list[Column]:
@@ -210,108 +215,152 @@ def exact_quantiles(
     keep: int = 10_000,
     accuracy: int = 10_000,
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles, exact at any size.
+    """Linear-interpolation quantiles, exact at any size; NaN counts as missing.
 
-    A sketch brackets each order statistic, the bracket is sketched again, and once at most ``keep`` rows
-    are inside they are fetched. Each pass is one aggregate and no rows are shuffled.
+    A sketch brackets each order statistic. One pass over all columns then counts the values between the ends of
+    the brackets and brings those of brackets that can hold at most ``keep`` rows (fewer with very many columns, so
+    that the driver's share is bounded); wider brackets are sketched again. No rows are shuffled.
     """
-    if not columns:
-        return {}
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    counted = values.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = [counted[f"n{i}"] for i in range(len(columns))]
-
-    ranks: dict[tuple[str, int], None] = {}
-    for c, n in zip(columns, sizes):
+    columns = list(columns)
+    numbers = df.select(*[
+        F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    share = max(20, min(keep, FETCHED // max(1, len(columns) * len(probabilities))))
+    slack = 3.0 / accuracy
+    ends = [(max(0.0, p - slack), min(1.0, p + slack)) for p in probabilities]
+    points = F.array(*[F.lit(x) for pair in ends for x in pair])
+    sizes, brackets = [], {}  # (column, rank) -> (low, high, rows that the bracket was sketched from)
+    for part in _parts(range(len(columns)), COLUMNS_PER_JOB):
+        row = numbers.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in part], *[
+            F.percentile_approx(f"c{i}", points, accuracy).alias(f"s{i}") for i in part]).first()
+        for i in part:
+            n, sketch = row[f"n{i}"], row[f"s{i}"]
+            sizes.append(n)
+            for j, p in enumerate(probabilities if n else ()):
+                for rank in _neighbours(n, p):
+                    brackets[(i, rank)] = (None, None, 0) if n <= share else (sketch[2 * j], sketch[2 * j + 1], n)
+    found = _order_statistics(numbers, brackets, share, accuracy)
+    out: dict[str, list[float | None]] = {c: [] for c in columns}
+    for i, c in enumerate(columns):
         for p in probabilities:
-            if n:
-                position = (n - 1) * p
-                ranks[(c, int(position))] = None
-                ranks[(c, min(int(position) + 1, n - 1))] = None
-    order_stats = _order_statistics(values, list(ranks), dict(zip(columns, sizes)), keep, accuracy)
-    out = {}
-    for c, n in zip(columns, sizes):
-        out[c] = []
-        for p in probabilities:
-            if not n:
+            if not sizes[i]:
                 out[c].append(None)
                 continue
-            position = (n - 1) * p
-            low, part = int(position), (n - 1) * p - int(position)
-            a, b = order_stats[(c, low)], order_stats[(c, min(low + 1, n - 1))]
-            out[c].append(a if part == 0 else a * (1 - part) + b * part)
+            low, high = _neighbours(sizes[i], p)
+            part = (sizes[i] - 1) * p - low
+            out[c].append(found[(i, low)] if part == 0 else found[(i, low)] * (1 - part) + found[(i, high)] * part)
     return out
 
 
-def _order_statistics(values, targets, sizes, keep, accuracy):
-    """Value at each (column, rank) by narrowing open brackets (low, high) around it."""
-    found: dict[tuple[str, int], float] = {}
-    # target -> (low, high, rows at or below low, rows inside); None means unbounded
-    open_brackets = {t: (None, None, 0, sizes[t[0]]) for t in targets}
-    while open_brackets:
-        small = {t: b for t, b in open_brackets.items() if b[3] <= keep}
-        if small:  # one fetch for all of them
-            tags = F.explode(F.array_compact(F.array(*[
-                F.when(_inside(F.col(f"`{t[0]}`"), low, high), F.struct(F.lit(i).alias("i"), F.col(f"`{t[0]}`").alias("v")))
-                for i, (t, (low, high, *_)) in enumerate(small.items())])))
-            fetched: dict[int, list] = {}
-            for r in values.select(tags.alias("x")).groupBy("x.i", "x.v").count().collect():
-                fetched.setdefault(r["i"], []).append((r["v"], r["count"]))
-            for i, (t, (_, _, seen, _)) in enumerate(small.items()):
-                for v, n in sorted(fetched[i]):
-                    seen += n
-                    if seen > t[1]:
-                        found[t] = v
+def _neighbours(n: int, p: float) -> tuple[int, int]:
+    """The ranks between which the quantile lies."""
+    low = int((n - 1) * p)
+    return low, min(low + 1, n - 1)
+
+
+def _parts(items: Sequence, size: int) -> Iterator[Sequence]:
+    for start in range(0, len(items), size):
+        yield items[start : start + size]
+
+
+def _order_statistics(numbers: DataFrame, brackets: dict, share: int, accuracy: int) -> dict[tuple[int, int], float]:
+    """Value at each (column, rank).
+
+    The ends of a column's brackets cut its values into zones: 2j lies below the j-th end, 2j + 1 is the end itself.
+    """
+    found: dict[tuple[int, int], float] = {}
+    while brackets:
+        edges: dict[int, list[float]] = {}
+        for (i, _), (low, high, _) in brackets.items():
+            edges.setdefault(i, []).extend(e for e in (low, high) if e is not None)
+        edges = {i: sorted(set(e)) for i, e in edges.items()}
+        wanted: dict[int, set[int]] = {i: set() for i in edges}
+        for (i, _), (low, high, rows) in brackets.items():
+            if 8 * rows <= share * accuracy:  # both ends are off by 4 / accuracy at most: slack and the sketch's error
+                first = 0 if low is None else 2 * edges[i].index(low) + 2
+                last = 2 * len(edges[i]) if high is None else 2 * edges[i].index(high)
+                wanted[i].update(range(first, last + 1, 2))
+        counts: dict[int, dict[int, int]] = {i: {} for i in edges}
+        values: dict[tuple[int, int], list] = {}
+        at = list(edges)
+        zones = numbers.select(*[f"c{i}" for i in at]).mapInArrow(
+            _zone_counts(at, [np.array(edges[i]) for i in at], [sorted(wanted[i]) for i in at]),
+            "c int, zone int, v double, n long")
+        for i, zone, v, n in zones.groupBy("c", "zone", "v").agg(F.sum("n").alias("n")).collect():
+            if v is None:
+                counts[i][zone] = n
+            else:
+                values.setdefault((i, zone), []).append((v, n))
+        wide: dict[tuple, list] = {}  # targets in the same zone share its sketch
+        for i, rank in brackets:
+            before = 0
+            for zone in range(2 * len(edges[i]) + 1):
+                n = counts[i].get(zone, 0)
+                if rank < before + n:
+                    break
+                before += n
+            if zone % 2:
+                found[(i, rank)] = edges[i][zone // 2]
+            elif zone in wanted[i]:
+                for v, n in sorted(values[(i, zone)]):
+                    before += n
+                    if rank < before:
+                        found[(i, rank)] = v
                         break
-        large = {t: b for t, b in open_brackets.items() if t not in small}
-        if not large:
-            return found
-        # targets that still share a bracket share its sketch
-        shared: dict[tuple, list] = {}
-        for t, (low, high, before, inside) in large.items():
-            share, slack = (t[1] - before + 0.5) / inside, 2.0 / accuracy
-            shared.setdefault((t[0], low, high), []).append((t, max(0.0, share - slack), min(1.0, share + slack)))
-        sketches = []
-        for i, ((c, low, high), group) in enumerate(shared.items()):
-            points = [F.lit(p) for _, *ends in group for p in ends]
-            inside = F.when(_inside(F.col(f"`{c}`"), low, high), F.col(f"`{c}`"))
-            sketches.append(F.percentile_approx(inside, F.array(*points), accuracy).alias(f"s{i}"))
-        row = values.agg(*sketches).first()
-        guess = {}
-        for i, group in enumerate(shared.values()):
-            for j, (t, *_) in enumerate(group):
-                guess[t] = (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
-        counts = []
-        for i, t in enumerate(large):
-            c, (a, b) = F.col(f"`{t[0]}`"), guess[t]
-            for j, test in enumerate((c < a, c <= a, c < b, c <= b)):
-                counts.append(F.count_if(test).alias(f"c{i}_{j}"))
-        got = values.agg(*counts).first()
-        open_brackets = {}
-        for i, (t, (low, high, before, inside)) in enumerate(large.items()):
-            a, b = guess[t]
-            lt_a, le_a, lt_b, le_b = (got[f"c{i}_{j}"] for j in range(4))
-            rank = t[1]
-            if rank < lt_a:
-                open_brackets[t] = (low, a, before, lt_a - before)
-            elif rank < le_a:
-                found[t] = a
-            elif rank < lt_b:
-                open_brackets[t] = (a, b, le_a, lt_b - le_a)
-            elif rank < le_b:
-                found[t] = b
             else:
-                open_brackets[t] = (b, high, le_b, before + inside - le_b)
+                low = edges[i][zone // 2 - 1] if zone else None
+                high = edges[i][zone // 2] if zone < 2 * len(edges[i]) else None
+                wide.setdefault((i, low, high, n), []).append((rank, (rank - before + 0.5) / n))
+        brackets = {}
+        for part in _parts([*wide.items()], COLUMNS_PER_JOB):
+            brackets |= _narrowed(numbers, part, share, accuracy)
     return found
 
 
-def _inside(c: Column, low, high) -> Column:
-    test = c.isNotNull()
-    if low is not None:
-        test = test & (c > F.lit(low))
-    if high is not None:
-        test = test & (c < F.lit(high))
-    return test
+def _narrowed(numbers: DataFrame, wide: Sequence, share: int, accuracy: int) -> dict:
+    """Closer brackets around ranks from a sketch of the values inside the present ones."""
+    slack, sketches, out = 3.0 / accuracy, [], {}
+    for k, ((i, low, high, _), ranks) in enumerate(wide):
+        inside = F.col(f"c{i}").isNotNull()
+        if low is not None:
+            inside = inside & (F.col(f"c{i}") > F.lit(low))
+        if high is not None:
+            inside = inside & (F.col(f"c{i}") < F.lit(high))
+        points = [F.lit(x) for _, at in ranks for x in (max(0.0, at - slack), min(1.0, at + slack))]
+        sketches.append(F.percentile_approx(F.when(inside, F.col(f"c{i}")), F.array(*points), accuracy).alias(f"s{k}"))
+    row = numbers.agg(*sketches).first()
+    for k, ((i, low, high, n), ranks) in enumerate(wide):
+        for j, (rank, _) in enumerate(ranks):
+            out[(i, rank)] = (low, high, 0) if n <= share else (row[f"s{k}"][2 * j], row[f"s{k}"][2 * j + 1], n)
+    return out
+
+
+def _zone_counts(at: Sequence[int], edges: Sequence[np.ndarray], wanted: Sequence[Sequence[int]]):
+    """Rows per column and zone of a task (``v`` null), and the different values of the wanted zones per batch."""
+
+    def rows(i, zone, v, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(n), i), pa.int32()), pa.array(zone, pa.int32()),
+             pa.nulls(len(n), pa.float64()) if v is None else pa.array(v, pa.float64()), pa.array(n, pa.int64())],
+            ["c", "zone", "v", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(2 * len(e) + 1, np.int64) for e in edges]
+        for batch in batches:
+            for k, column in enumerate(batch.columns):
+                x = column.drop_null().to_numpy(zero_copy_only=False)
+                zone = np.searchsorted(edges[k], x, "left") + np.searchsorted(edges[k], x, "right")
+                totals[k] += np.bincount(zone, minlength=len(totals[k]))
+                if wanted[k]:
+                    held = np.isin(zone, wanted[k])
+                    v, first, n = np.unique(x[held], return_index=True, return_counts=True)
+                    if len(v):
+                        yield rows(at[k], zone[held][first], v, n)
+        for k, total in enumerate(totals):
+            zone = np.flatnonzero(total)
+            if len(zone):
+                yield rows(at[k], zone, None, total[zone])
+
+    return run
 
 
 def _block_offsets(df: DataFrame, keys: Sequence[str], index: str, sums: dict[str, Column], block: int) -> DataFrame:

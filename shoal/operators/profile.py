@@ -16,6 +16,9 @@ from shoal.operators.ordering import exact_quantiles
 # Aggregates per job: wider ones leave whole-stage code generation.
 AGGREGATES_PER_JOB = 100
 
+#: Moments by name and the three quartiles, per column.
+NumericStats = tuple[dict[str, dict[str, float | None]], dict[str, list[float | None]]]
+
 
 def schema_profile(df: DataFrame) -> DataFrame:
     """Name, type and position of each column with the row count."""
@@ -89,12 +92,18 @@ def _quartiles(df: DataFrame, columns: Sequence[str], approx: bool) -> dict[str,
     return {c: got[f"q{i}"] or [None] * 3 for i, c in enumerate(columns)}
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """count, mean, std, min, quartiles (linear interpolation) and max per numeric column."""
+def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> NumericStats:
+    """Moments and quartiles per numeric column, to be shared by the reports made of them."""
     df = nan_to_null(df)
     columns = list(columns or numeric_columns(df))
     df = df.select(*[col(c) for c in columns])
-    stats, quartiles = column_moments(df, columns), _quartiles(df, columns, approx)
+    return column_moments(df, columns), _quartiles(df, columns, approx)
+
+
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
+                     stats: NumericStats | None = None) -> DataFrame:
+    """count, mean, std, min, quartiles (linear interpolation) and max per numeric column."""
+    stats, quartiles = stats or numeric_stats(df, columns, approx)
     rows = [
         (c, s["count"], s["mean"], s["std"], s["min"], *quartiles[c], s["max"]) for c, s in stats.items()
     ]
@@ -206,12 +215,10 @@ def _pair_sums(centre: Sequence[float]):
     return run
 
 
-def distribution_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def distribution_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
+                       stats: NumericStats | None = None) -> DataFrame:
     """mean, median, std, min, max and bias-corrected skew and excess kurtosis of non-empty columns."""
-    df = nan_to_null(df)
-    columns = list(columns or numeric_columns(df))
-    df = df.select(*[col(c) for c in columns])
-    stats, quartiles = column_moments(df, columns), _quartiles(df, columns, approx)
+    stats, quartiles = stats or numeric_stats(df, columns, approx)
     rows = [
         (c, s["mean"], quartiles[c][1], s["std"], s["min"], s["max"], s["skew"], s["kurtosis"])
         for c, s in stats.items() if s["count"]
@@ -222,12 +229,13 @@ def distribution_stats(df: DataFrame, columns: Sequence[str] | None = None, appr
     )
 
 
-def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
+                 stats: NumericStats | None = None) -> DataFrame:
     """Rows outside 1.5 interquartile ranges; the percentage (0 to 100) is of all rows."""
     df = nan_to_null(df)
     columns = list(columns or numeric_columns(df))
     df = df.select(*[col(c) for c in columns])
-    quartiles = _quartiles(df, columns, approx)
+    quartiles = stats[1] if stats else _quartiles(df, columns, approx)
     measures: dict[str, Column] = {"rows": F.count(F.lit(1))}
     for i, c in enumerate(columns):
         q1, _, q3 = quartiles[c]
@@ -271,21 +279,22 @@ def needs_mitigation(df: DataFrame, tags: Sequence[str] = (), is_mitigated: bool
 
 
 def profile_report(df: DataFrame, target: str | None = None) -> DataFrame:
-    """The nested report as one JSON text, assembled from the long tables above."""
+    """The nested report as one JSON text, assembled from the long tables above; moments and quartiles are taken once."""
     spark = df.sparkSession
 
     def packed(table: DataFrame, name: str) -> DataFrame:
         fields = F.struct(*[col(c) for c in table.columns])
         return table.agg(F.sort_array(F.collect_list(fields)).alias(name))
 
+    stats = numeric_stats(df)
     parts = profile_shape(df).withColumn("target_column", F.lit(target).cast("string"))
     for name, table in (
-        ("summary_statistics", describe_numeric(df)),
+        ("summary_statistics", describe_numeric(df, stats=stats)),
         ("missing_values", missing_values(df)),
         ("unique_values", unique_values(df)),
         ("correlation_matrix", correlation_matrix(df)),
-        ("distribution_statistics", distribution_stats(df)),
-        ("outlier_detection", outliers_iqr(df)),
+        ("distribution_statistics", distribution_stats(df, stats=stats)),
+        ("outlier_detection", outliers_iqr(df, stats=stats)),
         ("categorical_value_counts", top_values(df) if string_columns(df) else
          spark.createDataFrame([], "column_name string, value string, n long, rank int")),
     ):

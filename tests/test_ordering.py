@@ -61,6 +61,22 @@ def test_exact_quantiles_by_sketch(frame):
         np.testing.assert_allclose(direct[c], want, rtol=1e-12)
 
 
+def test_exact_quantiles_of_many_columns(spark):
+    """Shares of one hot value, nothing but nulls, one value, infinities, names with dots, in every way of narrowing."""
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({f"x.{i}": np.where(rng.random(3000) < i / 30, 2.0, rng.normal(size=3000)) for i in range(30)})
+    pdf["none"], pdf["one"] = np.nan, 1.5
+    pdf["wide"] = np.where(rng.random(3000) < 0.1, np.inf, rng.normal(size=3000))
+    df, probs = spark.createDataFrame(pdf).repartition(3), [0.0, 0.25, 0.5, 0.75]
+    for narrow in ({}, {"keep": 100, "accuracy": 200}):
+        got = exact_quantiles(df, list(pdf.columns), probs, **narrow)
+        for c in pdf.columns.drop("none"):
+            np.testing.assert_allclose(got[c], pdf[c].quantile(probs), rtol=1e-12)
+        assert got["none"] == [None] * 4
+    assert exact_quantiles(df.limit(0), ["one"], probs) == {"one": [None] * 4}
+    assert exact_quantiles(df, [], probs) == {}
+
+
 def test_hash_cutoffs_small_fetches(frame):
     pdf, df = frame
     hashes = sorted(hashlib.md5(f"5|{i}".encode()).hexdigest() for i in pdf["id"])
