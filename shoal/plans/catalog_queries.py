@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shoal.operators import catalog
+from shoal.operators import catalog, search
 from shoal.plans.registry import query, table
 from shoal.session import fresh_path
 from shoal.sources.stored import Stored
@@ -95,6 +95,17 @@ def search_latest(spark, sf):
     return found.select(*KEYS, "version", "file_type", "created_at")
 
 
+@query("search_latest_indexed", f"""SELECT user_id, dataset_id, version, file_type, created_at FROM (
+ SELECT * FROM {TEXTS_SQL} WHERE (regexp_matches(name, 'ertion [aeiou]n|mentoii?er', 'i') OR regexp_matches(description,
+ 'ertion [aeiou]n|mentoii?er', 'i') OR regexp_matches(dataset_id, 'ertion [aeiou]n|mentoii?er', 'i'))
+ QUALIFY row_number() OVER (PARTITION BY user_id, dataset_id ORDER BY {LATEST_ORDER}) = 1)""")
+def search_latest_indexed(spark, sf):
+    cat, keys, columns = text_catalog(spark, sf), [*KEYS, "version"], ["name", "description", "dataset_id"]
+    postings = search.trigram_postings(cat, keys, columns)
+    found = search.search_postings(cat, postings, keys, "ertion [aeiou]n|mentoii?er", columns)
+    return catalog.search_latest(found, limit=None).select(*KEYS, "version", "file_type", "created_at")
+
+
 @query("search_public", f"""SELECT user_id, dataset_id, version, updated_at FROM (SELECT *, created_at AS updated_at
  FROM {CATALOG_SQL}) WHERE is_public AND (regexp_matches(dataset_id, '^[12]-', 'i') OR
  regexp_matches(name, '^[12]-', 'i')) ORDER BY updated_at DESC, user_id, dataset_id, version LIMIT 50""")

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from shoal.functions.columns import json_clean
-from shoal.operators import profile
+from shoal.operators import profile, sketches
 from shoal.plans.registry import query, table
+from shoal.session import materialize
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -92,6 +93,28 @@ def unique_values(spark, sf):
     return profile.unique_values(sparse_lines(spark, sf))
 
 
+@query("sketched_profile", _union(SPARSE_COLUMNS, """
+SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS missing_count,
+ true AS within_bounds FROM """ + SPARSE_SQL))
+def sketched_profile(spark, sf):
+    """Sketches kept per return flag and merged: whether their figures are as close to the exact ones as stated."""
+    lines = sparse_lines(spark, sf).withColumn("part", F.col("l_returnflag"))
+    kept = materialize(sketches.version_sketches(lines, by=["part"]), "sketches")
+    about = sketches.sketched_profile(sketches.merge_sketches(kept), [0.5])
+    middle = {r["column_name"]: r["quantiles"][0] for r in about.collect() if r["quantiles"]}  # a row per column
+    ranks = lines.agg(*[F.count(c).alias(f"{c}_n") for c in middle], *[
+        F.count_if(F.col(c) < v).alias(f"{c}_below") for c, v in middle.items()], *[
+        F.count_if(F.col(c) <= v).alias(f"{c}_upto") for c, v in middle.items()]).first()
+    close = [(c, ranks[f"{c}_below"] <= 0.52 * ranks[f"{c}_n"] and ranks[f"{c}_upto"] >= 0.48 * ranks[f"{c}_n"])
+             for c in middle]
+    exact = profile.unique_values(lines.drop("part")).withColumnRenamed("distinct_count", "exact")
+    medians = spark.createDataFrame(close, "column_name string, close boolean")  # text columns have none
+    distinct_close = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.04 * F.col("exact")
+    return about.join(exact, "column_name").join(medians, "column_name", "left").select(
+        "column_name", "row_count", "missing_count",
+        (distinct_close & F.coalesce("close", F.lit(True))).alias("within_bounds"))
+
+
 DUPLICATES_SQL = """SELECT l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, count(*) AS copies
  FROM """ + SPARSE_SQL + """ GROUP BY ALL HAVING count(*) > 1"""
 
