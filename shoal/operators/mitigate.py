@@ -31,6 +31,8 @@ ONE_HOT_VALUES = 10
 SKEW_LIMIT = 0.75
 SMOTE_CLASSES, SMOTE_RATIO, SMOTE_NEIGHBORS = 8, 0.5, 5
 KS_P_VALUE = 0.01
+#: Different values that a task puts in order, on average.
+KS_ROWS = 1_000_000
 
 LogRow = tuple[str, str, str, str, str]
 LOG_SCHEMA = "column string, transformation string, method string, original_value string, modified_value string"
@@ -443,7 +445,8 @@ def ks_normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distance of each column from a normal law of its mean and deviation, with a p-value.
 
     The p-value uses half the rows as effective size: the power of a comparison with a normal sample of
-    the same size, without drawing one.
+    the same size, without drawing one. Equal values are counted before they are put in order: only the first and
+    the last of them can be farthest from the law, and no task gets all rows of a frequent value.
     """
     schema = "column_name string, statistic double, p_value double, differs boolean"
     stats = column_moments(df.select(*[col(c) for c in columns]), columns) if columns else {}
@@ -451,20 +454,23 @@ def ks_normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     gaps = {}
     if good:
         cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("v")) for i, c in enumerate(good)]))
-        placed = row_index(df.select(cells.alias("x")).select("x.*").where("v is not null"), ["v"], "i", ["c"])
+        kinds = df.select(cells.alias("x")).select("x.*").where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        kinds = materialize(kinds, "values")
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(kinds.count() / KS_ROWS))
+        placed = row_index(kinds, ["v"], "i", ["c"], partitions=tasks, copies="n")
         law = np.array([[stats[c]["mean"], stats[c]["std"], stats[c]["count"]] for c in good])
 
         def gap(batches):
             most = np.zeros(len(law))
             for batch in batches:
-                c, v, i = (batch[x].to_numpy() for x in ("c", "v", "i"))
+                c, v, i, m = (batch[x].to_numpy() for x in ("c", "v", "i", "n"))
                 z = (v - law[c, 0]) / law[c, 1] / math.sqrt(2.0)
                 below = 0.5 * (1.0 + np.array([math.erf(x) for x in z.tolist()]))
                 n = law[c, 2]
-                np.maximum.at(most, c, np.maximum(np.abs((i + 1) / n - below), np.abs(i / n - below)))
+                np.maximum.at(most, c, np.maximum(np.abs((i + m) / n - below), np.abs(i / n - below)))
             yield pa.RecordBatch.from_pydict({"c": pa.array(range(len(most)), pa.int32()), "d": pa.array(most)})
 
-        gaps = dict(placed.select("c", "v", "i").mapInArrow(gap, "c int, d double").groupBy("c").agg(F.max("d")).collect())
+        gaps = dict(placed.select("c", "v", "i", "n").mapInArrow(gap, "c int, d double").groupBy("c").agg(F.max("d")).collect())
     rows = []
     for c in columns:
         d = gaps.get(good.index(c)) if c in good else None

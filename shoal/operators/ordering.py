@@ -37,21 +37,24 @@ def row_index(
     index: str = "row_index",
     keys: Sequence[str] = (),
     partitions: int | None = None,
+    copies: str | None = None,
 ) -> DataFrame:
     """Global 0-based position under ``order_by``; with ``keys`` the position inside each key.
 
     One range shuffle, written once. Rows are numbered inside their range partition and shifted by the
     number of rows in earlier partitions (one collected row per partition). With ``keys`` the rows of each run of
     equal keys are numbered where they were sorted, and only the first run of a partition is shifted, by the rows that
-    earlier partitions hold of its key (two collected rows per partition): no key is shuffled or joined again.
+    earlier partitions hold of its key (two collected rows per partition): no key is shuffled or joined again. There
+    a row may stand for as many equal ones as its column ``copies`` says, and gets the position of the first.
     """
     spark = df.sparkSession
     order = [*_as_columns(keys), *_as_columns(order_by)]
     ranged = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
     if keys:
         schema = T.StructType([*df.schema.fields, *_PLACE])
-        placed = materialize(ranged.select(*df.columns).mapInArrow(_number_runs(list(keys)), schema), "index")
-        ends = placed.where("(__run = 0 AND __loc = 0) OR __last").select(*_PLACE.names, *keys).collect()
+        placed = materialize(ranged.select(*df.columns).mapInArrow(_number_runs(list(keys), copies), schema), "index")
+        size = (F.col(copies) if copies else F.lit(1)).cast("long").alias("__size")
+        ends = placed.where("(__run = 0 AND __loc = 0) OR __last").select(*_PLACE.names, *keys, size).collect()
         shift = spark.createDataFrame(_carried(ends, list(keys)), "__part int, __shift long")
         number = F.col("__loc") + F.when(F.col("__run") == 0, F.col("__shift")).otherwise(0)
         return placed.join(F.broadcast(shift), "__part").select(*df.columns, number.alias(index))
@@ -74,8 +77,10 @@ def row_index(
 _PLACE = T.StructType().add("__part", T.IntegerType()).add("__run", T.LongType()).add("__loc", T.LongType()).add("__last", T.BooleanType())
 
 
-def _number_runs(keys: list[str]):
-    """Adds to sorted rows: partition, number of the run of equal keys, place in the run, whether it is the last row."""
+def _number_runs(keys: list[str], copies: str | None = None):
+    """Adds to sorted rows: partition, number of the run of equal keys, place in the run, whether it is the last row.
+
+    With ``copies`` a row takes as many places as that column says."""
     def differs(one: pa.Array, two: pa.Array) -> np.ndarray:
         unlike = pc.not_equal(one, two)
         if pa.types.is_floating(one.type):
@@ -93,9 +98,10 @@ def _number_runs(keys: list[str]):
                 new[1:] |= differs(column[1:], column[:-1])
                 new[0] |= before is not None and bool(differs(column[:1], before[key])[0])
             runs = np.cumsum(new) + number
-            at = np.arange(batch.num_rows)
+            size = batch[copies].to_numpy().astype(np.int64) if copies else np.ones(batch.num_rows, np.int64)
+            at = np.cumsum(size) - size
             loc = at - np.maximum.accumulate(np.where(new, at, -place))  # a run that goes on began ``place`` rows before
-            number, place = int(runs[-1]), int(loc[-1]) + 1
+            number, place = int(runs[-1]), int(loc[-1] + size[-1])
             before = {key: batch[key][-1:] for key in keys}
             if held is not None:
                 yield held
@@ -122,7 +128,7 @@ def _carried(ends: list, keys: list[str]) -> list[tuple[int, int]]:
         shift = rows if same(tuple(first[k] for k in keys), before) else 0
         shifts.append((first["__part"], shift))
         before = tuple(last[k] for k in keys)
-        rows = last["__loc"] + 1 + (shift if last["__run"] == 0 else 0)
+        rows = last["__loc"] + last["__size"] + (shift if last["__run"] == 0 else 0)
     return shifts
 
 

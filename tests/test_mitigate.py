@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoal.operators import mitigate, profile
 from shoal.operators.neighbors import exact_neighbors
+from shoal.operators.ordering import row_index
 
 
 @pytest.fixture(scope="module")
@@ -158,3 +159,27 @@ def test_ks_and_gate(spark):
     assert "too many classes" in mitigate.smote_gate(few, "t").first()["reason"]
     even = spark.createDataFrame([(1.0, i % 2) for i in range(40)], "x double, t int")
     assert "imbalance_ratio" in mitigate.smote_gate(even, "t").first()["reason"]
+
+
+def test_ks_orders_equal_values_once(spark, monkeypatch):
+    """No task sorts the rows of a frequent value: the order is taken over different values with their counts."""
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"coarse": rng.integers(0, 11, 6000) / 100.0, "fine": rng.normal(size=6000)})
+    pdf.loc[::13, "coarse"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("coarse", F.when(~F.isnan("coarse"), F.col("coarse")))
+    asked = []
+
+    def spy(rows, *args, **more):
+        asked.append((rows.where("c = 0").count(), more.get("partitions")))
+        return row_index(rows, *args, **more)
+
+    monkeypatch.setattr(mitigate, "row_index", spy)
+    monkeypatch.setattr(mitigate, "KS_ROWS", 500)
+    got = mitigate.ks_normality(df, ["coarse", "fine"]).toPandas().set_index("column_name")["statistic"]
+    assert asked == [(11, 13)]
+    for c in pdf.columns:
+        x = np.sort(pdf[c].dropna().to_numpy())
+        below = np.array([0.5 * (1 + math.erf(z / math.sqrt(2))) for z in (x - x.mean()) / x.std(ddof=1)])
+        i = np.arange(len(x))
+        want = max(np.abs((i + 1) / len(x) - below).max(), np.abs(i / len(x) - below).max())
+        assert math.isclose(got[c], want, rel_tol=1e-9)

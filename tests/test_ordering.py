@@ -50,6 +50,15 @@ def test_row_index_of_runs_over_partitions(spark, parts):
     assert row_index(df.limit(0), ["id"], "i", keys=["a"]).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_row_index_of_rows_that_stand_for_copies(spark, parts):
+    rng = np.random.default_rng(parts)
+    pdf = pd.DataFrame({"k": rng.choice(3, 300, p=[0.1, 0.8, 0.1]), "id": np.arange(300), "n": rng.integers(1, 9, 300)})
+    got = row_index(spark.createDataFrame(pdf), ["id"], "i", keys=["k"], partitions=parts, copies="n").toPandas().set_index("id")["i"]
+    want = pdf.groupby("k")["n"].cumsum() - pdf["n"]
+    assert (got.sort_index().to_numpy() == want.to_numpy()).all()
+
+
 def test_exact_quantiles_by_sketch(frame):
     pdf, df = frame
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
