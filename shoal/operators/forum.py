@@ -155,10 +155,16 @@ def upsert_votes(votes: DataFrame, incoming: DataFrame, experts: DataFrame, answ
 def check_references(
     themes: DataFrame, questions: DataFrame, answers: DataFrame, votes: DataFrame, experts: DataFrame
 ) -> DataFrame:
-    """References to rows that do not exist: (entity, entity_id, reference, missing_id)."""
+    """References to rows that do not exist: (entity, entity_id, reference, missing_id).
+
+    A task holds the ids of its share of the parents and lets the children pass by unsorted, however many refer to one
+    id. Themes are a short list, which Spark may broadcast.
+    """
 
     def dangling(child: DataFrame, entity: str, key: str, field: str, parent: DataFrame, parent_key: str) -> DataFrame:
         ids = parent.select(F.col(parent_key).alias("missing_id"))
+        if parent is not themes:
+            ids = ids.hint("shuffle_hash")
         wanted = child.where(F.col(field).isNotNull()).select(
             F.lit(entity).alias("entity"), F.col(key).cast("string").alias("entity_id"),
             F.lit(field).alias("reference"), F.col(field).alias("missing_id"))

@@ -270,3 +270,24 @@ def test_upload_events_prefer_the_split(spark):
     assert ids(catalog.duplicate_keys(cat, ["user_id", "dataset_id"]), "dataset_id", "copies") == [("d", 2)]
     for ddl in (schemas.CATALOG_MODEL, schemas.REPORT_XAI, schemas.USER_FILE, *schemas.FORUM.values()):
         assert spark.createDataFrame([], ddl).isEmpty()
+
+
+def test_references_are_checked_without_sorting_the_rows_of_an_id(spark, capsys):
+    experts = spark.createDataFrame([(1,), (2,)], "expert_id long")
+    themes = spark.createDataFrame([(1, 1), (2, 9), (3, None)], "theme_id long, expert_id long")
+    questions = spark.createDataFrame([(1, 1), (2, 7), (2, 7)], "question_id long, theme_id long")
+    answers = spark.createDataFrame([(1, 1, None), (2, 5, 1), (3, 1, 8), (3, 1, 8)], "answer_id long, question_id long, parent_id long")
+    votes = spark.createDataFrame([(f"v{i}", 1 if i else 4, 3) for i in range(50)] + [("w", None, 6)],
+                                  "vote_id string, expert_id long, answer_id long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = forum.check_references(themes, questions, answers, votes, experts)
+        got = sorted(tuple(r) for r in found.collect())
+        found.explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == [("answer", "2", "question_id", "5"), ("answer", "3", "parent_id", "8"), ("answer", "3", "parent_id", "8"),
+                   ("question", "2", "theme_id", "7"), ("question", "2", "theme_id", "7"), ("theme", "2", "expert_id", "9"),
+                   ("vote", "v0", "expert_id", "4"), ("vote", "w", "answer_id", "6")]
+    assert capsys.readouterr().out.count("SortMergeJoin") <= 1  # themes, a short list
