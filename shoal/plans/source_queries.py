@@ -6,7 +6,7 @@ from shoal.operators.split import random_split_exact
 from shoal.plans import forum_queries as forum
 from shoal.plans.registry import query, table
 from shoal.plans.split_queries import RANDOM_SQL
-from shoal.session import fresh_path
+from shoal.session import fresh_path, materialize
 from shoal.sources import events as event_source
 from shoal.sources import files, forum_tables, versions
 
@@ -261,7 +261,7 @@ def import_entities(spark, sf):
         fields = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c) if c in forum_tables.TIMES else
                   F.col(c).alias("id" if c == key else c) for c in df.columns]
         texts.append(df.select(F.to_json(F.struct(F.array(F.struct(*fields)).alias(ENTITY_OF[sheet]))).alias("value")))
-    made = forum_tables.import_json_bulk(_union(texts), as_of=None)
+    made = forum_tables.import_json_bulk(materialize(_union(texts), "bulk"), as_of=None)
     out = []
     for sheet, df in whole_forum(spark, sf).items():
         rows = made[ENTITY_OF[sheet]].select(*df.columns)

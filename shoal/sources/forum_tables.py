@@ -146,14 +146,16 @@ def import_json_bulk(texts: DataFrame, column: str = "value", as_of: datetime |
     """Entity tables from JSON objects with arrays Expert, Theme, Document, Question, Answer and Vote.
 
     ``id`` stands for the entity's key; times fall back to ``as_of`` (now), views to 0, unknown categories to
-    the last one.
+    the last one. A text is parsed only for the entities whose names it holds, plainly or perhaps by escapes.
     """
     fallback = F.lit(as_of).cast("timestamp") if as_of is not None else F.current_timestamp()
     out = {}
     for entity, (key, fields) in ENTITIES.items():
         parts = ", ".join(f"{n}: string" for n in dict.fromkeys(("id", key, *fields)))
-        rows = texts.select(F.from_json(column, f"struct<{entity}: array<struct<{parts}>>>")[entity].alias("a"))
-        rows = rows.select(F.explode("a").alias("x")).select("x.*")
+        named = F.contains(col(column), F.lit(entity)) | F.contains(col(column), F.lit("\\u"))
+        rows = texts.where(named).select(F.from_json(column, f"struct<{entity}: array<struct<{parts}>>>")[entity].alias("a"))
+        # explode would have Spark ask first whether the array is empty, which parses every text again
+        rows = rows.select(F.posexplode_outer("a").alias("at", "x")).where("at is not null").select("x.*")
         cells = [F.coalesce("id", key).try_cast("long").alias(key)]
         for n in fields:
             value = F.col(n)

@@ -290,4 +290,15 @@ def test_references_are_checked_without_sorting_the_rows_of_an_id(spark, capsys)
     assert got == [("answer", "2", "question_id", "5"), ("answer", "3", "parent_id", "8"), ("answer", "3", "parent_id", "8"),
                    ("question", "2", "theme_id", "7"), ("question", "2", "theme_id", "7"), ("theme", "2", "expert_id", "9"),
                    ("vote", "v0", "expert_id", "4"), ("vote", "w", "answer_id", "6")]
-    assert capsys.readouterr().out.count("SortMergeJoin") <= 1  # themes, a short list
+    final = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert final.count("SortMergeJoin") <= 1 and final.count("ShuffledHashJoin") == 5  # themes are a short list
+
+
+def test_bulk_json_parses_an_object_only_for_the_entities_it_names(spark, capsys):
+    rows = [('{"Expert": [{"id": 1, "bio": "a Vote"}], "Vote": [{"id": 2, "expert_id": 1}]}',), ("{'Vote': [{'id': 3}]}",),
+            ('{"V\\u006fte": [{"id": 4}]}',), ('{"Theme": [{"id": 5, "name": "x"}]}',), ("no object of a Vote",), (None,)]
+    made = forum_tables.import_json_bulk(spark.createDataFrame(rows, "value string"), as_of=datetime(2024, 1, 1))
+    assert sorted(r["vote_id"] for r in made["Vote"].collect()) == [2, 3, 4]
+    assert [r["expert_id"] for r in made["Expert"].collect()] == [1] and [r["theme_id"] for r in made["Theme"].collect()] == [5]
+    made["Vote"].explain()
+    assert "Contains" in capsys.readouterr().out.title()
