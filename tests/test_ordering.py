@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoal.operators.ordering import block_totals, exact_quantiles, hash_cutoffs, hash_key, row_index
+from shoal.streaming import leases, ordered
 from shoal.operators.split import prefix_split, random_split_exact, split_sizes, systematic_sample
 
 
@@ -144,3 +145,56 @@ def test_split_of_equal_rows_is_exact(spark, rows):
 def test_hash_key_marks_nulls(spark):
     df = spark.createDataFrame([(None, "a"), ("a", None)], "x string, y string")
     assert df.select(hash_key(1, "x", "y").alias("h")).distinct().count() == 2
+
+
+def test_untimed_rows_of_a_batch_need_no_buffer(monkeypatch):
+    """A key's rows in a micro-batch are ordered without the state store, unless they are many; the outcome is the same."""
+    class Store(dict):
+        calls = 0
+
+        def get(self, *key):
+            return super().get("value")
+
+        def exists(self):
+            return "value" in self
+
+        def update(self, value):
+            self["value"] = value
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def getValue(self, key):
+            return self[key]
+
+        def removeKey(self, key):
+            del self[key]
+
+    class Handle:
+        def __init__(self):
+            self.stores = {}
+
+        def getMapState(self, name, *schema):
+            return self.stores.setdefault(name, Store())
+
+        getValueState = getMapState
+
+    def told(piece):
+        monkeypatch.setattr(ordered, "PIECE", piece)
+        processor, handle = ordered.InOrder(["at", "seq", "op", "task"], "", "", ["key", "seq", "task", "op", "outcome"], leases.Claims, 10**9, False), Handle()
+        processor.init(handle)
+        out = [processor.handleInputRows(("k",), iter([part.iloc[:40], part.iloc[40:]]), None) for part in (pdf.iloc[:100], pdf.iloc[100:])]
+        return pd.concat([x for one in out for x in one], ignore_index=True), handle.stores["waiting"].calls
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"at": [*rng.permutation(100), *(100 + rng.permutation(60))], "seq": np.arange(160),
+                        "op": rng.choice(["claim", "release", "heartbeat", "complete"], 160, p=[0.5, 0.2, 0.29, 0.01]), "task": rng.choice(["a", "b"], 160)})
+    pdf["at"] = pdf["at"] * 40_000_000
+    few, none = told(10_000)
+    many, some = told(30)
+    lease, want = leases.Lease(), []
+    for r in pdf.sort_values("at").itertuples():
+        want.append(lease.apply(r.op, r.task, r.at / 1e6))
+    assert none == 0 and some > 0
+    assert few["outcome"].tolist() == want == many["outcome"].tolist()
