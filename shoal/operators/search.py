@@ -59,12 +59,13 @@ def trigram_postings(records: DataFrame, keys: Sequence[str], columns: Sequence[
     texts = F.explode(F.array(*[
         F.struct(F.lit(i).alias("field"), F.lower(col(c).cast("string")).alias("text")) for i, c in enumerate(columns)]))
     rows = records.select(*[col(k) for k in keys], texts.alias("__x")).where("__x.text is not null")
-    chars = F.split("__x.text", "")
-    n = F.size(chars)
-    pairs = F.zip_with(chars, F.slice(chars, 2, n), lambda a, b: F.concat(a, b))
-    grams = F.array_distinct(F.zip_with(pairs, F.slice(chars, 3, n), lambda a, b: F.concat(a, b)))
+    # a look-ahead gives all overlapping trigrams without a lambda; one that cuts a surrogate pair only lets more candidates through
+    grams = F.array_distinct(F.regexp_extract_all("__x.text", F.lit("(?s)(?=(...))"), 1))
     postings = rows.select(F.explode(grams).alias("gram"), *[col(k) for k in keys], F.col("__x.field").alias("field"))
-    return materialize(postings.where(F.length("gram") == 3).sortWithinPartitions("gram"), "postings")
+    # the order of gram as one number, which Spark sorts by its digits rather than by comparing equal texts
+    order = F.shiftleft(F.ascii("gram").cast("long"), 42) + F.shiftleft(
+        F.ascii(F.substring("gram", 2, 1)).cast("long"), 21) + F.ascii(F.substring("gram", 3, 1))
+    return materialize(postings.where(F.length("gram") == 3).sortWithinPartitions(order), "postings")
 
 
 def search_postings(records: DataFrame, postings: DataFrame, keys: Sequence[str], pattern: str,

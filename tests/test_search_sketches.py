@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from shoal.functions.columns import matches_any
-from shoal.operators import metrics
+from shoal.operators import metrics, search
 from shoal.operators.search import required_trigrams, search_postings, trigram_postings
 from shoal.operators.sketches import merge_sketches, sketched_profile, version_sketches
 
@@ -77,3 +77,17 @@ def test_two_classes_and_many_guesses(spark):
     df = spark.createDataFrame([(float(i % 2), float(g)) for i, g in enumerate(guesses)], "t double, p double")
     got = metrics.nearest_class_label(df, "t", "p").toPandas()
     assert ((got["p"] > 0.5).astype(int).astype(str) == got["y_pred_label"]).all() and len(got) == 5000
+
+
+def test_postings_are_sorted_by_a_number_and_made_without_lambdas(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(search, "materialize", lambda df, label: made.append(df) or df)
+    texts = ["Ab\ncab", "ab", None, "zzzzz", "x\U0001f600yÄ€bc", "a|中文字"]
+    records = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    rows = search.trigram_postings(records, ["id"], ["text"]).collect()
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "[gram" not in plan[: plan.index("Project")]
+    assert [r["gram"].encode() for r in rows] == sorted(r["gram"].encode() for r in rows)
+    got = {(r["id"], r["gram"]) for r in rows}
+    want = {(i, t.lower()[j:j + 3]) for i, t in enumerate(texts) if t for j in range(len(t) - 2)}
+    assert want <= got and all("?" in g for _, g in got - want)  # pieces of a surrogate pair, which no pattern asks for
