@@ -1,81 +1,152 @@
 """Exact nearest neighbours within groups, without comparing all pairs of a group.
 
-Points are placed in a tree of cells. A cell that is too large gets pivots of its own, and its points go to the nearest one,
-level by level, until every cell is small. A query first looks into its own cell; then it goes down the tree, and the
-triangle inequality rules out cells whose points are all farther than the neighbours known so far.
+The space of a large group is cut into cells at borders taken from a bounded sample; every point lies in one cell, so one
+pass places them all. A query first looks into its own cell; the distance of its k-th neighbour there then tells which
+other cells may hold a nearer point, and only those are visited.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoal.functions.columns import col
-from shoal.operators.ordering import uniform
 from shoal.session import materialize
 
-#: Points of the largest cell that is not cut any more.
+#: Queries of a cell, on average.
 PART_ROWS = 2_000
-#: Pivots of a cell that is cut, on average.
+#: Sampled points of a cell, on average.
 FAN = 24
+#: Points of a cell, on average, however few the queries are.
+CELL_ROWS = 50_000
+#: Numbers that the sample brings to the driver at most; beyond it the cells grow.
+SAMPLED = 8_000_000
+#: Distances that a task holds at a time.
+BLOCK = 1 << 20
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances between two small blocks, without cancellation."""
-    out = np.zeros((len(a), len(b)))
-    for d in range(a.shape[1]):
-        gap = a[:, d, None] - b[None, :, d]
-        out += gap * gap
-    return np.sqrt(out)
+@dataclass
+class Cells:
+    """Trees of borders, one per large group, in one list of nodes.
 
+    Points whose coordinate ``axis`` is at most ``border`` go to node ``child``, the others to the next one. A node
+    without child is a cell (``child`` is the node itself) and keeps its number as the cell's.
+    """
+
+    roots: dict[str, int]
+    axis: np.ndarray
+    border: np.ndarray
+    child: np.ndarray
+
+    @property
+    def count(self) -> int:
+        return int((self.child == np.arange(len(self.child))).sum())
 
-def _gap(x: str, y: str, dims: int) -> str:
-    """Distance of two arrays, written out: a lambda over their numbers takes ten times as long."""
-    return "sqrt(" + " + ".join(f"({x}[{i}] - {y}[{i}]) * ({x}[{i}] - {y}[{i}])" for i in range(dims)) + ")"
+    def place(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The cell of each point, from the root of its group."""
+        rows = np.arange(len(x))
+        while True:
+            below = self.child[node]
+            inner = below != node
+            if not inner.any():
+                return node
+            node = np.where(inner, below + (x[rows, self.axis[node]] > self.border[node]), node)
 
+    def near(self, root: int, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells that a point at most ``bound`` from ``x`` can lie in."""
+        row, node, gaps = np.arange(len(x)), np.full(len(x), root), np.zeros(x.shape)
+        limit = bound * bound * (1.0 + 1e-12)
+        rows, cells = [], []
+        while len(row):
+            leaf = self.child[node] == node
+            rows.append(row[leaf])
+            cells.append(node[leaf])
+            row, node, gaps = row[~leaf], node[~leaf], gaps[~leaf]
+            axis, each = self.axis[node], np.arange(len(row))
+            beyond = x[row, axis] - self.border[node]
+            sides = []
+            for side, gap in ((0, beyond), (1, -beyond)):
+                apart = gaps.copy()
+                apart[each, axis] = np.maximum(apart[each, axis], gap)
+                kept = (apart * apart).sum(axis=1) <= limit[row]
+                sides.append((row[kept], (self.child[node] + side)[kept], apart[kept]))
+            row, node, gaps = (np.concatenate(pair) for pair in zip(*sides))
+        return np.concatenate(rows), np.concatenate(cells)
 
-def metric_tree(points: DataFrame, dims: int, part_rows: int, fan: int, k: int, seed: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The points of (g, id, x) with the ``cell`` they end in, and the levels of the tree from the top.
 
-    A level has a row per cell that was cut: ``g, cell, children``, the latter with name, pivot, ``radius`` (the farthest
-    point of the child from its pivot) and ``reach`` (the distance of its ``k`` + 1 nearest ones, if it has so many).
-    Pivots are picked by hash, with the first and the last point of the cell among them, so a cut always parts a cell of
-    different points. A level moves only the points of the cells that it cuts, which are written once.
+def cut_cells(samples: dict[str, np.ndarray], wanted: dict[str, int]) -> Cells:
+    """Cuts each group's sample at the median of its widest side until it is in so many parts.
+
+    Equal points are never parted, so a group of few different points has fewer cells.
     """
-    levels, done = [], None
-    open_cells = points.withColumn("cell", F.lit(""))
-    while True:
-        sizes = open_cells.groupBy("g", "cell").agg(
-            F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
-        large = sizes.where(F.col("n") > part_rows)
-        end = large.isEmpty()
-        small = open_cells if end else open_cells.join(sizes.where(F.col("n") <= part_rows).select("g", "cell"), ["g", "cell"], "left_semi")
-        small = small.select("g", "cell", "id", "x")
-        done = small if done is None else done.unionByName(small)
-        if end:
-            return done, levels
-        chance = uniform(seed, F.lit(len(levels)), "id") * F.col("n") < fan
-        inside = open_cells.join(large, ["g", "cell"])
-        pivots = inside.where(chance | (F.col("id") == F.col("a")) | (F.col("id") == F.col("b"))).groupBy("g", "cell").agg(
-            F.sort_array(F.collect_list(F.struct("id", "x")))["x"].alias("pivots"))
-        pivots = materialize(pivots, "pivots")
-        moved = open_cells.join(pivots, ["g", "cell"]).withColumn("gaps", F.expr(f"transform(pivots, p -> {_gap('x', 'p', dims)})"))
-        moved = moved.withColumn("d", F.array_min("gaps")).withColumn("j", F.array_position("gaps", F.col("d")).cast("int"))
-        child = F.concat("cell", F.lit("."), "j")
-        moved = materialize(moved.select("g", F.col("cell").alias("above"), child.alias("cell"), "j", "d", "id", "x"), "cells")
-        order = Window.partitionBy("g", "cell").orderBy("d", "id")
-        closest = moved.select("g", "cell", "d", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-        reach = closest.groupBy("g", "cell").agg(F.max("r").alias("have"), F.max("d").alias("t"))
-        cells = moved.groupBy("g", "above", "cell", "j").agg(F.max("d").alias("radius")).join(reach, ["g", "cell"])
-        cells = cells.join(pivots.select("g", F.col("cell").alias("above"), "pivots"), ["g", "above"])
-        told = F.struct("cell", F.element_at("pivots", F.col("j")).alias("pivot"), "radius",
-                        F.when(F.col("have") > k, F.col("t")).otherwise(float("inf")).alias("reach"))
-        levels.append(cells.groupBy("g", F.col("above").alias("cell")).agg(F.collect_list(told).alias("children")))
-        open_cells = moved.select("g", "cell", "id", "x")
+    axis, border, child, roots = [], [], [], {}
+
+    def add() -> int:
+        for values, empty in ((axis, 0), (border, 0.0), (child, len(child))):
+            values.append(empty)
+        return len(child) - 1
+
+    for g, points in samples.items():
+        roots[g] = add()
+        todo = [(roots[g], points, float(wanted[g]))]
+        while todo:
+            node, x, parts = todo.pop()
+            if parts < 1.5 or len(x) < 2:
+                continue
+            side = np.ptp(x, axis=0)
+            a = int(np.argmax(side))
+            if not side[a] > 0.0:
+                continue
+            values = np.sort(x[:, a])
+            cut = values[(len(values) - 1) // 2]
+            if cut == values[-1]:
+                cut = values[np.searchsorted(values, cut) - 1]
+            left = x[:, a] <= cut
+            axis[node], border[node], child[node] = a, cut, add()
+            share = parts * left.mean()
+            todo += [(child[node], x[left], share), (add(), x[~left], parts - share)]
+    return Cells(roots, np.array(axis), np.array(border), np.array(child))
+
+
+def _nearest(ids: np.ndarray, points: np.ndarray, qs: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple]:
+    """(query, point, distance) of the k nearest others by distance, then place; ``ids`` ascend, with unknown ones last."""
+    step = max(1, BLOCK // max(1, len(points)))
+    for start in range(0, len(qs), step):
+        ask, q = asked[start:start + step], qs[start:start + step]
+        gaps = np.zeros((len(ask), len(points)))
+        for d in range(points.shape[1]):  # differences, without cancellation
+            gap = ask[:, d, None] - points[None, :, d]
+            gap *= gap
+            gaps += gap
+        first, last = np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right")
+        for more in range(int((last - first).max(initial=0))):
+            own = np.flatnonzero(first + more < last)
+            gaps[own, first[own] + more] = np.inf
+        if len(points) > k:
+            limit = np.partition(gaps, k - 1, axis=1)[:, k - 1]
+            row, at = np.nonzero(gaps <= (limit * (1.0 + 1e-15))[:, None])  # squares that differ may have one root
+        else:
+            row, at = np.nonzero(np.isfinite(gaps))
+        distance = np.sqrt(gaps[row, at])
+        order = np.lexsort((at, distance, row))
+        row, at, distance = row[order], at[order], distance[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = (rank < k) & np.isfinite(distance)
+        yield row[kept] + start, at[kept], distance[kept]
+
+
+def _columns(table: pa.Table | pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    return np.stack([table[c].to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table[c].to_numpy()
+                     for c in names], axis=1)
 
 
 def exact_neighbors(
@@ -84,75 +155,139 @@ def exact_neighbors(
 ) -> DataFrame:
     """(group, key, neighbor, distance, rank) for each query point: its k nearest others of the same group.
 
-    ``points`` holds distinct points with a unique integer ``key`` per group; ``queries`` (group, key) picks
-    the points to look up, all by default. Ties go to the smaller key. Cells and their pivots are tables; nothing
-    of the tree is sent to the driver or forced on every task.
+    ``points`` holds points with an integer ``key`` per group; ``queries`` (group, key) picks the points to look up, all
+    by default. Ties go to the smaller key. Points with unknown coordinates are nobody's neighbours and have none. A cell
+    has about ``part_rows`` queries, and its borders come from ``fan`` sampled points a cell; the driver gets the sample,
+    which is bounded, and a row per large group.
     """
-    x = F.array(*[col(f).cast("double") for f in features])
-    base = materialize(points.select(col(group).cast("string").alias("g"), col(key).cast("long").alias("id"),
-                                     x.alias("x")), "points")
-    placed, levels = metric_tree(base, len(features), part_rows, max(fan, 2), k, seed)
-    if levels:
-        placed = materialize(placed, "placed")
-    asked = placed
-    if queries is not None:
+    xs = [f"x{i}" for i in range(len(features))]
+    base = points.select(col(group).cast("string").alias("g"), col(key).cast("long").alias("id"),
+                         *[col(f).cast("double").alias(x) for f, x in zip(features, xs)])
+    base = base.where(" AND ".join(["g IS NOT NULL", *[f"abs({x}) < double('inf')" for x in xs]]))
+    if queries is None:
+        base = base.withColumn("asked", F.lit(True))
+    else:
         only = queries.select(col(group).cast("string").alias("g"), col(key).cast("long").alias("id")).distinct()
-        asked = placed.join(only, ["g", "id"], "left_semi")
-    members = placed.select("g", "cell", F.lit(True).alias("member"), "id", "x")
-
-    def search(probes: DataFrame) -> DataFrame:
-        """k best members of each probed cell; a cell with many probes is visited by slices of them."""
-        load = materialize(probes.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("slices")), "load")
-        probes = probes.join(load, ["g", "cell"]).select(
-            "g", "cell", F.lit(False).alias("member"), "id", "x", F.pmod(F.xxhash64("id", F.lit(1)), "slices").cast("int").alias("slice"))
-        copies = members.join(load, ["g", "cell"]).withColumn(
-            "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(*probes.columns)
-
-        def block(rows: pd.DataFrame) -> pd.DataFrame:
-            inside, ask = rows[rows["member"]], rows[~rows["member"]]
-            if inside.empty or ask.empty:
-                return pd.DataFrame({"g": [], "id": [], "neighbor": [], "distance": []}, dtype=object)
-            ids, qs = inside["id"].to_numpy(), ask["id"].to_numpy()
-            gaps = _distances(np.stack(ask["x"].to_numpy()), np.stack(inside["x"].to_numpy()))
-            gaps[qs[:, None] == ids[None, :]] = np.inf
-            best = np.lexsort((np.broadcast_to(ids, gaps.shape), gaps), axis=1)[:, :k]
-            near = np.take_along_axis(gaps, best, axis=1)
-            keep = np.isfinite(near)
-            return pd.DataFrame({"g": pd.Series([rows["g"].iloc[0]] * int(keep.sum()), dtype=object), "id": np.repeat(qs, keep.sum(axis=1)),
-                                 "neighbor": ids[best][keep], "distance": near[keep]})
-
-        return probes.unionByName(copies).groupBy("g", "cell", "slice").applyInPandas(
-            block, "g string, id long, neighbor long, distance double")
+        only = materialize(only, "asked").withColumn("asked", F.lit(True))
+        base = base.join(only, ["g", "id"], "left").withColumn("asked", F.col("asked").isNotNull())
+    base = materialize(base.select("g", "id", *xs, "asked"), "points")
+    cells = _fit_cells(base, xs, part_rows, max(fan, 2), seed)
+    if cells is None:
+        placed = base.withColumn("cell", F.lit(0))
+    else:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = pa.array(list(cells.roots), pa.string())
+            roots = np.array([*cells.roots.values(), 0])
+            for batch in batches:
+                found = pc.fill_null(pc.index_in(batch["g"], value_set=names), len(names)).to_numpy(zero_copy_only=False)
+                large = np.flatnonzero(found < len(names))
+                cell = np.zeros(batch.num_rows, np.int32)
+                cell[large] = cells.place(roots[found[large]], _columns(batch, xs)[large])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
+        placed = materialize(base.mapInArrow(place, T.StructType([*base.schema.fields, T.StructField("cell", T.IntegerType())])), "placed")
+    members = _members(placed, xs, k)
+
+    def block(last: bool):
+        """The k best points of a slice of a cell; ``last`` or not, also the other cells to look into."""
+        def run(table: pa.Table) -> pa.Table:
+            g = table["g"][0].as_py()
+            inside, ask = table.filter(table["member"]), table.filter(table["asked"])
+            ids = pc.fill_null(inside["id"], np.iinfo(np.int64).max).to_numpy()
+            known = pc.is_valid(inside["id"]).to_numpy()
+            order = np.lexsort((ids, ~known))
+            ids, known, x = ids[order], known[order], _columns(inside, xs)[order]
+            qs, at = pc.fill_null(ask["id"], np.iinfo(np.int64).max).to_numpy(), _columns(ask, xs)
+            unknown = pc.is_null(ask["id"]).to_numpy()
+            own = ids[:known.sum()]
+            if not len(qs) or not len(ids):
+                found = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
+            else:
+                # a query without a key is no point's copy: no place in the keys is its own
+                found = [np.concatenate(c) for c in zip(*_nearest(own, x, np.where(unknown, np.iinfo(np.int64).min, qs), at, k))]
+            row, near, distance = found
+            who, cell, empty = row, np.zeros(0, np.int32), 0
+            if not last and cells is not None and g in cells.roots and len(qs) and table["slice"][0].as_py() == 0:
+                have = np.bincount(row, minlength=len(qs))
+                bound = np.full(len(qs), np.inf)
+                full = np.flatnonzero(have >= k)
+                bound[full] = distance[np.cumsum(have)[full] - 1]
+                more, cell = cells.near(cells.roots[g], at, bound)
+                other = cell != table["cell"][0].as_py()
+                more, cell = more[other], cell[other].astype(np.int32)
+                who, empty = np.concatenate([row, more]), len(more)
+            blank = np.arange(len(who)) >= len(row)
+            neighbor = pa.array(np.concatenate([ids[near], np.zeros(empty, np.int64)]) if len(ids) else np.zeros(len(who), np.int64),
+                                mask=np.concatenate([~known[near], np.ones(empty, bool)]))
+            return pa.table({
+                "g": pa.array([g] * len(who), pa.string()), "id": pa.array(qs[who], pa.int64(), mask=unknown[who]),
+                "neighbor": neighbor, "distance": pa.array(np.concatenate([distance, np.zeros(empty)]), mask=blank),
+                "cell": pa.array(np.concatenate([np.zeros(len(row), np.int32), cell]), mask=~blank),
+                **{c: pa.array(at[who, i], mask=~blank) for i, c in enumerate(xs)}})
+
+        return run
+
+    schema = "g string, id long, neighbor long, distance double, cell int, " + ", ".join(f"{x} double" for x in xs)
+
+    def search(rows: DataFrame, last: bool) -> DataFrame:
+        if cells is not None:  # the work is in the cells, not in the bytes
+            tasks = max(4 * rows.sparkSession.sparkContext.defaultParallelism, cells.count // 16)
+            rows = rows.repartition(min(cells.count, tasks), "g", "cell", "slice")
+        return rows.groupBy("g", "cell", "slice").applyInArrow(block(last), schema)
+
+    found = search(members, False)
+    if cells is not None:
+        found = materialize(found, "own")
+        probes = materialize(found.where("cell IS NOT NULL").select("g", "id", *xs, "cell"), "probes")
+        visited = probes.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).drop("n")
+        there = members.where("member").join(visited, ["g", "cell"], "left_semi").withColumn("asked", F.lit(False))
+        sliced = there.groupBy("g", "cell").agg(F.max("slice").alias("most"))
+        again = probes.join(sliced, ["g", "cell"]).select(
+            "g", "id", *xs, F.lit(True).alias("asked"), "cell", F.lit(False).alias("member"),
+            F.explode(F.sequence(F.lit(0), F.col("most"))).alias("slice"))
+        found = found.where("cell IS NULL").unionByName(search(there.unionByName(again), True))
     nearest = Window.partitionBy("g", "id").orderBy("distance", "neighbor")
+    best = found.select("g", "id", "neighbor", "distance").withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return best.select(col("g").alias(group), col("id").alias(key), "neighbor", "distance", "rank")
 
-    def best_k(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-
-    own = best_k(search(asked.select("g", "cell", "id", "x")))
-    if levels:
-        own = materialize(own, "own")
-        reached = own.groupBy("g", "id").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("have"))
-        bound = F.when(F.col("have") >= k, F.col("kth")).otherwise(float("inf"))
-        front = asked.join(reached, ["g", "id"], "left").select(
-            "g", F.lit("").alias("cell"), "id", "x", F.col("cell").alias("home"), bound.alias("bound"))
-        leaves = None
-        for level in levels:
-            front, ended = _below(front, level, len(features))
-            leaves = ended if leaves is None else leaves.unionByName(ended)
-        leaves = leaves.unionByName(front).where("cell <> home").select("g", "cell", "id", "x")
-        own = best_k(own.drop("rank").unionByName(search(materialize(leaves, "probes"))))
-    return own.select(col("g").alias(group), col("id").alias(key), "neighbor", "distance", "rank")
-
-
-def _below(front: DataFrame, level: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
-    """One level down: the children of each query's cells that may hold a nearer point, and the cells that aren't cut."""
-    slack: Column = F.expr("1e-9 * (1 + c.gap)")
-    met = materialize(front.join(level, ["g", "cell"], "left"), "front")
-    seen = met.where("children is not null").withColumn("seen", F.expr(
-        f"transform(children, c -> named_struct('cell', c.cell, 'gap', {_gap('x', 'c.pivot', dims)}, 'radius', c.radius, 'reach', c.reach))"))
-    seen = seen.withColumn("bound", F.least("bound", F.array_min(F.expr("transform(seen, c -> c.gap + c.reach)"))))
-    below = seen.select("g", "id", "x", "home", "bound", F.explode("seen").alias("c")).where(
-        F.expr("c.gap - c.radius") <= F.col("bound") + slack)
-    return (below.select("g", F.col("c.cell").alias("cell"), "id", "x", "home", "bound"),
-            met.where("children is null").select("g", "cell", "id", "x", "home", "bound"))
+
+def _fit_cells(base: DataFrame, xs: Sequence[str], part_rows: int, fan: int, seed: int) -> Cells | None:
+    """Cells for the groups that need more than one; none if all are small."""
+    sizes = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("asked"))
+    parts = F.greatest(F.ceil(F.col("asked") / part_rows), F.ceil(F.col("n") / CELL_ROWS))
+    room = max(1, SAMPLED // (fan * (len(xs) + 1)))
+    large = sizes.withColumn("parts", parts).where("parts > 1 AND asked > 0").orderBy(F.desc("parts"), "g").limit(room).collect()
+    if not large:
+        return None
+    shrink = min(1.0, room / sum(r["parts"] for r in large))
+    wanted = {r["g"]: max(2, math.ceil(r["parts"] * shrink)) for r in large}
+    chance = F.create_map(*[F.lit(v) for r in large for v in (r["g"], min(1.0, fan * wanted[r["g"]] / r["n"]))])
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)
+    sample: pd.DataFrame = base.select("g", *xs).where(drawn < F.element_at(chance, F.col("g"))).toPandas()
+    return cut_cells({g: rows[list(xs)].to_numpy(float) for g, rows in sample.groupby("g", sort=True)}, wanted)
+
+
+def _members(placed: DataFrame, xs: Sequence[str], k: int) -> DataFrame:
+    """Rows with ``member`` and ``slice``: the points of a crowded cell are dealt to slices, each of which meets all queries.
+
+    A cell is crowded where many points are equal. Of those, no query can need more than the k smallest keys besides
+    its own, and of a key that repeats k rows.
+    """
+    sizes = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("probes"))
+    crowded = sizes.where((F.col("n") > 4 * CELL_ROWS) & (F.col("probes") > 0)).select("g", "cell")
+    rows = placed.withColumns({"member": F.lit(True), "slice": F.lit(0)})
+    crowded = materialize(crowded, "crowded")
+    if crowded.isEmpty():
+        return rows
+    full = placed.join(crowded, ["g", "cell"], "left_semi")
+    keys = Window.partitionBy("g", "cell", *xs).orderBy("id")
+    copies = Window.partitionBy("g", "cell", *xs, "id").orderBy(F.lit(1))
+    few = full.withColumn("r", F.dense_rank().over(keys)).where(F.col("r") <= k + 1)
+    few = few.withColumn("r", F.row_number().over(copies)).where(F.col("r") <= k).drop("r")
+    few = materialize(few.withColumns({"asked": F.lit(False), "member": F.lit(True)}), "few")
+    slices = few.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("slices"))
+    dealt = few.join(slices, ["g", "cell"]).withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), "slices").cast("int"))
+    asking = full.where("asked").withColumn("member", F.lit(False)).join(slices, ["g", "cell"]).withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    out = rows.join(crowded, ["g", "cell"], "left_anti")
+    return out.unionByName(dealt.drop("slices")).unionByName(asking.drop("slices"))

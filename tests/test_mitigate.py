@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoal.operators import mitigate, profile
+from shoal.operators import neighbors
 from shoal.operators.neighbors import exact_neighbors
 from shoal.operators.ordering import row_index
 
@@ -117,6 +118,41 @@ def test_neighbors_of_tiny_groups(spark):
     assert got == {("a", 1, 2), ("a", 2, 1)}
 
 
+def test_neighbors_among_equal_points_and_keys(spark, monkeypatch):
+    """Cells that no border can cut are dealt to slices; copies of a key are no neighbours of each other."""
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 8)
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": "a", "id": np.arange(160), "x": np.where(np.arange(160) < 90, 1.0, rng.normal(size=160) * 4),
+                        "y": np.where(np.arange(160) < 90, 2.0, rng.normal(size=160))})
+    odd = pd.DataFrame({"g": "a", "id": [200, 201], "x": [np.nan, np.inf], "y": [0.0, 0.0]})
+    got = exact_neighbors(spark.createDataFrame(pd.concat([pdf, odd])), "g", "id", ["x", "y"], 4, part_rows=5).toPandas()
+    found = {}
+    for r in got.sort_values("rank").itertuples():
+        found.setdefault((r.g, r.id), []).append((r.neighbor, round(r.distance, 9)))
+    assert found == brute_force(pdf, 4, ["x", "y"])
+    twice = pd.concat([pdf, pdf])
+    asked = spark.createDataFrame(pdf.loc[[0, 3, 120], ["g", "id"]])
+    got = exact_neighbors(spark.createDataFrame(twice), "g", "id", ["x", "y"], 4, asked, part_rows=5).toPandas()
+    assert got.sort_values(["id", "rank"]).groupby("id")["neighbor"].agg(list).to_dict()[0] == [1, 1, 1, 1]
+    assert got.sort_values(["id", "rank"]).groupby("id")["neighbor"].agg(list).to_dict()[3] == [0, 0, 0, 0]
+    assert set(got["id"]) == {0, 3, 120}
+
+
+def test_neighbors_place_points_in_one_pass(spark, monkeypatch):
+    """More points make more cells, not more passes."""
+    written = []
+    write = neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda df, label="rows": written.append(label) or write(df, label))
+    tables = {}
+    for n in (60, 1200):
+        x = np.random.default_rng(n).normal(size=n)
+        written.clear()
+        rows = spark.createDataFrame(pd.DataFrame({"g": "a", "id": np.arange(n), "x": x}))
+        assert exact_neighbors(rows, "g", "id", ["x"], 2, part_rows=4, fan=3).count() == 2 * n
+        tables[n] = len(written)
+    assert tables[60] == tables[1200]
+
+
 def test_smote(spark):
     rng = np.random.default_rng(5)
     major = pd.DataFrame({"x": rng.normal(size=300), "y": rng.normal(size=300), "t": 0})
