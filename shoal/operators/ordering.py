@@ -324,16 +324,20 @@ def _order_statistics(numbers: DataFrame, brackets: dict, share: int, accuracy:
 
 def _narrowed(numbers: DataFrame, wide: Sequence, share: int, accuracy: int) -> dict:
     """Closer brackets around ranks from a sketch of the values inside the present ones."""
-    slack, sketches, out = 3.0 / accuracy, [], {}
+    slack, inner, sketches, out = 3.0 / accuracy, [], [], {}
+    some = F.lit(False)
     for k, ((i, low, high, _), ranks) in enumerate(wide):
         inside = F.col(f"c{i}").isNotNull()
         if low is not None:
             inside = inside & (F.col(f"c{i}") > F.lit(low))
         if high is not None:
             inside = inside & (F.col(f"c{i}") < F.lit(high))
+        some = some | inside
         points = [F.lit(x) for _, at in ranks for x in (max(0.0, at - slack), min(1.0, at + slack))]
-        sketches.append(F.percentile_approx(F.when(inside, F.col(f"c{i}")), F.array(*points), accuracy).alias(f"s{k}"))
-    row = numbers.agg(*sketches).first()
+        inner.append(F.when(inside, F.col(f"c{i}")).alias(f"v{k}"))
+        sketches.append(F.percentile_approx(f"v{k}", F.array(*points), accuracy).alias(f"s{k}"))
+    # a sketch interprets its argument for every row: only rows inside a bracket reach it, with the choice already made
+    row = numbers.where(some).select(*inner).agg(*sketches).first()
     for k, ((i, low, high, n), ranks) in enumerate(wide):
         for j, (rank, _) in enumerate(ranks):
             out[(i, rank)] = (low, high, 0) if n <= share else (row[f"s{k}"][2 * j], row[f"s{k}"][2 * j + 1], n)
@@ -351,13 +355,16 @@ def _zone_counts(at: Sequence[int], edges: Sequence[np.ndarray], wanted: Sequenc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros(2 * len(e) + 1, np.int64) for e in edges]
+        ends = [np.append(e, np.nan) for e in edges]
+        asked = [np.isin(np.arange(2 * len(e) + 1), w) for e, w in zip(edges, wanted)]
         for batch in batches:
             for k, column in enumerate(batch.columns):
                 x = column.drop_null().to_numpy(zero_copy_only=False)
-                zone = np.searchsorted(edges[k], x, "left") + np.searchsorted(edges[k], x, "right")
+                below = np.searchsorted(edges[k], x, "left")
+                zone = 2 * below + (ends[k][below] == x)
                 totals[k] += np.bincount(zone, minlength=len(totals[k]))
                 if wanted[k]:
-                    held = np.isin(zone, wanted[k])
+                    held = asked[k][zone]
                     v, first, n = np.unique(x[held], return_index=True, return_counts=True)
                     if len(v):
                         yield rows(at[k], zone[held][first], v, n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -55,23 +56,40 @@ def aggregate_once(df: DataFrame, measures: dict[str, Column]) -> dict[str, obje
 
 
 def column_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, float | None]]:
-    """n, nulls, mean, sample and population deviation, min, max and corrected shape of each column."""
+    """n, nulls, mean, sample and population deviation, min, max and corrected shape of each column.
+
+    A pass for the means and one for the sums of powers of the distances from them: plain sums stay in generated code.
+    """
     measures: dict[str, Column] = {"rows": F.count(F.lit(1))}
     for i, c in enumerate(columns):
         v = col(c).cast("double")
-        measures |= {
-            f"n_{i}": F.count(v), f"mean_{i}": F.avg(v), f"std_{i}": F.stddev_samp(v), f"pop_{i}": F.stddev_pop(v),
-            f"min_{i}": F.min(v), f"max_{i}": F.max(v), f"g1_{i}": F.skewness(v), f"g2_{i}": F.kurtosis(v),
-        }
+        measures |= {f"n_{i}": F.count(v), f"mean_{i}": F.avg(v), f"min_{i}": F.min(v), f"max_{i}": F.max(v)}
     got = aggregate_once(df, measures)
+    powers: dict[str, Column] = {}
+    for i, c in enumerate(columns):
+        if got[f"n_{i}"] and got[f"min_{i}"] != got[f"max_{i}"]:
+            d = col(c).cast("double") - F.lit(got[f"mean_{i}"])
+            powers |= {f"s1_{i}": F.sum(d), f"s2_{i}": F.sum(d * d), f"s3_{i}": F.sum(d * d * d), f"s4_{i}": F.sum(d * d * (d * d))}
+    sums = aggregate_once(df, powers) if powers else {}
     out = {}
     for i, c in enumerate(columns):
-        n, g1, g2 = got[f"n_{i}"], got[f"g1_{i}"], got[f"g2_{i}"]
+        n, m2, g1, g2 = got[f"n_{i}"], 0.0, None, None  # equal values have no shape
+        if f"s1_{i}" in sums:
+            s1, s2, s3, s4 = (sums[f"s{j}_{i}"] for j in range(1, 5))
+            off = s1 / n  # what rounding left between the mean and the centre
+            m2 = s2 - off * s1
+            m3 = s3 - 3.0 * off * s2 + 2.0 * n * off * off * off
+            m4 = s4 - 4.0 * off * s3 + 6.0 * off * off * s2 - 3.0 * n * off * off * off * off
+            if m2 != 0:
+                g1 = math.sqrt(n) * m3 / m2 / math.sqrt(m2)
+                g2 = n * m4 / m2 / m2 - 3.0
+        elif n and not math.isfinite(got[f"mean_{i}"]):
+            m2 = g1 = g2 = math.nan
         skew = g1 * (n * (n - 1)) ** 0.5 / (n - 2) if n > 2 and g1 is not None else None
         kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) if n > 3 and g2 is not None else None
         out[c] = {
-            "rows": got["rows"], "count": n, "mean": got[f"mean_{i}"], "std": got[f"std_{i}"],
-            "std_pop": got[f"pop_{i}"], "min": got[f"min_{i}"], "max": got[f"max_{i}"],
+            "rows": got["rows"], "count": n, "mean": got[f"mean_{i}"], "std": math.sqrt(m2 / (n - 1)) if n > 1 else None,
+            "std_pop": math.sqrt(m2 / n) if n else None, "min": got[f"min_{i}"], "max": got[f"max_{i}"],
             "skew": skew, "kurtosis": kurt, "skew_pop": g1,
         }
     return out
@@ -158,8 +176,18 @@ def unique_values(df: DataFrame, columns: Sequence[str] | None = None, approx: b
         return one.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column_name"), col(c).alias("distinct_count")) for c in columns
         ])).alias("x")).select("x.*")
-    keys = df.select(*[digested(c, df.schema[c].dataType).alias(c) for c in columns])
-    return value_counts(keys, columns).groupBy("column_name").agg(F.count("value").alias("distinct_count"))
+    kinds: dict[str, list[int]] = {}
+    for i, c in enumerate(columns):
+        kind = df.schema[c].dataType
+        kinds.setdefault("double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "long" if isinstance(
+            kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else "string", []).append(i)
+    out = None
+    for kind, at in kinds.items():  # numbers are not made texts
+        cells = F.explode(F.array(*[F.struct(
+            F.lit(i).alias("c"), digested(columns[i], df.schema[columns[i]].dataType).cast(kind).alias("v")) for i in at]))
+        one = df.select(cells.alias("x")).select("x.*").distinct().groupBy("c").agg(F.count("v").alias("distinct_count"))
+        out = one if out is None else out.unionByName(one)
+    return out.select(F.array(*map(F.lit, columns))[F.col("c")].alias("column_name"), "distinct_count")
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
@@ -205,6 +233,11 @@ def _pair_sums(centre: Sequence[float]):
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - np.array(centre)
             there = ~np.isnan(x)
+            if there.all():  # each sum over a pair is one over a column
+                ones, sums, squares = np.ones((k, 1)), x.sum(axis=0), (x * x).sum(axis=0)
+                totals += np.stack([len(x) * (ones @ ones.T), sums[:, None] @ ones.T, ones @ sums[None], squares[:, None] @ ones.T,
+                                    ones @ squares[None], x.T @ x])
+                continue
             x, m = np.where(there, x, 0.0), there.astype(float)
             totals += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
         a, b = np.divmod(np.arange(k * k), k)

@@ -185,6 +185,28 @@ def test_smote(spark):
         assert ok
 
 
+def test_moments_equal_sparks_and_take_plain_sums(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    n = 500
+    pdf = pd.DataFrame({"far": 1e6 + rng.exponential(size=n), "gaps": np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n)),
+                        "same": 0.1, "none": np.nan, "one": [3.0] + [np.nan] * (n - 1), "whole": rng.integers(0, 9, n)})
+    df = profile.nan_to_null(spark.createDataFrame(pdf)).repartition(3)
+    odd = df.withColumn("nan", F.when(F.col("whole") > 3, F.lit(np.nan)).otherwise(1.0)).withColumn("huge", F.when(
+        F.col("whole") > 3, F.lit(np.inf)).otherwise(1.0))
+    asked = []
+    once = profile.aggregate_once
+    monkeypatch.setattr(profile, "aggregate_once", lambda d, m: asked.extend(map(str, m.values())) or once(d, m))
+    got = profile.column_moments(odd, odd.columns)
+    assert not [a for a in asked if "std" in a or "skew" in a or "kurt" in a]
+    for c in odd.columns:
+        names = {"count": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "std_pop": F.stddev_pop(c), "min": F.min(c),
+                 "max": F.max(c), "skew_pop": F.skewness(c)}
+        want = odd.agg(*[e.alias(k) for k, e in names.items()]).first().asDict()
+        for k, value in want.items():
+            assert (got[c][k] is None) == (value is None), (c, k)
+            assert value is None or np.isclose(got[c][k], value, rtol=1e-9, atol=1e-12, equal_nan=True), (c, k)
+
+
 def test_ks_and_gate(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"normal": rng.normal(size=800), "uniform": rng.random(800), "same": 1.0})
