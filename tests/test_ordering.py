@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoal.operators.ordering import block_totals, exact_quantiles, hash_cutoffs, hash_key, row_index
+from shoal.plans.stream_queries import NO_TASK, leases_of_stream
 from shoal.streaming import leases, ordered
 from shoal.operators.split import prefix_split, random_split_exact, split_sizes, systematic_sample
 
@@ -198,3 +199,98 @@ def test_untimed_rows_of_a_batch_need_no_buffer(monkeypatch):
         want.append(lease.apply(r.op, r.task, r.at / 1e6))
     assert none == 0 and some > 0
     assert few["outcome"].tolist() == want == many["outcome"].tolist()
+
+
+class Calls:
+    """A state store that counts its calls, and timers."""
+
+    def __init__(self):
+        self.stores, self.calls, self.timers = {}, 0, set()
+
+    def getMapState(self, name, *schema):
+        return self.stores.setdefault(name, Counted(self))
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Counted:
+    def __init__(self, handle):
+        self.handle, self.kept = handle, {}
+
+    def __getattr__(self, name):
+        plain = {"get": lambda: self.kept.get(None), "update": lambda value: self.kept.update({None: value}),
+                 "getValue": self.kept.get, "updateValue": lambda key, value: self.kept.update({key: value}),
+                 "removeKey": self.kept.pop, "keys": lambda: list(self.kept), "clear": self.kept.clear}[name]
+
+        def call(*args):
+            self.handle.calls += 1
+            return plain(*args)
+        return call
+
+
+class At(int):
+    getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: int(self)
+
+
+def test_keys_of_a_bucket_share_its_state(monkeypatch):
+    """Rows of many keys that come out of order, in few groups: each key's outcome is that of its own rows in order, the calls of
+    the state store do not follow the keys, and no timer is left behind."""
+    def told(pdf, marks, full, together):
+        monkeypatch.setattr(ordered, "FULL", full)
+        monkeypatch.setattr(ordered, "TOGETHER", together)
+        out = ["key", "at", "seq", "task_id", "op", "outcome"]
+        processor, handle, found = ordered.InOrder(["at", "seq", "op", "task", "refused", "key"], "", "", out, leases.ExpiringLease, 60_000, True), Calls(), []
+        processor.init(handle)
+        for mark, past in zip(marks, [0, *marks]):
+            part = pdf[(pdf["seen"] < mark) & (pdf["seen"] >= past)]
+            frames = [part.iloc[i:i + 2 * together] for i in range(0, len(part), 2 * together)]
+            if frames:
+                assert not list(processor.handleInputRows((0,), iter(frames), None))
+            for at in sorted(t for t in handle.timers if t <= mark - 600_000):
+                found += processor.handleExpiredTimer((0,), At(mark - 600_000), At(at))
+                handle.timers.discard(at)
+        return [tuple(r) for r in pd.concat(found)[out].itertuples(index=False)], handle
+
+    rng = np.random.default_rng(11)
+    n, keys = 3000, 400
+    pdf = pd.DataFrame({"at": rng.integers(0, 7_200_000, n), "seq": np.arange(n), "task": rng.choice(["a", "b"], n), "refused": rng.random(n) < 0.1,
+                        "op": rng.choice(["claim", "release", "heartbeat", "complete"], n, p=[0.6, 0.1, 0.29, 0.01]), "key": [f"k{i}" for i in rng.integers(0, keys, n)]})
+    pdf["seen"] = pdf["at"] + rng.integers(0, 600_000, n)
+    want = []
+    for name, rows in pdf.sort_values(["at", "seq"]).groupby("key"):
+        lease = leases.ExpiringLease()
+        for r in rows.itertuples():
+            want += [(name, *x) for x in (*lease.until(r.at), *lease.feed(r.at, r.seq, r.op, r.task, r.refused))]
+        want += [(name, *x) for x in lease.end()]
+    end = 1 << 40
+    steps = [*range(300_000, 8_400_000, 300_000), end, end + 1]
+    for marks, full, together in ((steps, 16, 20), (steps, 256, 2000), ([end], 256, 2000), ([end], 3, 20)):
+        got, handle = told(pdf, marks, full, together)
+        assert sorted(got, key=str) == sorted(want, key=str)
+        by_key = [r[:2] for r in sorted(got, key=lambda r: r[0])]
+        assert by_key == sorted(by_key)
+        assert not handle.timers and not handle.stores["waiting"].kept
+        if full == 256:
+            assert handle.calls < 20 * len(marks)
+
+
+def test_state_of_a_stream_in_order_follows_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS", 3, raising=False)
+    rows = spark.range(900).select(F.concat(F.lit("j"), F.col("id") % 400).alias("job_key"), F.col("id").alias("seq"),
+                                   F.timestamp_seconds(F.col("id") * 7 % 900 + 1_700_000_000).alias("ts"),
+                                   F.lit("claim").alias("op"), F.concat(F.lit("t"), F.col("id") % 600).alias("task_id"))
+    progress = []
+    got = leases_of_stream(rows, files=100, progress=progress)
+    columns = ["job_key", "at", "seq", "task_id", "op", "outcome"]
+    want = leases.lease_log(rows)
+    assert sorted(map(str, got.select(columns).where(~F.col("job_key").startswith(NO_TASK)).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert max(op.numRowsTotal for p in progress for op in p.stateOperators) < 100
+    assert ordered.late_rows(progress) == 0
